@@ -1,0 +1 @@
+"""Operators for corpora and models. Nothing outside this subpackage imports it."""
