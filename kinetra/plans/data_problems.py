@@ -6,11 +6,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetra.operators.common import lookup_join
+from kinetra.operators.plausibility import implausible_readings, implausible_transforms
 from kinetra.operators.regular_grid import regular_grid
 from kinetra.operators.wide_table import HEADER_ATTRIBUTES, cells, frame_table
 from kinetra.plans.tables import table
 
 
+def _implausible(spark: SparkSession, d: str) -> DataFrame:
+    ranges = table(spark, d, "stations").where("station is not null").groupBy("station").agg(F.max("range_mm").alias("range_mm"))
+    sessions = table(spark, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.max("station").alias("station"))
+    reach = sessions.join(F.broadcast(ranges), "station", "left").select("session_id", "range_mm")  # stations is a fixed table
+    quaternion = [f"A_F_GTR_q{i}" for i in (1, 2, 3, 4)]
+    readings = table(spark, d, "tracking").select("reading_id", "session_id", "utc_epoch_ms", "A_F_GTR_t1", *quaternion)
+    readings = lookup_join(readings, reach, ["session_id"], F.col("utc_epoch_ms"))
+    fields = {"A_F_GTR_t1": (F.col("range_mm"), []), "A_F_GTR_q1": (F.lit(1.0), quaternion[1:])}
+    found = implausible_readings(readings, "session_id", "utc_epoch_ms", "reading_id", fields)
+    status = "ProbeToTrackerDeviceTransformStatus"
+    packets = table(spark, d, "packets").where(F.upper(F.trim(status)).isin("OK", "TRUE", "1")).select("packet_id", "session_id", "frame_id", "probe_t")
+    packets = lookup_join(packets, reach, ["session_id"], F.col("packet_id"))
+    jumps = implausible_transforms(packets, "session_id", "frame_id", "packet_id", "probe_t", F.col("range_mm"))
+    return found.unionByName(jumps.select("record_id", F.lit(status).alias("field_name"), "rule"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Implausible values of two tracked fields and of the probe's transform, for their session."""
+    return _implausible(spark, d).select("record_id", "field_name").distinct()
+
+
+def p2_rules(spark: SparkSession, d: str) -> DataFrame:
+    """How many values break each rule."""
+    return _implausible(spark, d).groupBy("field_name", "rule").agg(F.count("*").alias("values"))
+
+
 def _session_steps(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.max("grid_ms").alias("grid_ms"))
 
@@ -46,7 +73,7 @@ def p5_frames(spark: SparkSession, d: str) -> DataFrame:
     return wide
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_grid, p5_found, p5_frames)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rules, p3_found, p3_grid, p5_found, p5_frames)}
 
 _GRID = """
 WITH steps AS (SELECT session_id, max(grid_ms) AS step FROM sessions WHERE session_id IS NOT NULL GROUP BY 1),
