@@ -8,10 +8,23 @@ from pyspark.sql import functions as F
 from kinetra.operators.common import lookup_join
 from kinetra.operators.plausibility import implausible_readings, implausible_transforms
 from kinetra.operators.regular_grid import regular_grid
+from kinetra.operators.schema_drift import consistent_readings, schema_drift
 from kinetra.operators.wide_table import HEADER_ATTRIBUTES, cells, frame_table
 from kinetra.plans.tables import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every added, removed, renamed and retyped field of the raw tracker files."""
+    return schema_drift(table(spark, d, "qtm_raw")).changes
+
+
+def p1_readings(spark: SparkSession, d: str) -> DataFrame:
+    """All readings of the raw tracker files under consistent names and types."""
+    lines = table(spark, d, "qtm_raw")
+    parts = [f"{b}_{p}" for b in ("A_F_MID", "A_T_MEP") for p in ("q1", "q2", "q3", "q4", "t1", "t2", "t3")]
+    return consistent_readings(lines, schema_drift(lines), {"utc_epoch_ms": "ms"} | dict.fromkeys(parts, "double"))
+
+
 def _implausible(spark: SparkSession, d: str) -> DataFrame:
     ranges = table(spark, d, "stations").where("station is not null").groupBy("station").agg(F.max("range_mm").alias("range_mm"))
     sessions = table(spark, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.max("station").alias("station"))
@@ -73,7 +86,7 @@ def p5_frames(spark: SparkSession, d: str) -> DataFrame:
     return wide
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rules, p3_found, p3_grid, p5_found, p5_frames)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p2_found, p2_rules, p3_found, p3_grid, p5_found, p5_frames)}
 
 _GRID = """
 WITH steps AS (SELECT session_id, max(grid_ms) AS step FROM sessions WHERE session_id IS NOT NULL GROUP BY 1),
