@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinetra.llm.encode import token_count, token_ids
 from kinetra.llm.mixing import mixed, reached_shares
 from kinetra.llm.nearest_time import nearest_in_time
+from kinetra.llm.personal_info import personal_spans, redacted
 from kinetra.operators.common import cut_lineage, lookup_join, once_per_id
 
 
@@ -56,7 +57,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached_shares(mixed(sized, targets), sized, targets)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_distance, p6_ids, p7_mix, p7_shares)}
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return once_per_id(_table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Where each document's text has an email, phone or id number, address or name."""
+    spans = personal_spans(_texts(spark, d)).select("doc_id", F.explode("spans").alias("s"))
+    return spans.select("doc_id", F.col("s.kind").alias("pii_kind"), F.col("s.start").alias("start_at"))
+
+
+def p8_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders."""
+    return redacted(_texts(spark, d), personal_spans(_texts(spark, d)))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_distance, p6_ids, p7_mix, p7_shares, p8_found, p8_texts)}
 
 _PAIRS = """
 WITH s AS (SELECT session_id, max(started_epoch_ms) AS started, max(clock_offset_ms) AS off FROM sessions GROUP BY 1),
