@@ -20,7 +20,7 @@ SHARE = {"number": 0.1, "address": 0.1, "name": 0.12}
 #: Last letters of a name by which others of its kind are known: how many letters, how many names, what share of all words with them.
 ENDING, ENDING_NAMES, ENDING_SHARE = 5, 3, 0.5
 #: How sure a context must be. A number is up to four candidates (with and without letters around), and few formats are seeds.
-SURE = {"number": 0.12, "address": 0.5, "name": 0.6}
+SURE = {"number": 0.12, "address": 0.5, "name": 0.5}
 #: From here a context alone makes an instance.
 ALONE_SURE, ALONE_SEEN = 0.75, 5
 
@@ -53,12 +53,13 @@ NUMBERS = (
     rf"{_EDGE}(?P<lead>[A-Z]{{1,2}}[ -]?)?(?P<core>\d+(?:[A-Z]{{1,2}}\d+)*(?:{_SEP}\d+)*)(?P<tail>[ -]?[A-Z](?: \d{{3}})?(?![A-Za-z0-9]))?(?P<ext> ext\.? ?\d+)?",
 )
 NAMES = (
-    rf"(?P<f>{_CAP}) (?:(?P<i>[{_U}])\. )?(?:{PARTICLE} )?(?P<l>{_CAP}(?:-{_CAP})?)",
+    rf"(?P<f>{_CAP}(?:-{_CAP})?) (?:(?P<i>[{_U}])\. )?(?:{PARTICLE} )?(?P<l>{_CAP}(?:-{_CAP})?)",
     rf"(?P<l>{_CAP}(?:-{_CAP})?), (?P<f>{_CAP})",
     rf"(?P<i>[{_U}])\. ?(?:[{_U}]\. ?)?(?:{PARTICLE} )?(?P<l>{_CAP}(?:-{_CAP})?)",
     rf"(?P<l>{_CAP}(?:-{_CAP})?),? (?P<i>[{_U}])\.(?: ?[{_U}]\.)?",
 )
-_KANJI = r"(?<![一-鿿々])([一-鿿々]{1,4})( ?)([一-鿿々]{1,4})"
+_HAN = "一-鿿々ノヶ"
+_KANJI = rf"(?<![{_HAN}])([{_HAN}]{{1,4}})( ?)([{_HAN}]{{1,4}})"
 
 
 @functools.cache
@@ -136,6 +137,8 @@ def _number_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
             lead, tail = m["lead"], m["tail"]
             starts = ({m.start("lead")} if lead else set()) | ({m.start("core")} if not lead or lead.endswith(" ") else set())
             stops = ({m.end("tail")} if tail else set()) | ({m.end("ext") if m["ext"] else m.end("core")} if not tail or tail.startswith(" ") else set())
+            if m["core"].count(" ") and (cut := m.start("core") + m["core"].rindex(" ")) > m.start() + 4:
+                stops.add(len(text[:cut].rstrip()))  # the last group may be a house number
             for a in starts:
                 for b in stops:
                     yield "number", a, b, [_form(text[a:b])]
@@ -149,9 +152,11 @@ def _name_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
             if not m:
                 continue
             g = m.groupdict()
+            if g.get("i") and not g.get("f") and m.start("i") == m.start() and g["i"] in "NН" and re.search(r"\d[ ]{1,3}$", text[max(0, m.start() - 4) : m.start()]):
+                continue  # a unit after a number
             if g.get("f") and (g["f"].lower() in TITLES or g["l"].lower() in TITLES) or (not g.get("f") and g["l"].lower() in TITLES):
                 continue
-            tokens = ([g["f"]] if g.get("f") else []) + g["l"].split("-")
+            tokens = (g["f"].split("-") if g.get("f") else []) + g["l"].split("-")
             yield "name", m.start(), m.end(), [unicodedata.normalize("NFC", t).lower() for t in tokens]
     for m in kanji.finditer(text):
         if m[2]:
@@ -160,7 +165,7 @@ def _name_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
             for _, k in parts:
                 yield "name", m.start(), m.start() + base + k, [m[1], m[3][:k]]
         else:
-            bare = re.match(r"[一-鿿々]+", text[m.start() : m.start() + 8])[0]
+            bare = re.match(rf"[{_HAN}]+", text[m.start() : m.start() + 8])[0]
             for h in HONORIFICS:
                 bare = bare.split(h)[0] or bare
             for i in (2, 3):
@@ -183,6 +188,8 @@ def candidates(text: str) -> list[tuple[str, int, int, list[str], list[str]]]:
         free += [("address", m.start(), m.end(), [f"{key} {m['key'].lower()}"]) for m in pattern.finditer(text)]
     free += _name_candidates(text)
     for group, a, b, items in free:
+        if group == "address":  # a list may go on with an email
+            b = min([b, *(len(text[:x].rstrip(", ")) for x, _ in emails if a < x < b)])
         if not any(x < b and a < y for x, y in emails):
             out.append((group, a, b, items, _contexts(text, a, b)))
     return out
