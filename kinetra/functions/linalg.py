@@ -6,6 +6,7 @@ A vector is a list of three Columns; a rigid transform is a list of sixteen, row
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ def scale(a: Vec, k: Column) -> list[Column]:
 
 
 def dot(a: Vec, b: Vec) -> Column:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    return reduce(lambda s, t: s + t, [x * y for x, y in zip(a, b)])
 
 
 def cross(a: Vec, b: Vec) -> list[Column]:

@@ -11,17 +11,21 @@ from pyspark.sql import functions as F
 BLOCK = 65_536
 
 
-def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column) -> DataFrame:
+def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, once: bool = False) -> DataFrame:
     """``df`` with ``_at``: the place, from 0, in the key's order.
 
     ``part`` never falls along the order; it cuts a key into parts, each ordered in one task, whose counts give the
-    places of their first rows.
+    places of their first rows; only those counts are ordered per key. ``once``: of rows with the same last column of
+    the order, which follow each other, one is kept.
     """
     w = Window.partitionBy(*keys, "_part").orderBy(*order)
     cut = df.withColumn("_part", part)
+    if once:
+        before = F.lag(order[-1]).over(w)
+        cut = cut.withColumn("_prev", before).where(F.col("_prev").isNull() | (F.col("_prev") != F.col(order[-1]))).drop("_prev")
     counts = cut.groupBy(*keys, "_part").count()
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(*keys, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(*keys, "_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_first"))
     return cut.withColumn("_n", F.row_number().over(w) - 1).join(firsts, [*keys, "_part"]).withColumn("_at", F.col("_first") + F.col("_n")).drop("_first", "_n", "_part")
 
 

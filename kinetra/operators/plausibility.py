@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetra.operators.common import lookup_join
+from kinetra.operators.ordered_windows import indexed
 
 #: Readings on each side that show what a source does around a reading; most readings of an excursion; fewest of a stuck run.
 AROUND, EXCURSION, STUCK = 5, 3, 8
@@ -23,20 +24,6 @@ BLOCK, HALO, GROUP_ROWS = 8_192, 32, 50_000
 HOUR_VALUES = 64
 
 
-def ordered(df: DataFrame, keys: Sequence[str], time_col: str, id_col: str, coarse: Column) -> DataFrame:
-    """Rows once per id, with ``_at``: their place, from 0, in their keys' order of (time, id).
-
-    ``coarse`` never falls as time grows; it cuts a key's rows into parts that are ordered in a task each. The parts'
-    counts give the places of their first rows; only those counts are ordered per key.
-    """
-    part = Window.partitionBy(*keys, "_part").orderBy(time_col, id_col)
-    once = df.withColumn("_part", coarse).withColumn("_prev", F.lag(id_col).over(part)).where(F.col("_prev").isNull() | (F.col("_prev") != F.col(id_col))).drop("_prev")
-    counts = once.groupBy(*keys, "_part").count()
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(*keys, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    return once.withColumn("_n", F.row_number().over(part) - 1).join(firsts, [*keys, "_part"]).withColumn("_at", F.col("_first") + F.col("_n")).drop("_first", "_n", "_part")
-
-
 def in_blocks(df: DataFrame, keys: Sequence[str], found: Callable[[pd.DataFrame], pd.DataFrame], schema: str, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``found`` over groups of whole index blocks; ``_series`` numbers the blocks, ``_own`` is false for rows of the halo.
 
@@ -167,7 +154,7 @@ def implausible_readings(
     long = readings.where(known).select(F.col(source).alias("_source"), F.col(time_ms).cast("bigint").alias("_t"), F.col(id_col).alias("_id"), F.inline(F.array(*per_field)))
     long = long.where("value is not null and not isnan(value)")
     keys = ["_source", "field_name"]
-    at = ordered(long, keys, "_t", "_id", F.expr("floor(_t / 3600000)"))
+    at = indexed(long, keys, ["_t", "_id"], F.expr("floor(_t / 3600000)"), once=True)
     hour = F.expr("cast(pmod(floor(_t / 3600000), 24) as int)")
     w = Window.partitionBy(*keys, F.expr("floor(_t / 3600000)")).orderBy("_t", "_id")
 
@@ -229,7 +216,7 @@ def implausible_transforms(packets: DataFrame, source: str, order: str, id_col:
     known = F.col(source).isNotNull() & F.col(order).isNotNull() & F.col(id_col).isNotNull()
     sixteen = F.when(F.size(matrix) == 16, F.col(matrix).cast("array<double>")).otherwise(F.array_repeat(F.lit(float("nan")), 16))
     rows = packets.where(known).select(F.col(source).alias("_source"), F.col(order).cast("bigint").alias("_t"), F.col(id_col).alias("_id"), F.transform(sixteen, lambda x: F.coalesce(x, F.lit(float("nan")))).alias("matrix"), rigid_violation(F.col(matrix).cast("array<double>"), most).alias("_bad"))
-    at = ordered(rows, ["_source"], "_t", "_id", F.expr(f"floor(_t / {BLOCK})"))
+    at = indexed(rows, ["_source"], ["_t", "_id"], F.expr(f"floor(_t / {BLOCK})"), once=True)
     w = Window.partitionBy("_source", F.expr(f"floor(_t / {BLOCK})")).orderBy("_t", "_id")
     squares = [F.pow(F.get("matrix", F.lit(i)) - F.lag(F.get("matrix", F.lit(i))).over(w), 2) for i in (3, 7, 11)]
     steps = rows.where("not _bad").withColumn("_walk", F.sqrt(squares[0] + squares[1] + squares[2])).where("_walk > 0")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from kinetra.plans import data_problems
+from kinetra.plans import data_problems, experiment_queries, mesh_queries, track_queries
 
-_MODULES = (data_problems,)
-FLAGSHIP = data_problems.p3_found
+_MODULES = (data_problems, track_queries, experiment_queries, mesh_queries)
+FLAGSHIP = mesh_queries.plane_mesh_intersections
 
 
 def queries() -> dict:
