@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most rows of a side that is broadcast; the side is counted first. Narrow rows only.
@@ -50,16 +51,27 @@ def once_per_id(df: DataFrame, key: str) -> DataFrame:
     return rest.unionByName(marked.dropDuplicates([key]))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where it names none (tests) a local one is set."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the reliable checkpoint folder, so that later steps neither recompute nor lose it.
+    """``df`` written once to the reliable checkpoint folder, so that later steps neither recompute nor lose it."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where it names none (tests) a local one
-    is set.
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again. Unlike a checkpoint it doesn't keep the estimates of
+    the plan that made it, which multiply when each round of a loop joins the one before.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(df: DataFrame) -> int:

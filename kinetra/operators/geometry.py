@@ -73,23 +73,26 @@ def plane_segments(faces: DataFrame, planes: DataFrame, axis: str = "z", toleran
     points = [F.when(d[w] == 0, F.array(*corner(None, w))) for w in "abc"]
     for u, v in ("ab", "bc", "ca"):
         points.append(F.when(d[u] * d[v] < 0, F.array(*crossing(corner(None, u), corner(None, v), d[u], d[v]))))
-    hit = hit.withColumn("_p", F.array_compact(F.array(*points))).where(F.size("_p") == 2)
+    # one list, exploded, so that what follows refers to its result and doesn't repeat its making
+    hit = hit.select("plane_id", "mesh_id", "face_id", F.explode(F.array(F.array_compact(F.array(*points)))).alias("_p")).where(F.size("_p") == 2)
     p, q = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     length = norm([F.get(q, F.lit(i)) - F.get(p, F.lit(i)) for i in range(3)])
     return hit.select("plane_id", "mesh_id", "face_id", p.alias("p"), q.alias("q"), length.alias("length")).where("length > 0")
 
 
-def clip_to_rectangle(u0: Column, v0: Column, u1: Column, v1: Column, width: Column, height: Column) -> list[Column]:
-    """A segment cut to 0..width by 0..height: its new ends, all null where nothing is left (Liang-Barsky)."""
-    du, dv = u1 - u0, v1 - v0
-    start, end, outside = F.lit(0.0), F.lit(1.0), F.lit(False)
-    for p, q in ((-du, u0), (du, width - u0), (-dv, v0), (dv, height - v0)):
+def clip_to_rectangle(df: DataFrame, width: Column, height: Column) -> DataFrame:
+    """Rows with u0, v0, u1, v1 cut to 0..width by 0..height; rows of which nothing is left are dropped (Liang-Barsky)."""
+    du, dv = F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0")
+    df = df.withColumns({"_du": du, "_dv": dv})
+    start, end, outside = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+    for p, q in ((-F.col("_du"), F.col("u0")), (F.col("_du"), width - F.col("u0")), (-F.col("_dv"), F.col("v0")), (F.col("_dv"), height - F.col("v0"))):
         t = q / F.when(p != 0, p)
-        start = F.greatest(start, F.when(p < 0, t).otherwise(0.0))
-        end = F.least(end, F.when(p > 0, t).otherwise(1.0))
+        start.append(F.when(p < 0, t).otherwise(0.0))
+        end.append(F.when(p > 0, t).otherwise(1.0))
         outside |= (p == 0) & (q < 0)
-    ok = ~outside & (start <= end)
-    return [F.when(ok, x) for x in (u0 + start * du, v0 + start * dv, u0 + end * du, v0 + end * dv)]
+    df = df.where(~outside).withColumns({"_t0": F.greatest(*start), "_t1": F.least(*end)}).where("_t0 <= _t1")
+    cut = {f"{c}{k}": F.col(f"{c}0") + F.col(f"_t{k}") * F.col(f"_d{c}") for c in "uv" for k in (0, 1)}
+    return df.withColumns(cut).drop("_du", "_dv", "_t0", "_t1")
 
 
 def raster(df: DataFrame, columns: int, rows: int, width: Column, height: Column) -> DataFrame:

@@ -33,20 +33,19 @@ def plane_mesh_intersections(spark, d):
 
 
 def _clipped(spark, d):
-    p = lambda c, i: F.get(c, F.lit(i)) + 0.1
-    ends = geo.clip_to_rectangle(p("p", 0), p("p", 1), p("q", 0), p("q", 1), F.lit(0.2), F.lit(0.2))
-    return _segments(spark, d).select("plane_id", "face_id", *[e.alias(n) for e, n in zip(ends, ("u0", "v0", "u1", "v1"))])
+    ends = [(F.get(c, F.lit(i)) + 0.1).alias(f"{w}{k}") for k, c in enumerate("pq") for i, w in enumerate("uv")]
+    return geo.clip_to_rectangle(_segments(spark, d).select("plane_id", "face_id", *ends), F.lit(0.2), F.lit(0.2))
 
 
 def segment_clip(spark, d):
     """Per plane: segments inside a rectangle, and what of their length is left."""
-    got = _clipped(spark, d).where("u0 is not null")
+    got = _clipped(spark, d)
     return got.groupBy("plane_id").agg(F.count("*").alias("inside"), F.round(F.sum(F.sqrt(F.pow(F.col("u1") - F.col("u0"), 2) + F.pow(F.col("v1") - F.col("v0"), 2))), 5).alias("length"))
 
 
 def segment_raster_pixels(spark, d):
     """Per plane and column of pixels: pixels that any segment passes."""
-    lit = geo.raster(_clipped(spark, d).where("u0 is not null"), 40, 40, F.lit(0.2), F.lit(0.2))
+    lit = geo.raster(_clipped(spark, d), 40, 40, F.lit(0.2), F.lit(0.2))
     return lit.select("plane_id", "row", "col").distinct().groupBy("plane_id", "col").agg(F.count("*").alias("pixels"))
 
 
@@ -204,8 +203,8 @@ SQL = {
     "plane_mesh_intersections": _SEG + " SELECT plane_id, count(*) AS segments, round(sum(length), 5) AS length FROM s WHERE length > 0 GROUP BY 1",
     "segment_clip": _CLIP + " SELECT plane_id, count(*) AS inside, round(sum(sqrt((u1 - u0) ** 2 + (v1 - v0) ** 2)), 5) AS length FROM c GROUP BY 1",
     "segment_raster_pixels": _CLIP
-    + ", n AS (SELECT *, greatest(2, ceil(4 * greatest(abs(u1 - u0) / (0.2 / 40), abs(v1 - v0) / (0.2 / 40))) + 1) AS n FROM c), i AS (SELECT *, unnest(range(CAST(n AS BIGINT))) / (n - 1) AS t FROM n), "
-    + "x AS (SELECT DISTINCT plane_id, greatest(least(floor((v0 + t * (v1 - v0)) / (0.2 / 40)) + 1, 40), 1) AS row, CAST(greatest(least(floor((u0 + t * (u1 - u0)) / (0.2 / 40)) + 1, 40), 1) AS INT) AS col FROM i) SELECT plane_id, col, count(*) AS pixels FROM x GROUP BY 1, 2",
+    + ", e AS (SELECT *, greatest(2, ceil(4 * greatest(abs(u1 - u0) / (0.2 / 40), abs(v1 - v0) / (0.2 / 40))) + 1) AS n FROM c), i AS (SELECT *, unnest(range(CAST(n AS BIGINT))) / (n - 1) AS t FROM e), "
+    + "px AS (SELECT DISTINCT plane_id, greatest(least(floor((v0 + t * (v1 - v0)) / (0.2 / 40)) + 1, 40), 1) AS row, CAST(greatest(least(floor((u0 + t * (u1 - u0)) / (0.2 / 40)) + 1, 40), 1) AS INT) AS col FROM i) SELECT plane_id, col, count(*) AS pixels FROM px GROUP BY 1, 2",
     "face_normals_orientation": f"WITH {_F}, c AS (SELECT mesh_id, avg((ax + bx + cx) / 3) AS mx, avg((ay + by + cy) / 3) AS my, avg((az + bz + cz) / 3) AS mz FROM f GROUP BY 1), "
     f"v AS (SELECT mesh_id, mx, my, mz, {_AREA} AS area, {_N[0]} * ((ax + bx + cx) / 3 - mx) + {_N[1]} * ((ay + by + cy) / 3 - my) + {_N[2]} * ((az + bz + cz) / 3 - mz) AS side FROM f JOIN c USING (mesh_id)), "
     "g AS (SELECT mesh_id, mx, my, mz, coalesce(sum(area) FILTER (side > 0), 0) AS o, coalesce(sum(area) FILTER (side < 0), 0) AS i FROM v GROUP BY ALL) SELECT mesh_id, CASE WHEN i > o THEN -1 ELSE 1 END AS sign, round(mx, 6) AS cx, round(my, 6) AS cy, round(mz, 6) AS cz, round(greatest(o, i) / (o + i), 6) AS share FROM g",
