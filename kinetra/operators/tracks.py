@@ -163,16 +163,16 @@ def mean_rotation(moments: DataFrame) -> DataFrame:
 def smoothed_spline(df: DataFrame, keys: Sequence[str], time_col: str, value: str, step: Column) -> DataFrame:
     """Missing grid points between neighbouring knots by monotone cubic pieces (Fritsch-Carlson slopes): keys, at, filled.
 
-    Rows are the knots, once per key and time, indexed. A piece needs two knots on either side, which a block sees.
+    Rows are the knots, indexed; of knots at one time the last counts on its right and the first on its left. A piece needs two knots on either side, which a block sees.
     """
     rows, w = with_neighbours(df, keys, 1, 2)
     t, v = F.col(time_col).cast("double"), F.col(value).cast("double")
     for k in (-1, 1, 2):
         rows = rows.withColumn(f"_t{k}", F.lead(time_col, k).over(w) if k > 0 else F.lag(time_col).over(w)).withColumn(f"_v{k}", F.lead(value, k).over(w) if k > 0 else F.lag(value).over(w))
-    rows = own(rows).where("_t1 is not null")
+    rows = own(rows).where(F.col("_t1") > t)
     h = F.col("_t1") - t
     d = (F.col("_v1") - v) / h
-    hb, ha = t - F.col("_t-1"), F.col("_t2") - F.col("_t1")
+    hb, ha = (F.when(x > 0, x) for x in (t - F.col("_t-1"), F.col("_t2") - F.col("_t1")))
     db, da = (v - F.col("_v-1")) / hb, (F.col("_v2") - F.col("_v1")) / ha
 
     def inner(h0: Column, h1: Column, d0: Column, d1: Column) -> Column:

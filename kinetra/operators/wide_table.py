@@ -118,7 +118,7 @@ def frame_table(fields: DataFrame, attributes: dict[str, str] = HEADER_ATTRIBUTE
     frames = fields.where(frame != "").withColumn("frame_id", frame.cast("int"))
     dims = fields.where((F.col("entity") == "header") & (folded(F.col("attribute")) == "dimsize") & F.col("sequence_id").isNotNull())
     third = _bare(F.max(F.struct("line_no", "attr_value"))["attr_value"])
-    dims = dims.groupBy("sequence_id").agg(F.element_at(F.split(third, rf"{_BLANK}+"), 3).try_cast("int").alias("_frames"))
+    dims = dims.groupBy("sequence_id").agg(F.get(F.split(third, rf"{_BLANK}+"), F.lit(2)).try_cast("int").alias("_frames"))
     wide = wide_table(frames, ["sequence_id", "frame_id"], F.col("attribute"), F.col("attr_value"), F.col("line_no"), attributes, block)
     return lookup_join(wide, dims, ["sequence_id"], F.col("frame_id")).where("_frames is null or frame_id < _frames").drop("_frames")
 
