@@ -109,7 +109,7 @@ def mixed(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS
     and the plan's counted size decides whether the join broadcasts it.
     """
     stock = stock_of(sized)
-    have = sized.where("source is not null and n_tokens > 0")
+    have = sized.select("doc_id", "source", "n_tokens").where("source is not null and n_tokens > 0")
     n = max(1, -(-sized.count() // BUCKET_DOCS))
     have = have.withColumn("_h", F.xxhash64("doc_id")).withColumn("_b", F.pmod("_h", F.lit(n)))
     before = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,4 +136,5 @@ def reached_shares(mix: DataFrame, sized: DataFrame, targets: DataFrame) -> Data
     got = mix.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), F.sum(F.when(F.col("copy_no") == 1, 1).otherwise(0)).alias("documents"), F.max("copy_no").alias("most_uses"))
     planned = mix_plan(targets, stock_of(sized)).groupBy("mix_name", "source").agg(F.max("target_share").alias("target_share"), F.max("quota").alias("quota"))
     both = planned.join(got, ["mix_name", "source"], "left").fillna(0, ["tokens", "uses", "documents", "most_uses"])
-    return both.withColumn("share", F.col("tokens") / F.sum("tokens").over(Window.partitionBy("mix_name")))
+    total = F.sum("tokens").over(Window.partitionBy("mix_name"))
+    return both.withColumn("share", F.when(total > 0, F.col("tokens") / total))

@@ -20,7 +20,7 @@ SHARE = {"number": 0.1, "address": 0.1, "name": 0.12}
 #: Last letters of a name by which others of its kind are known: how many letters, how many names, what share of all words with them.
 ENDING, ENDING_NAMES, ENDING_SHARE = 5, 3, 0.5
 #: How sure a context must be. A number is up to four candidates (with and without letters around), and few formats are seeds.
-SURE = {"number": 0.12, "address": 0.5, "name": 0.5}
+SURE = {"number": 0.12, "address": 0.3, "name": 0.5}
 #: From here a context alone makes an instance.
 ALONE_SURE, ALONE_SEEN = 0.75, 5
 
