@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Parts into which a key's range is cut.
+RANGES = 1_024
+
 
 def hazen(values: Column, p: float) -> Column:
     """The quantile p of a sorted array without nulls by midpoint interpolation (rank n p + 1/2); null if empty."""
@@ -18,16 +21,24 @@ def hazen(values: Column, p: float) -> Column:
 
 
 def hazen_quantiles(df: DataFrame, keys: Sequence[str], value: Column, quantiles: dict[str, float]) -> DataFrame:
-    """Exact midpoint quantiles of each key's values; null, NaN and infinite values are left out.
+    """Exact midpoint quantiles of each key's values, and their number n; null, NaN and infinite values are left out.
 
-    Equal values are counted before they are ordered, so that a hot key moves one row per distinct value, and only the
-    order statistics that the quantiles need are kept.
+    Equal values are counted before the shuffle. A key's range is cut into RANGES parts of equal width, each ordered in a
+    task of its own; the parts' counts give the ranks at which they begin. So a hot key is many tasks, unless most of its
+    distinct values lie in a thousandth of its range.
     """
     keys = list(keys)
     v = value.cast("double")
     counted = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).groupBy(*keys, v.alias("_v")).count()
-    w = Window.partitionBy(*keys).orderBy("_v")
-    ranked = counted.withColumn("_to", F.sum("count").over(w)).withColumn("_n", F.sum("count").over(Window.partitionBy(*keys)))
+    limits = counted.groupBy(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)]).agg(F.sum("count").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    same = [F.col(k).eqNullSafe(F.col(f"_l{i}")) for i, k in enumerate(keys)]
+    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / RANGES)
+    cut = counted.join(limits, same).withColumn("_part", F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(0))).select(*keys, "_v", "count", "_n", "_part")
+    parts = cut.groupBy(*keys, "_part").agg(F.sum("count").alias("_c"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_from"))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v")
+    ranked = cut.withColumn("_in", F.sum("count").over(inside)).join(begins, [*same, F.col("_part") == F.col("_p")]).withColumn("_to", F.col("_from") + F.col("_in"))
     first = F.col("_to") - F.col("count")
     out = []
     for name, p in quantiles.items():

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.functions.linalg import Vec, add, cross, dot, norm, scale, sub, unit
+from kinetra.operators.ordered_windows import indexed, own, with_neighbours
 
 #: Buckets of an extent along which intervals are joined.
 BUCKETS = 64
@@ -164,10 +165,15 @@ def ray_hits(faces: DataFrame, rays: DataFrame, tolerance: float = 1e-12) -> Dat
 
 
 def distinct_within(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
-    """Values of each key that are more than ``tolerance`` above the value before; equal values are reduced before the shuffle."""
+    """Values of each key that are more than ``tolerance`` above the value before; nulls are left out.
+
+    Equal values are reduced before the shuffle; the rest is ordered in parts of a thousand tolerances.
+    """
     once = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
-    w = Window.partitionBy(*keys).orderBy(value)
-    return once.withColumn("_p", F.lag(value).over(w)).where(F.col("_p").isNull() | (F.col(value) - F.col("_p") > tolerance)).drop("_p")
+    at = indexed(once, keys, [value], F.floor(F.col(value) / (1_000 * tolerance)))
+    rows, w = with_neighbours(at, keys, 1, 0)
+    near = own(rows.withColumn("_p", F.lag(value).over(w)))
+    return near.where(F.col("_p").isNull() | (F.col(value) - F.col("_p") > tolerance)).select(*keys, value)
 
 
 def lift_pixels(col: Column, row: Column, dx: Column, dy: Column, t) -> list[Column]:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetra.operators.ordered_windows import indexed
+
 
 def exactly_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Each left row with ``matches`` (right rows of its keys) and ``status``: matched, missing or ambiguous.
@@ -29,12 +31,10 @@ def same_sets(left: DataFrame, right: DataFrame, group: Sequence[str], member: s
     return out.withColumn("equal", (F.col("only_left") == 0) & (F.col("only_right") == 0))
 
 
-def zipped(left: DataFrame, right: DataFrame, group: Sequence[str], left_order: str, right_order: str) -> DataFrame:
+def zipped(left: DataFrame, right: DataFrame, group: Sequence[str], left_order: str, right_order: str, step: float = 4_096) -> DataFrame:
     """Rows of both sides of a group paired by their places in its order (full outer): the group, place, left and right order values.
 
-    A group that one side lacks, or has fewer of, leaves nulls.
+    Orders are numbers; a group is ordered in parts of ``step`` of them. A group that one side lacks, or has fewer of, leaves nulls.
     """
-    from kinetra.operators.ordered_windows import indexed
-
-    sides = [indexed(df.select(*group, F.col(order).alias(f"{side}_value")), group, [f"{side}_value"], F.lit(0)) for df, order, side in ((left, left_order, "left"), (right, right_order, "right"))]
+    sides = [indexed(df.select(*group, F.col(order).alias(f"{side}_value")), group, [f"{side}_value"], F.floor(F.col(f"{side}_value") / step)) for df, order, side in ((left, left_order, "left"), (right, right_order, "right"))]
     return sides[0].join(sides[1], [*group, "_at"], "full").withColumnRenamed("_at", "place")

@@ -16,7 +16,7 @@ def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Colu
 
     ``part`` never falls along the order; it cuts a key into parts, each ordered in one task, whose counts give the
     places of their first rows; only those counts are ordered per key. ``once``: of rows with the same last column of
-    the order, which follow each other, one is kept.
+    the order, which follow each other, one is kept. Rows with a null key are left out.
     """
     w = Window.partitionBy(*keys, "_part").orderBy(*order)
     cut = df.withColumn("_part", part)

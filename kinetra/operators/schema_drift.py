@@ -317,7 +317,7 @@ def consistent_readings(lines: DataFrame, drift: Drift, columns: dict[str, str])
     A field counts under the first name of its lineage. Each file's script is an array of names and factors in the order of
     its columns; it turns the file's cells into a map, from which the columns are read. ``others`` holds what isn't among
     the columns. Numbers are the first number of their cell, with comma or point; thousandths that a file gives as
-    integers are divided again. "ms" reads integers and ISO times as milliseconds. Lines stored twice count once (of
+    integers are divided again. "ms" reads milliseconds, seconds (numbers below 1e11) and ISO times as milliseconds. Lines stored twice count once (of
     several lines with one number, the least).
     """
     base = Window.partitionBy("lineage")
@@ -337,7 +337,8 @@ def consistent_readings(lines: DataFrame, drift: Drift, columns: dict[str, str])
         if kind == "double":
             return _first_number(text) * factor
         if kind == "ms":
-            return F.coalesce(text.try_cast("bigint"), F.expr("unix_millis(try_cast(" + f"_map['{name}'].c" + " as timestamp))"))
+            number = F.when(text.rlike(r"^\d+([.,]\d+)?$"), _first_number(text))
+            return F.coalesce(F.round(F.when(number < 1e11, number * 1000).otherwise(number)).cast("bigint"), F.unix_millis(text.try_cast("timestamp")))
         return text
 
     others = F.transform_values(F.map_filter("_map", lambda k, _: ~k.isin(*columns)), lambda _, v: v["c"])
