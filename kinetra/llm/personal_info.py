@@ -206,12 +206,14 @@ def candidate_spans(text: Column) -> Column:
     return spans(text)
 
 
-#: Items that are known from the start, by kind (public formats); names come from the local parts of email addresses.
+#: Items that are known from the start, by kind: public formats of telephone and identity numbers (digits as 0, letters as A,
+#: then the first digit where it matters) and usual forms of streets. Names come from email addresses and after titles.
 SEEDS = {
-    "phone": r"^plus$|^\(000\) 000-0000\|$",
-    "id_number": r"^000-00-0000\|9$|^AA 00 00 00 A\|$",
-    "address": r"^(en (street|lane|road|rd)|de (straße|str\.)|fr rue|es calle|ru ул\.|ja [市町])$",
+    "phone": r"^plus$|^\(\+?0{2,4}\)|^000-000-0000( ext\.? ?0+)?\|[2-9]$|^000\.000\.0000\|[2-9]$|^0{5} 0{6}\|0$|^00 00 00 00 00\|0$|^00\.00\.00\.00\.00\|0$|^0\(000\)0{7}\|8$|^000-0000-0000\|0$",
+    "id_number": r"^000-00-0000\|9$|^000 00 0000\|9$|^AA 00 00 00 A\|$|^0{8}-?A\|$|^A-0{7}-A\|$|^000-000-000 00\||^0 00 00 00 000 000 00\|",
+    "address": r"^(en (street|lane|road|rd|ave|avenue)|de (straße|str\.|weg)|fr (rue|av\.|impasse)|es (calle|c/|avda\.)|ru (ул\.|пер\.)|ja [市町])$",
 }
+TITLE_CONTEXTS = ("1 dr.", "1 dr", "1 prof.", "1 mr.", "1 mrs.", "1 ms.", "1 herr", "1 frau", "1 mme", "1 sra.", "1 sr.")
 _GROUP = {"phone": "number", "id_number": "number", "address": "address", "name": "name"}
 
 
@@ -242,12 +244,10 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, occurrences: DataFrame, rounds
 
 def _by_ending(known: DataFrame, items: DataFrame) -> DataFrame:
     """Words that end as many names and few other words do, as further names."""
-    ending = F.substring("item", -ENDING, ENDING)
     words = known.where((F.col("group") == "name") & (F.length("item") > ENDING)).join(items.select("group", "item", "kind"), ["group", "item"], "left")
-    of_ending = Window.partitionBy(ending)
-    names, all_ = F.count("kind").over(of_ending), F.count("*").over(of_ending)
-    found = words.withColumn("_names", names).withColumn("_all", all_).where((F.col("_names") >= ENDING_NAMES) & (F.col("_names") >= ENDING_SHARE * F.col("_all")) & F.col("kind").isNull())
-    return found.select("group", "item", F.lit("name").alias("kind"))
+    words = words.withColumn("ending", F.substring("item", -ENDING, ENDING))
+    endings = words.groupBy("ending").agg(F.count("kind").alias("names"), F.count("*").alias("all")).where((F.col("names") >= ENDING_NAMES) & (F.col("names") >= ENDING_SHARE * F.col("all")))
+    return words.where("kind is null").join(endings, "ending").select("group", "item", F.lit("name").alias("kind"))
 
 
 def _best(spans: list) -> list[tuple[str, int, int]]:
@@ -295,6 +295,8 @@ def personal_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
         kind = kind.when((F.col("group") == _GROUP[k]) & F.col("item").rlike(pattern), k)
     words = emails.select(F.explode("items").alias("item")).distinct().withColumn("group", F.lit("name"))
     seeds = known.withColumn("kind", kind).where("kind is not null").unionByName(known.join(words, ["group", "item"], "left_semi").withColumn("kind", F.lit("name")))
+    titled = edges.where((F.col("group") == "name") & F.col("context").isin(*TITLE_CONTEXTS)).select("group", "item", F.lit("name").alias("kind"))
+    seeds = seeds.unionByName(titled).distinct()
     items, contexts = bootstrap(edges, cut_lineage(seeds), occurrences)
     items = cut_lineage(items.unionByName(_by_ending(known, items)))
     # what each candidate's items and contexts say
