@@ -217,7 +217,7 @@ SQL = {
     "exp_map_pose": _POSES + " SELECT vec_id, " + ", ".join(f"round(a{i}, 6) AS m{i}" for i in range(12)) + " FROM p",
     "log_map_roundtrip": "SELECT vec_id, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE * 3, 6) AS s{i}" for i in range(6)) + " FROM embeddings",
     "pose_errors": _POSES + f" SELECT vec_id, round(sqrt((a3 - b3) ** 2 + (a7 - b7) ** 2 + (a11 - b11) ** 2), 6) AS translation, round(degrees(acos(greatest(least(({_TRACE} - 1) / 2, 1), -1))), 5) AS rotation_deg FROM p",
-    "rigid_transform_points": _POSES + ", c AS (SELECT vec_id, " + ", ".join(f"{v} AS {k}" for k, v in _C.items()) + " FROM p) SELECT vec_id, " + ", ".join(f"round(c{4 * i} + 2 * c{4 * i + 1} + 3 * c{4 * i + 2} + c{4 * i + 3}, 6) AS {n}" for i, n in enumerate("xyz")) + ", 1.0 AS back_x, 2.0 AS back_y, 3.0 AS back_z FROM c",
+    "rigid_transform_points": _POSES + ", c AS (SELECT vec_id, " + ", ".join(f"{v} AS {k}" for k, v in _C.items()) + " FROM p) SELECT vec_id, " + ", ".join(f"round(c{4 * i} + 2 * c{4 * i + 1} + 3 * c{4 * i + 2} + c{4 * i + 3}, 6) AS {n}" for i, n in enumerate("xyz")) + ", 1.0::DOUBLE AS back_x, 2.0::DOUBLE AS back_y, 3.0::DOUBLE AS back_z FROM c",
     "marker_frames": f"WITH p AS (SELECT vec_id, [{', '.join(f'{c} - {a}' for a, c in zip(_E['a'], _E['c']))}] AS y, [{', '.join(f'{b} - {a}' for a, b in zip(_E['a'], _E['b']))}] AS s FROM embeddings), "
     "u AS (SELECT vec_id, list_transform(y, lambda v: v / sqrt(list_dot_product(y, y))) AS y, s FROM p), f AS (SELECT vec_id, [s[i] - y[i] * list_dot_product(s, y) for i in [1, 2, 3]] AS f FROM u) "
     "SELECT vec_id, sqrt(list_dot_product(f, f)) <= 1e-9 AS degenerate, " + ", ".join(f"round(f[{i}] / sqrt(list_dot_product(f, f)), 6) AS x{i}" for i in (1, 2, 3)) + " FROM f",
