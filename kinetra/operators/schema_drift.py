@@ -21,6 +21,8 @@ ALONE = 1.0
 GROUP_FILES = 2_000
 _NUMBER = r"[+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?"
 _DATETIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+#: Ends of names of quantities that are no part of a pose (fixed words of tracker logs).
+_OTHER = re.compile(r"(res|vis|rms|err|count)(v\d+)?$")
 _ROLE = re.compile(r"^(.+?)[\s_.\-]*([qt][1-4])(?:[\s_.\-]+mm)?$", re.I)
 
 
@@ -112,6 +114,7 @@ class Leaf:
         m = _ROLE.match(self.name)
         self.body, self.role = (m[1], m[2].lower()) if m else ("", "")
         self.plain = re.sub(r"[^0-9a-z]", "", self.name.lower())
+        self.other = m[1] if (m := _OTHER.search(self.plain)) else ""
         self.plain_body = re.sub(r"[^0-9a-z]", "", self.body.lower())
 
 
@@ -135,7 +138,7 @@ def _levels_agree(a: Leaf, b: Leaf) -> float | None:
 def _leaf_cost(a: Leaf, b: Leaf, same_body: bool | None) -> float:
     """Cost of renaming a into b; 2 * ALONE or more: cheaper to delete and add. same_body: what the rest of both bodies says."""
     never = 2 * ALONE + 1
-    if a.role and b.role and a.role != b.role:
+    if a.role and b.role and a.role != b.role or a.other != b.other:
         return never
     alike = difflib.SequenceMatcher(None, a.plain, b.plain).ratio()
     if a.clock or b.clock:

@@ -30,6 +30,7 @@ def test_scripts():
     assert edit_script([Leaf("A_F_MID_q3", "decimal", 0.33, False)], [Leaf("marker75.j", "decimal", 0.331, False)]) == [("A_F_MID_q3", "marker75.j")]
     assert edit_script([Leaf("A_F_MID_q3", "decimal", 0.33, False)], [Leaf("ch1", "integer", 330.0, False)]) == [("A_F_MID_q3", "ch1")]
     assert edit_script([Leaf("utc_epoch_ms", "integer", 1.8e12, True)], [Leaf("stamp", "datetime", 2028.0, True)]) == [("utc_epoch_ms", "stamp")]
+    assert edit_script([Leaf("A_F_MID_q3", "decimal", 0.33, False)], [Leaf("A_F_MID_res", "decimal", 0.331, False)]) == []
     unseen = [Leaf(f"A_T_MEP_{r}", None, None, False) for r in Q]
     assert len(edit_script(unseen, [Leaf(f"T_MEP_{r}", None, None, False) for r in Q])) == 7
     assert edit_script(unseen, leaves("C_T_DIS")) == []
