@@ -140,9 +140,11 @@ def _leaf_cost(a: Leaf, b: Leaf, same_body: bool | None) -> float:
     never = 2 * ALONE + 1
     if a.role and b.role and a.role != b.role or a.other != b.other:
         return never
+    if a.plain and a.plain == b.plain:
+        return 0.1  # another spelling
     alike = difflib.SequenceMatcher(None, a.plain, b.plain).ratio()
     if a.clock or b.clock:
-        return 0.3 * (1 - alike) if a.clock and b.clock else 0.5 if a.plain == b.plain else never
+        return 0.3 * (1 - alike) if a.clock and b.clock else never
     spelled = a.plain == b.plain or (a.role and a.role == b.role and _same_name(a.plain_body, b.plain_body))
     agree = _levels_agree(a, b)
     counts = a.kind == b.kind == "integer" and not a.role and not b.role
