@@ -20,6 +20,8 @@ ALONE = 1.0
 #: Files whose changed fields are matched in one group, about.
 GROUP_FILES = 2_000
 _NUMBER = r"[+-]?\d+(?:[.,]\d+)?(?:[eE][+-]?\d+)?"
+#: One number with at most eight other signs (unit, ~, brackets) before and after it.
+_MEASURED = rf"^[^\d.,+-]{{0,8}}{_NUMBER}[^\d]{{0,8}}$"
 _DATETIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 #: Ends of names of quantities that are no part of a pose (fixed words of tracker logs).
 _OTHER = re.compile(r"(res|vis|rms|err|count)(v\d+)?$")
@@ -317,34 +319,60 @@ def schema_drift(lines: DataFrame) -> Drift:
 
 
 def consistent_readings(lines: DataFrame, drift: Drift, columns: dict[str, str]) -> DataFrame:
-    """All readings as file_id, campaign_id, line_no, the given columns (name to "double", "ms" or "string") and ``others``.
-
-    A field counts under the first name of its lineage. Each file's script is an array of names and factors in the order of
-    its columns; it turns the file's cells into a map, from which the columns are read. ``others`` holds what isn't among
-    the columns. Numbers are the first number of their cell, with comma or point; thousandths that a file gives as
-    integers are divided again. "ms" reads milliseconds, seconds (numbers below 1e11) and ISO times as milliseconds. Lines stored twice count once (of
-    several lines with one number, the least).
+    """All readings as file_id, campaign_id, line_no, the given columns (name to "double", "ms" or "string"), ``numbers``, ``times``, ``texts`` and ``others``.
+
+    A field counts under the first name of its lineage. Each file's script is an array of names, divisors and types in the order of
+    its columns; it turns the file's cells into a map, from which the columns are read. What isn't among the columns is in
+    three maps by name, one type for a name in all files: ``times`` (ms) where a file has it as a clock; else ``numbers``
+    where files with numbers only (or parts of a pose with numbers) are there and at least as many as those with text without any; else ``texts``. A cell of
+    a number or time that can't be read so stays in ``texts``, so that nothing is lost. ``others`` holds the same cells as delivered.
+
+    Numbers are the first number of their cell, with comma or point; outside the columns a cell must be one number
+    with at most a unit, ~ or brackets around it. Thousandths that a file gives as integers are divided again: where that is nearer to the usual level of the lineage (else of the
+    campaign's fields of that name), or, without one, where a quaternion's number is 2 or more. "ms" reads milliseconds, seconds
+    (numbers below 1e11) and ISO times as milliseconds. Lines stored twice count once (of several lines with one number, the least).
     """
     base = Window.partitionBy("lineage")
-    usual = F.median(F.when(F.col("kind") == "decimal", F.col("level"))).over(base)
-    scale = F.when((F.col("kind") == "integer") & ~F.col("clock") & (F.abs(usual) < 2) & (F.abs(F.col("level")) >= 2), 0.001).otherwise(1.0)
-    named = drift.fields.select("file_id", "pos", F.first("field").over(base.orderBy("place")).alias("_name"), scale.alias("_scale"))
-    scripts = named.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_name", "_scale"))).alias("_script"))
+    level = F.col("level")
+    known = F.when(F.col("kind").isin("decimal", "text"), level)
+    fields = drift.fields.select("*", F.first("field").over(base.orderBy("place")).alias("_name"), F.median(known).over(base).alias("_usual"), F.max(F.col("field").rlike(r"(?i)q[1-4]$")).over(base).alias("_unit"))
+    fields = fields.withColumn("_usual", F.coalesce("_usual", F.median(known).over(Window.partitionBy("campaign_id", "_name"))))
+    nearer = (F.abs(level / 1000 - F.col("_usual")) < F.abs(level - F.col("_usual"))) | ((level == 0) & (F.abs("_usual") < 0.5))
+    thousandths = F.coalesce(nearer, F.col("_unit") & (F.abs(level) >= 2))
+    per = F.when((F.col("kind") == "integer") & ~F.col("clock") & thousandths, 1000.0).otherwise(1.0)
+    votes = fields.groupBy("_name").agg(
+        F.coalesce(F.max("clock"), F.lit(False)).alias("_time"), F.count_if(F.col("kind").isin("integer", "decimal") | (F.col("kind") == "text") & level.isNotNull() & F.col("_name").rlike("(?i)[qt][1-4]$")).alias("_n"), F.count_if((F.col("kind") == "text") & level.isNull()).alias("_words")
+    )
+    types = votes.select("_name", F.when(F.col("_time"), "ms").when((F.col("_n") > 0) & (F.col("_n") >= F.col("_words")), "double").otherwise("string").alias("_type"))
+    named = fields.select("file_id", "pos", "_name", per.alias("_per")).join(types, "_name")
+    scripts = named.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_name", "_per", "_type"))).alias("_script"))
     heads = drift.heads.join(scripts, "file_id")
     once = lines.groupBy("file_id", "line_no").agg(F.min("raw_line").alias("raw_line"))
     rows = _readings(once, heads, ["campaign_id", "_script"])
-    cell = F.transform("_script", lambda s: F.struct(s["_name"].alias("k"), F.struct(F.get(F.col("_cells"), s["pos"]).alias("c"), s["_scale"].alias("f")).alias("v")))
+    cell = F.transform("_script", lambda s: F.struct(s["_name"].alias("k"), F.struct(F.get(F.col("_cells"), s["pos"]).alias("c"), s["_per"].alias("f"), s["_type"].alias("t")).alias("v")))
     cells = F.map_from_entries(F.filter(cell, lambda e: ~_missing(e["v"]["c"])))
     rows = rows.withColumn("_map", cells)
 
+    def millis(text: Column) -> Column:
+        number = F.when(text.rlike(r"^\d+([.,]\d+)?$"), _first_number(text))
+        return F.coalesce(F.round(F.when(number < 1e11, number * 1000).otherwise(number)).cast("bigint"), F.unix_millis(text.try_cast("timestamp")))
+
     def column(name: str, kind: str) -> Column:
-        text, factor = F.col("_map")[name]["c"], F.col("_map")[name]["f"]
+        text, per = F.col("_map")[name]["c"], F.col("_map")[name]["f"]
         if kind == "double":
-            return _first_number(text) * factor
+            return _first_number(text) / per
         if kind == "ms":
-            number = F.when(text.rlike(r"^\d+([.,]\d+)?$"), _first_number(text))
-            return F.coalesce(F.round(F.when(number < 1e11, number * 1000).otherwise(number)).cast("bigint"), F.unix_millis(text.try_cast("timestamp")))
+            return millis(text)
         return text
 
-    others = F.transform_values(F.map_filter("_map", lambda k, _: ~k.isin(*columns)), lambda _, v: v["c"])
-    return rows.select("file_id", "campaign_id", "line_no", *[column(n, k).alias(n) for n, k in columns.items()], others.alias("others"))
+    rows = rows.withColumn("_rest", F.map_filter("_map", lambda k, _: ~k.isin(*columns)))
+    typed = F.transform_values("_rest", lambda _, v: F.struct(
+        F.when((v["t"] == "double") & v["c"].rlike(_MEASURED), _first_number(v["c"]) / v["f"]).alias("n"),
+        F.when(v["t"] == "ms", millis(v["c"])).alias("ms"),
+        v["c"].alias("c"),
+    ))
+    rows = rows.withColumn("_typed", typed)
+    of = lambda part: F.transform_values(F.map_filter("_typed", lambda _, v: v[part].isNotNull()), lambda _, v: v[part])
+    texts = F.transform_values(F.map_filter("_typed", lambda _, v: v["n"].isNull() & v["ms"].isNull()), lambda _, v: v["c"])
+    maps = [of("n").alias("numbers"), of("ms").alias("times"), texts.alias("texts"), of("c").alias("others")]
+    return rows.select("file_id", "campaign_id", "line_no", *[column(n, k).alias(n) for n, k in columns.items()], *maps)

@@ -19,10 +19,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_readings(spark: SparkSession, d: str) -> DataFrame:
-    """All readings of the raw tracker files under consistent names and types."""
+    """All readings of the raw tracker files under consistent names and types; fields that not all campaigns have are in maps by type."""
     lines = table(spark, d, "qtm_raw")
     parts = [f"{b}_{p}" for b in ("A_F_MID", "A_T_MEP") for p in ("q1", "q2", "q3", "q4", "t1", "t2", "t3")]
-    return consistent_readings(lines, schema_drift(lines), {"utc_epoch_ms": "ms"} | dict.fromkeys(parts, "double"))
+    return consistent_readings(lines, schema_drift(lines), {"utc_epoch_ms": "ms"} | dict.fromkeys(parts, "double")).drop("others")
 
 
 def _implausible(spark: SparkSession, d: str) -> DataFrame:

@@ -74,3 +74,22 @@ def test_empty_and_starts_anew_after_removal(spark):
     files = [(1, "a,b\n1,x"), (2, "a\n1"), (3, "a,b\n1,2"), (4, "a,b\n,3")]
     got = schema_drift(spark.createDataFrame(lines(files), SCHEMA)).changes
     assert rows(got) == [(2, "removed", "b", ""), (3, "added", "", "b")]
+
+
+def test_fields_outside_the_columns_have_one_type_and_scale(spark):
+    """Integer thousandths, decimal commas, units and times of any field come out as in the neighbouring files."""
+    files = [
+        (1, "utc_epoch_ms;B_N_STY_q1;B_N_STY_t1;note;start\n1841670173946;0,612;150,2;3;2028-05-11T15:02:53.946Z"),
+        (2, "utc_epoch_ms,B_N_STY_q1,B_N_STY_t1,note,start\n1841670174946,612,150.3 mm,all seen,1841670174946"),
+        (3, "utc_epoch_ms,B_N_STY_q1,B_N_STY_t1,note,start\n1841670175946,612,lost,all seen,1841670175946"),
+    ]
+    files += [(4, "utc_epoch_ms,B_N_STY_q1,B_N_STY_t1,note,start\n1841670176946,~0.612,(mm 150.3),all seen,1841670176946")]
+    other = [(9, 2, dt.datetime(2028, 1, 1), i, line) for i, line in enumerate(("utc_epoch_ms;B_N_STY_q1;B_N_STY_q2", "1841670173946;31;-702"), 1)]
+    df = spark.createDataFrame(lines(files) + other, SCHEMA)
+    got = {r.file_id: r for r in consistent_readings(df, schema_drift(df), {"utc_epoch_ms": "ms"}).collect()}
+    assert got[1].numbers == {"B_N_STY_q1": 0.612, "B_N_STY_t1": 150.2} and got[1].texts == {"note": "3"}
+    assert got[2].numbers == {"B_N_STY_q1": 0.612, "B_N_STY_t1": 150.3} and got[2].texts == {"note": "all seen"}
+    assert got[3].numbers == {"B_N_STY_q1": 0.612} and got[3].texts == {"B_N_STY_t1": "lost", "note": "all seen"}
+    assert got[4].numbers == {"B_N_STY_q1": 0.612, "B_N_STY_t1": 150.3}
+    assert [got[i].times for i in (1, 2, 3, 4)] == [{"start": 1841670172946 + 1000 * i} for i in (1, 2, 3, 4)]
+    assert got[9].numbers == {"B_N_STY_q1": 0.031, "B_N_STY_q2": -0.702}  # no decimal file in the lineage
