@@ -193,15 +193,18 @@ def surfaces(frames: DataFrame, id_col: str, dx: float = 1.0, dy: float = 1.0, l
     """Per frame: rows (a depth in pixels from 0 for each column, -1: none), n_columns and roughness of the brightest smooth way.
 
     The confidence of a pixel is its grey value over the image's largest, candidates are pixels of at least ``least``.
+    Columns without candidates cut the way into stretches; each is smoothed by itself, and roughness counts bends within stretches only.
     """
 
     def trace(image: np.ndarray) -> tuple:
         c = image.astype(float) / max(int(image.max()), 1)
         path = best_path(np.where(c >= least, c, np.nan), dx, dy).astype(float)
         on = np.flatnonzero(path >= 0)
-        if smooth and len(on) >= 3 and (np.diff(on) == 1).all():
-            path[on] = huber_smooth(path[on] * dy, c[path[on].astype(int), on], dx) / dy
-        bend = np.diff(path[on], 2) if len(on) >= 3 else np.zeros(0)
+        stretches = np.split(on, np.flatnonzero(np.diff(on) > 1) + 1)
+        for at in stretches:
+            if smooth and len(at) >= 3:
+                path[at] = huber_smooth(path[at] * dy, c[path[at].astype(int), at], dx) / dy
+        bend = np.concatenate([np.diff(path[at], 2) for at in stretches])
         return path.tolist(), len(on), float(np.sqrt((bend**2).mean())) if len(bend) else None
 
     kind = dict(frames.dtypes)[id_col]

@@ -67,3 +67,14 @@ def test_frames(spark):
     assert way[1].rows == [pytest.approx(3)] * 8 and way[1].n_columns == 8 and way[2].rows is None
     levels = {x.id: x.l for x in df.select("id", images.grey_levels(df.image).alias("l")).collect()}
     assert levels[1] == list(image) and levels[3] is None and levels[5] == []
+
+
+def test_stretches_beside_a_gap_are_smoothed_each(spark):
+    depth = 20 + np.array([0, 1, 0, 0, 1, 1, 0, 1, 0, 1, 0, 0])
+    image = np.zeros((40, 25), np.uint8)
+    image[depth, np.arange(12)] = image[depth + 9, np.arange(13, 25)] = 200
+    halves = [(1, 25, 40, image.tobytes()), (2, 12, 40, image[:, :12].tobytes()), (3, 12, 40, image[:, 13:].tobytes())]
+    way = {x.id: x for x in surfaces(spark.createDataFrame([(i, w, h, bytearray(b)) for i, w, h, b in halves], "id int, width int, height int, image binary"), "id").collect()}
+    assert way[1].rows == pytest.approx(way[2].rows + [-1] + way[3].rows)
+    assert way[1].rows[:12] != list(depth)
+    assert way[1].roughness == pytest.approx(np.sqrt((way[2].roughness**2 + way[3].roughness**2) / 2))
