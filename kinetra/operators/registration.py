@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinetra.operators.common import cut_lineage, lookup_join, written
+
+#: Rounds of a robust fit; its bound in median residuals; inlier distance of pairs (mm), of a sphere (share of the extent).
+ROUNDS, MEDIANS, PAIR_MM, SPHERE_SHARE = 6, 3.0, 100.0, 0.05
+
 
 def _moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """n, means and products about them of the columns: two passes, each with partial sums."""
@@ -114,3 +119,48 @@ def principal_axes(points: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     kinds = dict(sums.dtypes)
     return sums.mapInPandas(fit, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n bigint, centre array<double>, axes array<double>, spread array<double>")
+
+
+def _robust(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], fit: Callable[[DataFrame, Sequence[str]], DataFrame], residual: Column, least: Column) -> DataFrame:
+    """``fit`` repeated ROUNDS times without the rows that the fit before leaves too far: n (all rows), inliers and the rest of the fit.
+
+    A row is too far if its residual is above ``least`` (an aggregate over the key's rows) and MEDIANS times the key's median
+    residual. The first fit takes the rows whose numbers all lie within the range of their deciles, widened by itself on both
+    sides. Each round starts from all rows, so that one left out by a poor fit comes back. Rows with an infinite number
+    are left out, keys without a fit stay as ``fit`` gives them.
+    """
+    keys = list(keys)
+    known = rows.dropna(subset=list(columns))
+    for c in columns:
+        known = known.where(F.abs(c) < float("inf"))
+    known = written(known.select(*keys, *columns))
+    deciles = known.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.1, 0.9], 1000).alias(f"_d{c}") for c in columns])
+    deciles = cut_lineage(deciles)
+    start = lookup_join(known, deciles, keys, F.hash(*columns))
+    for c in columns:
+        low, high = F.get(f"_d{c}", F.lit(0)), F.get(f"_d{c}", F.lit(1))
+        start = start.where(F.col(c).between(2 * low - high, 2 * high - low))
+    found = cut_lineage(fit(start.select(*keys, *columns), keys))
+    for _ in range(ROUNDS):
+        away = lookup_join(known, found.drop("n"), keys, F.hash(*columns)).withColumn("_r", residual)
+        bound = away.groupBy(*keys).agg(F.greatest(least, MEDIANS * F.percentile_approx("_r", 0.5, 1000)).alias("_bound"))
+        near = lookup_join(away, bound, keys, F.hash(*columns)).where("_r is null or _r <= _bound")
+        found = cut_lineage(fit(near.select(*keys, *columns), keys))
+    return found.withColumnRenamed("n", "inliers").join(deciles.select(*keys, "n"), keys)
+
+
+def robust_rigid_fit(pairs: DataFrame, keys: Sequence[str], within: float = PAIR_MM) -> DataFrame:
+    """rigid_fit without the pairs that lie more than ``within``, and three median residuals, off; n counts all pairs, inliers (and rmse) those that are left."""
+    at = lambda i: F.get("transform", F.lit(i))
+    off = [at(4 * i) * F.col("x") + at(4 * i + 1) * F.col("y") + at(4 * i + 2) * F.col("z") + at(4 * i + 3) - F.col(c) for i, c in enumerate("uvw")]
+    return _robust(pairs, keys, "xyzuvw", rigid_fit, F.sqrt(sum((d * d for d in off), F.lit(0.0))), F.lit(within))
+
+
+def robust_sphere_fit(points: DataFrame, keys: Sequence[str], share: float = SPHERE_SHARE) -> DataFrame:
+    """sphere_fit without the points that are off the sphere by more than ``share`` of the largest extent, and three median residuals.
+
+    The extent is between the 5th and 95th percentile, so that spikes don't widen it. n counts all points, inliers those that are left.
+    """
+    off = [F.col(c) - F.get("centre", F.lit(i)) for i, c in enumerate("xyz")]
+    extent = F.greatest(*[F.percentile_approx(c, 0.95, 1000) - F.percentile_approx(c, 0.05, 1000) for c in "xyz"])
+    return _robust(points, keys, "xyz", sphere_fit, F.abs(F.sqrt(sum((d * d for d in off), F.lit(0.0))) - F.col("radius")), share * extent)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kinetra.operators.common import cut_lineage
 from kinetra.operators.images import Segmentation, segmented, surfaces
 from kinetra.operators.optimise import evolve
-from kinetra.operators.registration import plane_fit, principal_axes, rigid_fit, sphere_fit
+from kinetra.operators.registration import plane_fit, principal_axes, robust_rigid_fit, robust_sphere_fit
 from kinetra.plans.tables import table
 
 
@@ -35,9 +35,9 @@ def _body(spark, d, body):
 
 
 def rigid_registration(spark, d):
-    """Per session the rigid motion from one body's places to another's."""
+    """Per session the rigid motion from one body's places to another's, without outliers."""
     pairs = _body(spark, d, "A_T_MEP").join(_body(spark, d, "B_N_REF").select("reading_id", *[F.col(a).alias(b) for a, b in zip("xyz", "uvw")]), "reading_id")
-    return rigid_fit(pairs, ["session_id"]).select("session_id", "n", "status", F.round("rmse", 4).alias("rmse"))
+    return robust_rigid_fit(pairs, ["session_id"]).select("session_id", "n", "inliers", "status", F.round("rmse", 4).alias("rmse"))
 
 
 def plane_of_track(spark, d):
@@ -46,8 +46,8 @@ def plane_of_track(spark, d):
 
 
 def sphere_of_track(spark, d):
-    """Per station the sphere nearest to a body's places."""
-    return sphere_fit(_body(spark, d, "A_T_MEP").where("station is not null"), ["station"]).select("station", "n", F.round("radius", 2).alias("radius"))
+    """Per station the sphere nearest to a body's places, without outliers."""
+    return robust_sphere_fit(_body(spark, d, "A_T_MEP").where("station is not null"), ["station"]).select("station", "n", "inliers", F.round("radius", 2).alias("radius"))
 
 
 def axes_of_track(spark, d):

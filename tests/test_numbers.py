@@ -189,3 +189,20 @@ def test_fits(spark):
     moments = tracks.quaternion_moments(spark.createDataFrame([("a", [0.0, 2.0, 0.0, 0.0]), ("a", [0.0, -1.0, 0.0, 0.0]), ("b", None)], "k string, q array<double>"), ["k"], F.col("q"))
     mean = {x.k: x.q for x in tracks.mean_rotation(moments).collect()}
     assert [abs(v) for v in mean["a"]] == [pytest.approx(v) for v in (0, 1, 0, 0)] and mean["b"] is None
+
+
+def test_spikes_do_not_move_fits(spark):
+    r = np.random.default_rng(4)
+    m = la_exp(r.normal(size=6))
+    p = 300 * r.normal(size=(80, 3))
+    q = p @ m[:3, :3].T + m[:3, 3]
+    q[:6] += r.uniform(2000, 9000, (6, 3))
+    df = spark.createDataFrame([("a", *map(float, (*x, *y))) for x, y in zip(p, q)] + [("few", 1.0, 2.0, 3.0, 1.0, 2.0, 3.0)], "k string, x double, y double, z double, u double, v double, w double")
+    got = {x.k: x for x in registration.robust_rigid_fit(df, ["k"]).collect()}
+    assert np.abs(np.array(got["a"].transform).reshape(4, 4) - m).max() < 1e-6 and got["a"].rmse < 1e-4
+    assert (got["a"].n, got["a"].inliers, got["few"].status) == (80, 74, "skipped")
+    ball = 500 * p / np.linalg.norm(p, axis=1)[:, None] + [1, 2, 3]
+    ball[:3] += [5000.0, -3000.0, 4000.0]
+    points = spark.createDataFrame([("s", *map(float, x)) for x in ball], "k string, x double, y double, z double")
+    s = registration.robust_sphere_fit(points, ["k"]).collect()[0]
+    assert (s.n, s.inliers) == (80, 77) and s.radius == pytest.approx(500) and s.centre == [pytest.approx(v, abs=1e-4) for v in (1, 2, 3)]
