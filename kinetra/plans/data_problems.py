@@ -86,7 +86,12 @@ def p5_frames(spark: SparkSession, d: str) -> DataFrame:
     return wide
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p2_found, p2_rules, p3_found, p3_grid, p5_found, p5_frames)}
+def p5_table(spark: SparkSession, d: str) -> DataFrame:
+    """The whole wide table of frames, matrices as arrays of 16 doubles."""
+    return frame_table(table(spark, d, "mha_fields"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p2_found, p2_rules, p3_found, p3_grid, p5_found, p5_frames, p5_table)}
 
 _GRID = """
 WITH steps AS (SELECT session_id, max(grid_ms) AS step FROM sessions WHERE session_id IS NOT NULL GROUP BY 1),
@@ -151,4 +156,5 @@ SELECT session_id, at_ms, CASE WHEN (next_slot - slot) // step - 1 <= 5 THEN rou
   CASE WHEN (next_slot - slot) // step - 1 <= 5 THEN 'interpolated' ELSE 'gap' END FROM missing""",
     "p5_found": _CELLS + "SELECT sequence_id, frame_id, attribute FROM cells WHERE coalesce(CAST(num AS TEXT), CAST(whole AS TEXT), CAST(flag AS TEXT), note, CAST(matrix AS TEXT)) IS NOT NULL",
     "p5_frames": _CELLS + "SELECT sequence_id, frame_id, " + ", ".join(_WIDE[k].format(a) for a, k in HEADER_ATTRIBUTES.items()) + " FROM cells GROUP BY 1, 2",
+    "p5_table": _CELLS + "SELECT sequence_id, frame_id, " + ", ".join((_WIDE | {"matrix": "max(matrix) FILTER (attribute = '{0}') AS {0}"})[k].format(a) for a, k in HEADER_ATTRIBUTES.items()) + " FROM cells GROUP BY 1, 2",
 }

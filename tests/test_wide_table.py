@@ -58,3 +58,10 @@ def test_frames(spark):
     assert rows(got.select("sequence_id", "frame_id", "Timestamp")) == [(1, 0, 0.5), (1, 1, None), (2, 7, None)]
     assert rows(cells(got, ["sequence_id", "frame_id"])) == [(1, 0, "Timestamp"), (2, 7, "FreezeOn")]
     assert frame_table(df.limit(0)).count() == 0
+
+
+def test_a_query_gives_all_numbers_of_the_matrices(spark):
+    from kinetra.plans.catalog import queries
+
+    got = queries()["p5_table"](spark, "/root/testdata/sf0.001").where("ProbeToTrackerDeviceTransform is not null").collect()
+    assert got and all(len(r.ProbeToTrackerDeviceTransform) == 16 for r in got)
