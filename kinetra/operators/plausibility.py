@@ -158,7 +158,8 @@ def implausible_readings(
     hour = F.expr("cast(pmod(floor(_t / 3600000), 24) as int)")
     w = Window.partitionBy(*keys, F.expr("floor(_t / 3600000)")).orderBy("_t", "_id")
 
-    # the value before, turned where the companions turn
+    # the value before, turned where the companions turn; readings delivered again are no changes
+    long = long.withColumn("_id_before", F.lag("_id").over(w)).where("_id_before is null or _id_before <> _id").drop("_id_before")
     dot = sum((F.col(f"_o{i}") * F.lag(f"_o{i}").over(w) for i in range(3)), F.lit(0.0))
     before = F.lag("value").over(w) * F.when(dot < 0, -1).otherwise(1)
     change = long.select(*keys, "_t", (F.col("value") - before).alias("_change")).where("_change is not null and not isnan(_change)")

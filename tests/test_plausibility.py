@@ -92,3 +92,9 @@ def test_transforms(spark):
 @pytest.mark.parametrize("n", [0, 1, 2, 3])
 def test_few_readings(spark, n):
     assert found(spark, series(n)) == set()
+
+
+def test_whole_source_delivered_often_has_the_same_spikes(spark):
+    data = planted()
+    once = found(spark, data)
+    assert found(spark, data * 8) == once == want()
