@@ -8,65 +8,80 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Most rows of a side that is broadcast; the side is counted first. Narrow rows only.
-BROADCAST_ROWS = 50_000
+#: Most rows and bytes of a side that is broadcast; the side is measured first.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 #: Copies of a lookup row, over which the rows of a hot key spread.
 SALTS = 16
 
 
-def few_rows(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``most`` rows. Runs a job that stops early."""
-    return df.limit(most + 1).count() <= most
+def row_bytes(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return 16 + F.coalesce(F.aggregate(value, F.lit(0).cast("bigint"), lambda n, x: n + row_bytes(x, kind.elementType)), F.lit(0))
+    if isinstance(kind, T.MapType):
+        return row_bytes(F.map_keys(value), T.ArrayType(kind.keyType)) + row_bytes(F.map_values(value), T.ArrayType(kind.valueType))
+    if isinstance(kind, T.StructType):
+        return sum((row_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("bigint"))
+    return F.lit(8).cast("bigint")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most so many rows and so many bytes. Runs a job that stops once there are too many rows."""
+    size = sum((row_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
+    n, total = df.select(size.alias("_size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    return n <= rows and total <= bytes_
 
 
 def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Column, how: str = "left") -> DataFrame:
-    """Join many rows with a lookup that has one row a key.
+    """Join many rows with a lookup that has few rows a key.
 
-    A lookup whose counted size is within BROADCAST_ROWS is broadcast. A larger one is salted: each lookup row is
+    A lookup whose measured rows and bytes are within bounds is broadcast. A larger one is salted: each lookup row is
     copied SALTS times and the rows of a key spread over the copies by the hash of ``spread``, so that a hot key
-    is no single task. ``how`` is "left" or "inner". Null keys match nothing.
+    is no single task. ``how`` is "left", "inner", "left_semi" or "left_anti". Null keys match nothing. The lookup is
+    evaluated twice (measured, joined): pass one that is cheap or written.
     """
     on = list(on)
-    if few_rows(lookup):
+    if small(lookup):
         return rows.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
 
 
 def once_per_id(df: DataFrame, key: str) -> DataFrame:
-    """One row for each ``key``; rows delivered again are left out. Rows with a null key count as one.
+    """``df`` without rows delivered again: those that have the same ``key`` and the same content as another.
 
-    Only the ids are shuffled to find those that repeat. Where few repeat (a counted bound), the others pass without
-    a shuffle of their wide columns; else all rows are shuffled.
+    Rows that share a key, or have none, but differ in another column all stay. Only the keys are shuffled to find those
+    that repeat. Where these are few (measured), the other rows pass without a shuffle of their wide columns; else all rows are shuffled.
     """
     repeated = df.groupBy(key).count().where("count > 1").select(F.col(key).alias("_repeated"))
     n = repeated.limit(BROADCAST_ROWS + 1).count()
     if not n:
         return df
-    if n > BROADCAST_ROWS:
-        return df.dropDuplicates([key])
-    marked = df.join(F.broadcast(repeated), F.col(key).eqNullSafe(F.col("_repeated")), "left_semi")
-    rest = df.join(F.broadcast(repeated), F.col(key).eqNullSafe(F.col("_repeated")), "left_anti")
-    return rest.unionByName(marked.dropDuplicates([key]))
+    if n > BROADCAST_ROWS or not small(repeated):
+        return df.dropDuplicates()
+    same = F.col(key).eqNullSafe(F.col("_repeated"))
+    return df.join(F.broadcast(repeated), same, "left_anti").unionByName(df.join(F.broadcast(repeated), same, "left_semi").dropDuplicates())
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it names none (tests) a local one is set."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only where it names none and all runs on this machine (tests) one is made."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written once to the reliable checkpoint folder, so that later steps neither recompute nor lose it."""
-    _shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again. Unlike a checkpoint it doesn't keep the estimates of
+    """``df`` written once as a table in the shared folder and read again, so that later steps neither recompute nor lose it.
+
+    Unlike a checkpoint, the table is computed once, only the columns in use are read, and it doesn't keep the estimates of
     the plan that made it, which multiply when each round of a loop joins the one before.
     """
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"

@@ -54,3 +54,22 @@ def running_sum(df: DataFrame, keys: Sequence[str], value: Column, name: str, bl
     offsets = sums.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off"))
     inside = Window.partitionBy(*keys, "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     return cut.withColumn("_in", F.sum("_v").over(inside)).join(offsets, [*keys, "_b"]).withColumn(name, F.col("_off") + F.col("_in")).drop("_b", "_v", "_in", "_off")
+
+
+def carried(df: DataFrame, keys: Sequence[str], place: str, values: dict[str, Column], before: bool = False, block: int = BLOCK) -> DataFrame:
+    """``df`` with a column per entry of ``values``: its last known value up to and with each row (``before``: without the row itself).
+
+    ``place`` is a number along which a key's rows are ordered, without ties; rows are cut into blocks by it. Inside a block a window
+    carries values on; what a block begins with comes from the last values of the blocks before, of which there is one row
+    each. Keys may be null.
+    """
+    cut = df.withColumn("_b", F.floor(F.col(place) / block)).withColumns({f"_v_{n}": v for n, v in values.items()})
+    lasts = cut.groupBy(*keys, "_b").agg(*[F.max(F.when(F.col(f"_v_{n}").isNotNull(), F.struct(place, f"_v_{n}")))[f"_v_{n}"].alias(f"_l_{n}") for n in values])
+    earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    begins = lasts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_kb"), *[F.last(f"_l_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "_b").orderBy(place).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    # a block's rows take what it begins with as a row ahead of the first one's
+    within = cut.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
+    out = within.join(begins, same).withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values})
+    return out.drop("_b", "_kb", *[f"_k{i}" for i in range(len(keys))], *[f"_{p}_{n}" for n in values for p in "vic"])

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.operators.common import cut_lineage, lookup_join, written
+from kinetra.operators.common import lookup_join, written
 
 #: Rounds of a robust fit; its bound in median residuals; inlier distance of pairs (mm), of a sphere (share of the extent).
 ROUNDS, MEDIANS, PAIR_MM, SPHERE_SHARE = 6, 3.0, 100.0, 0.05
@@ -135,17 +135,17 @@ def _robust(rows: DataFrame, keys: Sequence[str], columns: Sequence[str], fit: C
         known = known.where(F.abs(c) < float("inf"))
     known = written(known.select(*keys, *columns))
     deciles = known.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(c, [0.1, 0.9], 1000).alias(f"_d{c}") for c in columns])
-    deciles = cut_lineage(deciles)
+    deciles = written(deciles)
     start = lookup_join(known, deciles, keys, F.hash(*columns))
     for c in columns:
         low, high = F.get(f"_d{c}", F.lit(0)), F.get(f"_d{c}", F.lit(1))
         start = start.where(F.col(c).between(2 * low - high, 2 * high - low))
-    found = cut_lineage(fit(start.select(*keys, *columns), keys))
+    found = written(fit(start.select(*keys, *columns), keys))
     for _ in range(ROUNDS):
         away = lookup_join(known, found.drop("n"), keys, F.hash(*columns)).withColumn("_r", residual)
         bound = away.groupBy(*keys).agg(F.greatest(least, MEDIANS * F.percentile_approx("_r", 0.5, 1000)).alias("_bound"))
         near = lookup_join(away, bound, keys, F.hash(*columns)).where("_r is null or _r <= _bound")
-        found = cut_lineage(fit(near.select(*keys, *columns), keys))
+        found = written(fit(near.select(*keys, *columns), keys))
     return found.withColumnRenamed("n", "inliers").join(deciles.select(*keys, "n"), keys)
 
 

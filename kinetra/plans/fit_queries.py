@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kinetra.operators.common import cut_lineage
+from kinetra.operators.common import written
 from kinetra.operators.images import Segmentation, segmented, surfaces
 from kinetra.operators.optimise import evolve
 from kinetra.operators.registration import plane_fit, principal_axes, robust_rigid_fit, robust_sphere_fit
@@ -61,7 +61,7 @@ def median_places(spark, d):
     Places are counted on a 10 mm grid first, so that each generation reads cells and not readings.
     """
     half = lambda c: (F.floor(F.col(c) / 10) * 10 + 5).alias(c)
-    cells = cut_lineage(_body(spark, d, "A_F_MID").dropna(subset=["station", "x", "y"]).where("abs(x) < 1000 and abs(y) < 1000").select("station", half("x"), half("y")).groupBy("station", "x", "y").agg(F.count("*").alias("n")))
+    cells = written(_body(spark, d, "A_F_MID").dropna(subset=["station", "x", "y"]).where("abs(x) < 1000 and abs(y) < 1000").select("station", half("x"), half("y")).groupBy("station", "x", "y").agg(F.count("*").alias("n")))
 
     def objective(candidates):
         away = F.sqrt(F.pow(F.get("candidates.x", F.lit(0)) - F.col("cells.x"), 2) + F.pow(F.get("candidates.x", F.lit(1)) - F.col("cells.y"), 2))
