@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import math
+import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Tokens of a block, the unit that is scheduled, unless a mix then has more than MOST_BLOCKS.
-BLOCK_TOKENS, MOST_BLOCKS = 2_048, 65_536
+from kinetra.operators.common import lookup_join, written
+
+#: Tokens of a block, by less than which a source is ahead or behind; it is scheduled as two units.
+BLOCK_TOKENS = 2_048
+#: Units of a segment of the schedule, which is one small step of Python inside a Spark task.
+SEGMENT = 16_384
 #: Documents of a bucket of a source's stream, about; a bucket is what is ordered in one task.
 BUCKET_DOCS = 50_000
 
@@ -35,46 +40,65 @@ def quotas(total: float, shares: list[float], capacity: list[float]) -> list[flo
     return got
 
 
-def pfair_slots(blocks: list[int], weights: list[float]) -> list[tuple[int, int]]:
-    """(source, block of the source) for each slot.
+def segment_units(units: list[int], length: int = SEGMENT) -> Iterator[list[int]]:
+    """How many units each source has in each segment of ``length`` slots, together ``length`` (the last segment: what is left).
 
-    Block i of a source with weight w is released at floor(i / w) and due at ceil((i + 1) / w); each slot goes to the
-    released block that is due first, at equal deadlines to the source listed first. While all sources have blocks,
-    no source is a whole block ahead of or behind weight times slots.
+    Unit i of a source with u of all n units is released at i n / u and due at (i + 1) n / u. A segment holds all units
+    that fall due in it, and then those released before its end that are due first (the source listed first at equal
+    deadlines). As units wait for their release and none is late, each source has floor or ceil of its share of the slots
+    at every end of a segment.
+    """
+    n, done = sum(units), [0] * len(units)
+    for start in range(0, n, length):
+        end = min(start + length, n)
+        now = [max(d, u * end // n) for u, d in zip(units, done)]
+        open_ = sorted((-(-(k + 1) * n // u), s) for s, (u, k) in enumerate(zip(units, now)) if u and k < -(-u * end // n))
+        for _, s in open_[: end - sum(now)]:
+            now[s] += 1
+        yield [a - b for a, b in zip(now, done)]
+        done = now
+
+
+def pfair_slots(units: list[int]) -> list[tuple[int, int]]:
+    """(source, unit of the source) for each slot, of which there are as many as units.
+
+    Unit i of a source with u of all n units is released at floor(i n / u) and due at ceil((i + 1) n / u); each slot goes to
+    the released unit that is due first, at equal deadlines to the source listed first. No source is ever a whole unit
+    ahead of or behind its share of the slots.
     """
-    done, out = [0] * len(blocks), []
-    for t in range(sum(blocks)):
-        ready = [(math.ceil((done[s] + 1) / weights[s] - 1e-9), s) for s in range(len(blocks)) if done[s] < blocks[s] and math.floor(done[s] / weights[s] + 1e-9) <= t]
-        if not ready:  # rounding of last blocks only
-            ready = [(math.ceil((done[s] + 1) / weights[s]), s) for s in range(len(blocks)) if done[s] < blocks[s]]
-        s = min(ready)[1]
-        out.append((s, done[s]))
-        done[s] += 1
+    n, out = sum(units), []
+    waiting = [(0, s, 0) for s, u in enumerate(units) if u]  # release, source, unit
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, int]] = []  # deadline, source, unit
+    for t in range(n):
+        while waiting and waiting[0][0] <= t:
+            _, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(i + 1) * n // units[s]), s, i))
+        _, s, i = heapq.heappop(ready)
+        out.append((s, i))
+        if i + 1 < units[s]:
+            heapq.heappush(waiting, ((i + 1) * n // units[s], s, i + 1))
     return out
 
 
-def mix_plan(targets: DataFrame, stock: DataFrame, block_tokens: int = BLOCK_TOKENS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """One row per mix, listed source and block of it, with the block's slot; a source without quota has one row without.
+_QUOTAS = "mix_name string, source string, quota double, units bigint, unit_tokens double, target_share double, max_repeats int, source_tokens double"
+
 
-    ``targets``: mix_name, source, target_share, max_repeats, size_ratio. ``stock``: source, tokens, all_tokens. The
-    rows of a mix are few (its sources), and a mix has at most most_blocks blocks plus one per source, whatever the
-    size of the data; blocks are larger where there is more.
+def mix_quotas(targets: DataFrame, stock: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per mix and listed source: quota in tokens and in units of half a block, and its share of the mix's target shares.
+
+    ``targets``: mix_name, source, target_share, max_repeats, size_ratio. ``stock``: source, tokens, all_tokens. A group is a
+    mix's listed sources; nothing here grows with the documents.
     """
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("source", kind="stable").reset_index(drop=True)
-        shares = [float(x) for x in pdf.target_share]
-        capacity = [float(t * r) for t, r in zip(pdf.tokens, pdf.max_repeats)]
-        got = quotas(float(pdf.size_ratio.max()) * float(pdf.all_tokens.max()), shares, capacity)
-        total, weight = sum(got), sum(shares)
-        size = max(float(block_tokens), total / most_blocks)
-        used = [i for i, q in enumerate(got) if q > 0]
-        slots = pfair_slots([math.ceil(got[i] / size) for i in used], [got[i] / total for i in used])
-        rows = [(pdf.mix_name[0], pdf.source[used[s]], b, at, got[used[s]], size, shares[used[s]] / weight, int(pdf.max_repeats[used[s]]), float(pdf.tokens[used[s]])) for at, (s, b) in enumerate(slots)]
-        rows += [(pdf.mix_name[0], pdf.source[i], None, None, 0.0, size, shares[i] / weight if weight else 0.0, int(pdf.max_repeats[i]), float(pdf.tokens[i])) for i in range(len(pdf)) if i not in used]
-        return pd.DataFrame(rows, columns=names).astype({"block": "Int64", "slot": "Int64"})
-
-    names = ["mix_name", "source", "block", "slot", "quota", "block_tokens", "target_share", "max_repeats", "source_tokens"]
+        capacity = pdf.tokens * pdf.max_repeats
+        got = quotas(float(pdf.size_ratio.max()) * float(pdf.all_tokens.max()), [float(x) for x in pdf.target_share], [float(x) for x in capacity])
+        unit, weight = block_tokens / 2, float(pdf.target_share.sum())
+        return pdf.assign(quota=got, units=[-int(-g // unit) for g in got], unit_tokens=unit, target_share=pdf.target_share / weight if weight else 0.0, source_tokens=pdf.tokens.astype(float))[names]
+
+    names = [x.split()[0] for x in _QUOTAS.split(", ")]
     listed = (
         targets.where(F.col("mix_name").isNotNull() & F.col("source").isNotNull())
         .groupBy("mix_name", F.lower(F.trim("source")).alias("source"))
@@ -85,7 +109,34 @@ def mix_plan(targets: DataFrame, stock: DataFrame, block_tokens: int = BLOCK_TOK
         )
     )
     full = listed.join(F.broadcast(stock.agg(F.max("all_tokens").alias("all_tokens"))), how="cross").join(stock.select("source", "tokens"), "source", "left").fillna(0, ["tokens", "all_tokens"])
-    return full.groupBy("mix_name").applyInPandas(plan, "mix_name string, source string, block bigint, slot bigint, quota double, block_tokens double, target_share double, max_repeats int, source_tokens double")
+    return full.groupBy("mix_name").applyInPandas(plan, _QUOTAS)
+
+
+def mix_slots(quotas: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """mix_name, source, unit, slot of every unit of every mix.
+
+    Two levels: how many units each source has in each segment (a step a segment, see segment_units), then the order inside
+    a segment, each a row of its own that Spark spreads over all tasks. In a segment units are scheduled by their share of
+    the segment. Either level is less than a unit off, so that a source is always less than a block, which is two units, ahead or behind.
+    """
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source", kind="stable")
+        mix, sources, done, rows = pdf.mix_name.iloc[0], list(pdf.source), [0] * len(pdf), []
+        for k, units in enumerate(segment_units([int(u) for u in pdf.units], segment)):
+            rows.append((mix, k * segment, sources, list(done), units))
+            done = [a + b for a, b in zip(done, units)]
+        return pd.DataFrame(rows, columns=["mix_name", "at", "sources", "done", "units"])
+
+    def order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for mix, at, sources, done, units in zip(pdf.mix_name, pdf["at"], pdf.sources, pdf.done, pdf.units):
+                slots = pfair_slots([int(u) for u in units])
+                yield pd.DataFrame({"mix_name": mix, "source": [sources[s] for s, _ in slots], "unit": [int(done[s]) + i for s, i in slots], "slot": range(int(at), int(at) + len(slots))})
+
+    segments = quotas.where("units > 0").groupBy("mix_name").applyInPandas(split, "mix_name string, at bigint, sources array<string>, done array<bigint>, units array<bigint>")
+    n = int(quotas.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return segments.repartition(n, "mix_name", "at").mapInPandas(order, "mix_name string, source string, unit bigint, slot bigint")
 
 
 def stock_of(sized: DataFrame) -> DataFrame:
@@ -94,21 +145,21 @@ def stock_of(sized: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(sized.agg(F.sum("n_tokens").alias("all_tokens")))).where("source is not null")
 
 
-def mixed(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+def mixed(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS, segment: int = SEGMENT) -> DataFrame:
     """The documents of each mix, each as often as it is used: mix_name, source, doc_id, copy_no (from 1), n_tokens, slot, start_token.
 
     ``sized``: doc_id, source (lower case, trimmed, null: in no mix), n_tokens; one row per document. Read in the order of
-    (slot, start_token), a mix's sources interleave evenly (see pfair_slots); slots are blocks of tokens. A source's
+    (slot, start_token), a mix's sources interleave evenly: slots are units of half a block, and of each source less than
+    a block is ahead of or behind its share (see mix_slots), at any size of the data. A source's
     documents form a stream in an order given by the hash of their ids, repeated up to max_repeats times; start_token is
     a document's place in it. A document is used if more than half of it lies within the source's quota (see quotas), so
     a source misses its quota by at most half a document. Sources that compare equal in a mix add up their shares; the
     smallest max_repeats counts, null as 1. Documents without tokens have no text to add and are left out.
 
     Place in a stream: sums per bucket of hash values, then the running sum inside each bucket; a source that holds most
-    documents is as many tasks as it has buckets. The plan has one row per block; documents find theirs by arithmetic,
-    and the plan's counted size decides whether the join broadcasts it.
+    documents is as many tasks as it has buckets. Documents find their unit by arithmetic and join its slot.
     """
-    stock = stock_of(sized)
+    stock = written(stock_of(sized))
     have = sized.select("doc_id", "source", "n_tokens").where("source is not null and n_tokens > 0")
     n = max(1, -(-sized.count() // BUCKET_DOCS))
     have = have.withColumn("_h", F.xxhash64("doc_id")).withColumn("_b", F.pmod("_h", F.lit(n)))
@@ -116,25 +167,23 @@ def mixed(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS
     starts = have.groupBy("source", "_b").agg(F.sum("n_tokens").alias("_sum")).select("source", "_b", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_from"))
     inside = Window.partitionBy("source", "_b").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     stream = have.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(starts, ["source", "_b"]).withColumn("_at", F.col("_from") + F.col("_in"))
-    plan = mix_plan(targets, stock, block_tokens, most_blocks)
-    heads = plan.where("quota > 0").groupBy("mix_name", "source").agg(*[F.max(c).alias(c) for c in ("quota", "block_tokens", "max_repeats", "source_tokens", "block")])
+    quotas = written(mix_quotas(targets, stock, block_tokens))
     uses = F.expr("least(max_repeats, greatest(0, ceil((quota - _at - n_tokens / 2) / source_tokens)))").cast("int")
     placed = (
-        stream.join(F.broadcast(heads), "source")  # at most one row per row of targets
+        lookup_join(stream, quotas.where("quota > 0"), ["source"], F.col("doc_id"), "inner")
         .withColumn("_uses", uses)
         .where("_uses > 0")
         .withColumn("copy_no", F.explode(F.expr("sequence(1, _uses)")))
         .withColumn("start_token", F.expr("cast((copy_no - 1) * source_tokens + _at as bigint)"))
-        .withColumn("block", F.expr("least(block, cast(floor(start_token / block_tokens) as bigint))"))
+        .withColumn("unit", F.expr("least(units - 1, cast(floor(start_token / unit_tokens) as bigint))"))
     )
-    slots = plan.where("slot is not null").select("mix_name", "source", "block", "slot")
-    return placed.join(slots, ["mix_name", "source", "block"]).select("mix_name", "source", "doc_id", "copy_no", "n_tokens", "slot", "start_token")
+    return placed.join(mix_slots(quotas, segment), ["mix_name", "source", "unit"]).select("mix_name", "source", "doc_id", "copy_no", "n_tokens", "slot", "start_token")
 
 
 def reached_shares(mix: DataFrame, sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per mix and listed source: target_share (of their sum), tokens and share reached, documents and uses, most uses of one."""
+    """Per mix and listed source: target_share (of their sum), quota, tokens and share reached, documents and uses, most uses of one."""
     got = mix.groupBy("mix_name", "source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("uses"), F.sum(F.when(F.col("copy_no") == 1, 1).otherwise(0)).alias("documents"), F.max("copy_no").alias("most_uses"))
-    planned = mix_plan(targets, stock_of(sized)).groupBy("mix_name", "source").agg(F.max("target_share").alias("target_share"), F.max("quota").alias("quota"))
+    planned = mix_quotas(targets, stock_of(sized)).select("mix_name", "source", "target_share", "quota")
     both = planned.join(got, ["mix_name", "source"], "left").fillna(0, ["tokens", "uses", "documents", "most_uses"])
     total = F.sum("tokens").over(Window.partitionBy("mix_name"))
     return both.withColumn("share", F.when(total > 0, F.col("tokens") / total))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.operators.common import cut_lineage, lookup_join
+from kinetra.operators.common import lookup_join, written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: Rounds of scoring; by how many a context must be sure of a kind; how often an item must lie in such contexts.
@@ -233,12 +233,12 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, occurrences: DataFrame, rounds
     for _ in range(rounds):
         hits = edges.join(items, ["group", "item"]).groupBy("group", "context", "kind").agg(F.sum("n").alias("seen"))
         contexts = hits.join(in_context, ["group", "context"]).withColumn("sure", F.col("seen") / F.col("all")).where((F.col("sure") >= enough) & (F.col("seen") >= SEEN)).drop("all")
-        contexts = cut_lineage(contexts)
+        contexts = written(contexts)
         in_sure = edges.join(contexts.drop("seen"), ["group", "context"]).groupBy("group", "item", "kind").agg(F.sum("n").alias("n"))
         best = Window.partitionBy("group", "item").orderBy(F.desc("n"), "kind")
         found = in_sure.withColumn("_r", F.row_number().over(best)).where("_r = 1").join(of_item, ["group", "item"])
         found = found.where((F.col("n") >= share * F.col("all")) & (F.col("n") >= SEEN)).select("group", "item", "kind")
-        items = cut_lineage(found.join(seeds, ["group", "item"], "left_anti").unionByName(seeds))
+        items = written(found.join(seeds, ["group", "item"], "left_anti").unionByName(seeds))
     return items, contexts
 
 
@@ -284,11 +284,11 @@ def personal_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     more than that; items and contexts are joined, by broadcast only within a counted bound.
     """
     found = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(candidate_spans(F.col(text_col))).alias("_c")).select("_id", "_c.*")
-    found = cut_lineage(found)
+    found = written(found)
     emails = found.where("group = 'email'")
     others = found.where("group <> 'email'")
-    edges = cut_lineage(others.select("group", F.explode("items").alias("item"), "contexts").select("group", "item", F.explode("contexts").alias("context")).groupBy("group", "item", "context").agg(F.count("*").alias("n")))
-    occurrences = cut_lineage(others.select("group", F.explode("items").alias("item")).groupBy("group", "item").agg(F.count("*").alias("n")))
+    edges = written(others.select("group", F.explode("items").alias("item"), "contexts").select("group", "item", F.explode("contexts").alias("context")).groupBy("group", "item", "context").agg(F.count("*").alias("n")))
+    occurrences = written(others.select("group", F.explode("items").alias("item")).groupBy("group", "item").agg(F.count("*").alias("n")))
     known = occurrences.select("group", "item")
     kind = F.when(F.lit(False), "")
     for k, pattern in SEEDS.items():
@@ -297,8 +297,8 @@ def personal_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     seeds = known.withColumn("kind", kind).where("kind is not null").unionByName(known.join(words, ["group", "item"], "left_semi").withColumn("kind", F.lit("name")))
     titled = edges.where((F.col("group") == "name") & F.col("context").isin(*TITLE_CONTEXTS)).select("group", "item", F.lit("name").alias("kind"))
     seeds = seeds.unionByName(titled).distinct()
-    items, contexts = bootstrap(edges, cut_lineage(seeds), occurrences)
-    items = cut_lineage(items.unionByName(_by_ending(known, items)))
+    items, contexts = bootstrap(edges, written(seeds), occurrences)
+    items = written(items.unionByName(_by_ending(known, items)))
     # what each candidate's items and contexts say
     span = ["_id", "group", "start", "stop"]
     by_item = lookup_join(others.select(*span, F.size("items").alias("_all"), F.explode("items").alias("item")), items, ["group", "item"], F.col("_id"), "inner")

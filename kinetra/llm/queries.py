@@ -9,7 +9,7 @@ from kinetra.llm.encode import token_count, token_ids
 from kinetra.llm.mixing import mixed, reached_shares
 from kinetra.llm.nearest_time import nearest_in_time
 from kinetra.llm.personal_info import personal_spans, redacted
-from kinetra.operators.common import cut_lineage, lookup_join, once_per_id
+from kinetra.operators.common import lookup_join, once_per_id, written
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -43,7 +43,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     documents = once_per_id(_table(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
     source = F.lower(F.trim("source"))
-    return cut_lineage(documents.select("doc_id", F.when(source != "", source).alias("source"), token_count(F.col("text")).alias("n_tokens")))
+    return written(documents.select("doc_id", F.when(source != "", source).alias("source"), token_count(F.col("text")).alias("n_tokens")))
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from kinetra.llm.encode import VOCABULARIES, VOCABULARY, Encoder, token_count, token_ids, vocabulary
-from kinetra.llm.mixing import mixed, pfair_slots, quotas, reached_shares
+from kinetra.llm.mixing import mixed, pfair_slots, quotas, reached_shares, segment_units
 from kinetra.llm.nearest_time import nearest_in_time
 from kinetra.llm.personal_info import candidates, personal_spans, plain, redacted
 
@@ -97,17 +97,36 @@ def test_quotas():
     assert quotas(100, [0, 0], [10, 10]) == [0, 0]
 
 
-@settings(max_examples=25, deadline=None)
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=6))
-def test_no_source_is_a_block_off(parts):
-    total = sum(parts)
-    weights = [p / total for p in parts]
-    slots = pfair_slots([p * 5 for p in parts], weights)
-    done = [0] * len(parts)
-    for t, (s, block) in enumerate(slots, 1):
-        assert block == done[s]
-        done[s] += 1
-        assert all(abs(d - w * t) < 1 + 1e-6 for d, w in zip(done, weights))
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 300), min_size=1, max_size=6).filter(sum), st.sampled_from([1, 7, 50, 10_000]))
+def test_no_source_is_a_block_off(units, length):
+    """Units are half blocks: less than two units off at any time, less than one where a single segment holds all."""
+    n, t, done = sum(units), 0, [0] * len(units)
+    for part in segment_units(units, length):
+        slots = pfair_slots(part)
+        assert len(slots) == sum(part) == min(length, n - t) and min(part) >= 0
+        for s, _ in slots:
+            t += 1
+            done[s] += 1
+            off = max(abs(d - u * t / n) for d, u in zip(done, units))
+            assert off < (1 if length >= n else 2)
+        assert max(abs(d - u * t / n) for d, u in zip(done, units)) < 1
+    assert done == units
+
+
+def test_ten_million_blocks_are_as_exact_as_few():
+    units = [1, 13, 20_000_000 // 3, 5_000_001, 777, 8_333_000]
+    n, t, done = sum(units), 0, [0] * len(units)
+    for k, part in enumerate(segment_units(units)):
+        slots = pfair_slots(part) if k % 97 == 0 else None
+        now = list(done)
+        for i, (s, _) in enumerate(slots or [], 1):
+            now[s] += 1
+            if i % 501 == 0:
+                assert all(abs(d - u * (t + i) / n) < 2 for d, u in zip(now, units))
+        t, done = t + sum(part), [a + b for a, b in zip(done, part)]
+        assert all(abs(d - u * t / n) < 1 for d, u in zip(done, units))
+    assert done == units
 
 
 def test_mix(spark):
@@ -132,6 +151,7 @@ def test_mix(spark):
         assert abs(done["big"] - done["small"]) < 50 * 2 + 120
     shares = {(x.mix_name, x.source): x for x in reached_shares(mixed(sized, t, 50), sized, t).collect()}
     assert shares["m", "big"].share == pytest.approx(0.5, abs=0.02) and shares["m", "absent"].tokens == 0 and shares["m", "big"].target_share == pytest.approx(1 / 3)
+    assert sorted(map(tuple, mixed(sized, t, 50, 7).drop("slot").collect()), key=repr) == sorted(map(tuple, mixed(sized, t, 50).drop("slot").collect()), key=repr)
     assert mixed(sized.limit(0), t).count() == 0 and mixed(sized, t.limit(0)).count() == 0
 
 
