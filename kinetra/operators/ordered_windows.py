@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -11,22 +11,32 @@ from pyspark.sql import functions as F
 BLOCK = 65_536
 
 
-def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, once: bool = False) -> DataFrame:
-    """``df`` with ``_at``: the place, from 0, in the key's order.
-
-    ``part`` never falls along the order; it cuts a key into parts, each ordered in one task, whose counts give the
-    places of their first rows; only those counts are ordered per key. ``once``: of rows with the same last column of
-    the order, which follow each other, one is kept. Rows with a null key are left out.
-    """
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, once: bool = False, extra: Callable[[WindowSpec], dict[str, Column]] | None = None) -> DataFrame:
+    """``df`` with ``_part`` and ``_n``, the place in the part, from 0; see indexed. ``extra`` gives further columns over the window of a part."""
     w = Window.partitionBy(*keys, "_part").orderBy(*order)
     cut = df.withColumn("_part", part)
     if once:
         before = F.lag(order[-1]).over(w)
         cut = cut.withColumn("_prev", before).where(F.col("_prev").isNull() | (F.col("_prev") != F.col(order[-1]))).drop("_prev")
-    counts = cut.groupBy(*keys, "_part").count()
+    return cut.withColumns({"_n": F.row_number().over(w) - 1} | (extra(w) if extra else {}))
+
+
+def placed(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Numbered rows with ``_at``, the place, from 0, in the key's order: the counts of the parts before, and the place in the part."""
+    counts = rows.groupBy(*keys, "_part").count()
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select(*keys, "_part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_first"))
-    return cut.withColumn("_n", F.row_number().over(w) - 1).join(firsts, [*keys, "_part"]).withColumn("_at", F.col("_first") + F.col("_n")).drop("_first", "_n", "_part")
+    return rows.join(firsts, [*keys, "_part"]).withColumn("_at", F.col("_first") + F.col("_n")).drop("_first", "_n", "_part")
+
+
+def indexed(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, once: bool = False) -> DataFrame:
+    """``df`` with ``_at``: the place, from 0, in the key's order.
+
+    ``part`` never falls along the order; it cuts a key into parts, each ordered in one task, whose counts give the
+    places of their first rows; only those counts are ordered per key. ``once``: of rows with the same last column of
+    the order, which follow each other, one is kept. Rows with a null key are left out.
+    """
+    return placed(numbered(df, keys, order, part, once), keys)
 
 
 def with_neighbours(df: DataFrame, keys: Sequence[str], before: int, after: int, block: int = BLOCK) -> tuple[DataFrame, WindowSpec]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinetra.operators.common import lookup_join
+from kinetra.operators.common import lookup_join, written
 from kinetra.operators.plausibility import implausible_readings, implausible_transforms
 from kinetra.operators.regular_grid import regular_grid
 from kinetra.operators.schema_drift import consistent_readings, schema_drift
@@ -27,17 +27,17 @@ def p1_readings(spark: SparkSession, d: str) -> DataFrame:
 
 def _implausible(spark: SparkSession, d: str) -> DataFrame:
     ranges = table(spark, d, "stations").where("station is not null").groupBy("station").agg(F.max("range_mm").alias("range_mm"))
-    sessions = table(spark, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.max("station").alias("station"))
-    reach = sessions.join(F.broadcast(ranges), "station", "left").select("session_id", "range_mm")  # stations is a fixed table
+    sessions = table(spark, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.max("station").alias("station"), F.max("started_epoch_ms").alias("started_epoch_ms"))
+    reach = written(lookup_join(sessions, ranges, ["station"], F.col("session_id")).select("session_id", "range_mm", "started_epoch_ms"))
     quaternion = [f"A_F_GTR_q{i}" for i in (1, 2, 3, 4)]
     readings = table(spark, d, "tracking").select("reading_id", "session_id", "utc_epoch_ms", "A_F_GTR_t1", *quaternion)
-    readings = lookup_join(readings, reach, ["session_id"], F.col("utc_epoch_ms"))
+    readings = lookup_join(readings, reach.drop("started_epoch_ms"), ["session_id"], F.col("utc_epoch_ms"))
     fields = {"A_F_GTR_t1": (F.col("range_mm"), []), "A_F_GTR_q1": (F.lit(1.0), quaternion[1:])}
     found = implausible_readings(readings, "session_id", "utc_epoch_ms", "reading_id", fields)
     status = "ProbeToTrackerDeviceTransformStatus"
-    packets = table(spark, d, "packets").where(F.upper(F.trim(status)).isin("OK", "TRUE", "1")).select("packet_id", "session_id", "frame_id", "probe_t")
+    packets = table(spark, d, "packets").where(F.upper(F.trim(status)).isin("OK", "TRUE", "1")).select("packet_id", "session_id", "frame_id", "probe_t", "ts")
     packets = lookup_join(packets, reach, ["session_id"], F.col("packet_id"))
-    jumps = implausible_transforms(packets, "session_id", "frame_id", "packet_id", "probe_t", F.col("range_mm"))
+    jumps = implausible_transforms(packets, "session_id", "frame_id", "packet_id", "probe_t", F.col("range_mm"), F.col("started_epoch_ms") + 1000 * F.nanvl("ts", F.lit(None).cast("double")))
     return found.unionByName(jumps.select("record_id", F.lit(status).alias("field_name"), "rule"))
 
 

@@ -98,3 +98,21 @@ def test_whole_source_delivered_often_has_the_same_spikes(spark):
     data = planted()
     once = found(spark, data)
     assert found(spark, data * 8) == once == want()
+
+
+def test_ends_are_seen_from_one_side(spark):
+    data = series()
+    data[0][7] += 80
+    data[-1][7] -= 80
+    data[-2][7] -= 80
+    assert found(spark, data) == {(i, "x", "spike") for i in (0, 398, 399)}
+    moves = []
+    for i in range(40):
+        moves.append([i, "a", i, [1.0, 0, 0, 10 + i + 0.1 * (i % 3), 0, 1, 0, 20, 0, 0, 1, 30, 0, 0, 0, 1], 3000.0, 1000.0 * i if i % 4 else None])
+    moves[0][3][3] += 90
+    moves[39][3][7] += 90
+    for i in range(20, 39):
+        moves[i][3][11] += 300  # a lasting move
+    moves[39][3][11] += 300
+    df = spark.createDataFrame(moves, "id bigint, s string, n int, m array<double>, most double, ms double")
+    assert rows(implausible_transforms(df, "s", "n", "id", "m", F.col("most"), F.col("ms"))) == [(0, "spike"), (39, "spike")]
