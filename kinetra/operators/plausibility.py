@@ -87,7 +87,7 @@ def _off(x: np.ndarray, series: np.ndarray, left_out: np.ndarray) -> tuple[np.nd
         at = np.clip(at, 0, len(kept) - 1)
         values = np.where(inside & (of[at] == series[:, None]), kept[at], np.nan)
         far = np.abs(keep[at[:, 0]] - np.arange(len(x)))
-        line = values[:, 0] + _median_rows(values[:, :-1] - values[:, 1:]) * far
+        line = _median_rows(values) + _median_rows(values[:, :-1] - values[:, 1:]) * (far + (AROUND - 1) / 2)
         return _median_rows(values), np.where(np.isnan(values).any(1), np.nan, line), np.isnan(values).all(1)
 
     (mb, lb, no_b), (ma, la, no_a) = side(place - 1, -1), side(place + ~left_out, 1)
