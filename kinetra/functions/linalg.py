@@ -159,16 +159,15 @@ def is_rigid(t: Mat, tolerance: float = 1e-6) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def grood_suntay(femur: Mat, tibia: Mat, right: bool) -> list[Column]:
-    """Flexion, abduction and rotation in degrees of the tibia's axes in the femur's (columns x, y, z of each rotation)."""
-    col = lambda m, c: [m[c], m[4 + c], m[8 + c]]
-    first, third = col(femur, 2), col(tibia, 1)
-    floating = unit(cross(third, first))
+def joint_angles(femur: Mat, tibia: Mat, right: bool) -> list[Column]:
+    """Flexion, abduction and rotation in degrees, from R, the tibia's axes in those of the femur.
+
+    Flexion is atan2(R23, R33). On the right side abduction is acos(R13) - 90 and rotation -atan2(R12, R11); on the left side both have the other sign.
+    """
+    r = lambda i, j: sum((femur[4 * k + i - 1] * tibia[4 * k + j - 1] for k in range(3)), F.lit(0.0))
     side = 1.0 if right else -1.0
-    flexion = F.degrees(F.atan2(dot(floating, col(femur, 1)), dot(floating, col(femur, 0))))
-    abduction = (F.degrees(F.acos(F.greatest(F.least(dot(first, third), F.lit(1.0)), F.lit(-1.0)))) - 90) * side
-    rotation = F.degrees(F.atan2(dot(floating, col(tibia, 2)), dot(floating, col(tibia, 0)))) * side
-    return [flexion, abduction, rotation]
+    lean = F.degrees(F.acos(F.greatest(F.least(r(1, 3), F.lit(1.0)), F.lit(-1.0)))) - 90
+    return [F.degrees(F.atan2(r(2, 3), r(3, 3))), side * lean, -side * F.degrees(F.atan2(r(1, 2), r(1, 1)))]
 
 
 def frame_of_markers(a: Vec, b: Vec, c: Vec, eps: float = 1e-9) -> tuple[list[Column], Column]:

@@ -1,15 +1,23 @@
-"""Meshes, planes and rays: theta joins as joins on intervals, and the geometry of each match."""
+"""Meshes, planes and rays: theta joins as joins on cells of a size that fits each triangle, and the geometry of each match."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.functions.linalg import Vec, add, cross, dot, norm, scale, sub, unit
+from kinetra.functions.linalg import Vec, add, cross, dot, inverse, matrix, norm, scale, sub, unit
+from kinetra.functions.linalg import apply as transformed
+from kinetra.operators.common import lookup_join, written
 from kinetra.operators.ordered_windows import indexed, own, with_neighbours
 
-#: Buckets of an extent along which intervals are joined.
-BUCKETS = 64
+#: The finest cells are this part of what is laid over the mesh (a plane's patch, the mesh's box for rays).
+CELLS_ACROSS = 32
+#: The smallest cell is 2 to this power.
+FINEST = -40
 
 
 def triangles(vertices: DataFrame, faces: DataFrame) -> DataFrame:
@@ -45,40 +53,167 @@ def crossing(a: Vec, b: Vec, da: Column, db: Column) -> list[Column]:
     return [x + t * (y - x) for x, y in zip(a, b)]
 
 
-def plane_segments(faces: DataFrame, planes: DataFrame, axis: str = "z", tolerance: float = 1e-10) -> DataFrame:
-    """The segments in which triangles meet planes at right angles to an axis: plane_id, mesh_id, face_id, p (start), q (end), length.
+def _level(extent: Column, finest: float | None = None) -> Column:
+    """The power of two that a size doesn't exceed; a triangle of that size lies in at most two cells of it along an axis."""
+    least = FINEST if not finest else max(FINEST, math.ceil(math.log2(finest)))
+    return F.greatest(F.coalesce(F.ceil(F.log2(F.when(extent > 0, extent))).cast("int"), F.lit(least)), F.lit(least))
+
+
+def _cell(level: Column) -> Column:
+    return F.pow(F.lit(2.0), level)
+
+
+def _on_grid(low: Column, high: Column, cell: Column) -> Column:
+    """The numbers of the cells between two places, a little more than that at both ends."""
+    pad = cell * 1e-6
+    return F.sequence(F.floor((low - pad) / cell).cast("bigint"), F.floor((high + pad) / cell).cast("bigint"))
+
+
+def _levels(faces: DataFrame, level: Column) -> list[int]:
+    """The levels that occur: powers of two of a double, so a few dozen numbers."""
+    return sorted(r[0] for r in faces.select(level).distinct().collect())
+
+
+def _sound(faces: DataFrame) -> DataFrame:
+    """Faces whose corners are finite numbers, with their box: _lx ... _hz."""
+    names = [f"{w}{c}" for w in "abc" for c in "xyz"]
+    finite = reduce(lambda a, b: a & b, [F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(n) < float("inf")) for n in names])
+    return faces.where(finite).withColumns({f"_{f}{c}": g(*[F.col(f"{w}{c}") for w in "abc"]) for f, g in (("l", F.least), ("h", F.greatest)) for c in "xyz"})
 
-    ``faces``: mesh_id, face_id and corners ax ... cz. ``planes``: plane_id, level. Distances within ``tolerance`` times the
-    larger of 1 and the level count as 0. A triangle whose side lies in the plane gives that side; one that only touches
-    with a corner gives none, nor does one that lies in the plane (it has no single segment).
 
-    Each triangle spans an interval along the axis and joins the planes by the buckets of that interval; no pair is
-    formed where the buckets don't meet. Null corners match nothing.
+def _in_cells(faces: DataFrame, level: Column) -> DataFrame:
+    """Sound faces once for each cell of their level that their box meets: _level, _cx, _cy, _cz."""
+    out = faces.withColumn("_level", level)
+    for c in "xyz":
+        out = out.withColumn(f"_c{c}", F.explode(_on_grid(F.col(f"_l{c}"), F.col(f"_h{c}"), _cell(F.col("_level")))))
+    return out
+
+
+def _farthest(points: list[Column]) -> Column:
+    """Of up to three points (null: none) the two that lie farthest apart, as an array; null with fewer than two."""
+    pairs = [(points[i], points[j]) for i in range(3) for j in range(i + 1, 3)]
+    gap = [F.coalesce(norm([F.get(q, F.lit(i)) - F.get(p, F.lit(i)) for i in range(3)]), F.lit(-1.0)) for p, q in pairs]
+    most = F.greatest(*gap)
+    out = F.when(most < 0, None)
+    for g, (p, q) in zip(gap, pairs):
+        out = out.when(g == most, F.array(p, q))
+    return out
+
+
+def _cut(pairs: DataFrame, distance: dict[str, Column], tolerance: Column, keep: Sequence[str]) -> DataFrame:
+    """Where triangles meet planes, given the signed distances of their corners: the kept columns, p (start), q (end), length.
+
+    Distances within tolerance are 0. The cut of a triangle is the pair of points farthest apart among the corners in the plane and
+    the crossings of its edges; a triangle that only touches the plane with a corner has none, one that lies in it its longest side.
     """
-    span = planes.agg(F.min("level").alias("_low"), F.max("level").alias("_high"))  # one row
-    width = F.greatest((F.col("_high") - F.col("_low")) / BUCKETS, F.lit(1e-9))
-    at = lambda x: F.floor((x - F.col("_low")) / F.col("_w")).cast("int")
-    limits = F.broadcast(span.withColumn("_w", width))
-    low, high = (f(*[F.col(f"{w}{axis}") for w in "abc"]) for f in (F.least, F.greatest))
-    ready = faces.dropna(subset=[f"{w}{c}" for w in "abc" for c in "xyz"]).withColumn("_lo", low).withColumn("_hi", high)
-    bucketed = ready.join(limits, (F.col("_hi") >= F.col("_low") - F.col("_w")) & (F.col("_lo") <= F.col("_high") + F.col("_w")))
-    bucketed = bucketed.withColumn("_b", F.explode(F.sequence(F.greatest(at(F.col("_lo")) - 1, F.lit(-1)), F.least(at(F.col("_hi")) + 1, F.lit(BUCKETS + 1)))))
-    levels = planes.where("level is not null").crossJoin(limits).select("plane_id", "level", at(F.col("level")).alias("_b"))
-    pairs = bucketed.drop("_low", "_high", "_w").join(levels, "_b")
-    snap = tolerance * F.greatest(F.abs("level"), F.lit(1.0))
-    for w in "abc":
-        d = F.col(f"{w}{axis}") - F.col("level")
-        pairs = pairs.withColumn(f"_d{w}", F.when(F.abs(d) < snap, 0.0).otherwise(d))
+    pairs = pairs.withColumns({f"_d{w}": F.when(F.abs(d) < tolerance, 0.0).otherwise(d) for w, d in distance.items()}).withColumn("_tol", tolerance)
     d = {w: F.col(f"_d{w}") for w in "abc"}
     hit = pairs.where((F.least(*d.values()) <= 0) & (F.greatest(*d.values()) >= 0))
-    points = [F.when(d[w] == 0, F.array(*corner(None, w))) for w in "abc"]
-    for u, v in ("ab", "bc", "ca"):
-        points.append(F.when(d[u] * d[v] < 0, F.array(*crossing(corner(None, u), corner(None, v), d[u], d[v]))))
+    points = []
+    for w, (u, v) in zip("abc", ("ab", "bc", "ca")):  # per corner: itself, else the crossing of the edge that begins there
+        on_edge = F.when(d[u] * d[v] < 0, F.array(*crossing(corner(None, u), corner(None, v), d[u], d[v])))
+        points.append(F.when(d[w] == 0, F.array(*corner(None, w))).otherwise(on_edge))
     # one list, exploded, so that what follows refers to its result and doesn't repeat its making
-    hit = hit.select("plane_id", "mesh_id", "face_id", F.explode(F.array(F.array_compact(F.array(*points)))).alias("_p")).where(F.size("_p") == 2)
+    hit = hit.select(*keep, "_tol", F.explode(F.array(F.array(*points))).alias("_p"))
+    hit = hit.select(*keep, "_tol", F.explode(F.array(_farthest([F.get("_p", F.lit(i)) for i in range(3)]))).alias("_p")).where("_p is not null")
     p, q = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
     length = norm([F.get(q, F.lit(i)) - F.get(p, F.lit(i)) for i in range(3)])
-    return hit.select("plane_id", "mesh_id", "face_id", p.alias("p"), q.alias("q"), length.alias("length")).where("length > 0")
+    return hit.select(*keep, p.alias("p"), q.alias("q"), length.alias("length"), "_tol").where("length > _tol").drop("_tol")
+
+
+def plane_segments(faces: DataFrame, planes: DataFrame, axis: str = "z", tolerance: float = 1e-10) -> DataFrame:
+    """The segments in which triangles meet unbounded planes at right angles to an axis: plane_id, mesh_id, face_id, p, q, length.
+
+    ``faces``: mesh_id, face_id and corners ax ... cz. ``planes``: plane_id, level. Distances within ``tolerance`` times the
+    larger of 1 and the level count as 0; see _cut. Tilted planes: patch_segments.
+
+    A triangle lies in at most three buckets of the axis as wide as its own extent; a plane is in one bucket of each width that
+    occurs. No pair is formed where the buckets don't meet. Null and infinite corners match nothing.
+    """
+    low, high = F.col(f"_l{axis}"), F.col(f"_h{axis}")
+    sound, level = _sound(faces), _level(high - low)
+    at = sound.withColumn("_level", level).withColumn("_b", F.explode(_on_grid(low - tolerance, high + tolerance, _cell(F.col("_level")))))
+    widths = F.array(*[F.lit(x) for x in _levels(sound, level)]).cast("array<int>")
+    levels = planes.where("level is not null and not isnan(level)").select("plane_id", "level", F.explode(widths).alias("_level"))
+    levels = levels.withColumn("_b", F.floor(F.col("level") / _cell(F.col("_level"))).cast("bigint"))
+    pairs = at.join(levels, ["_level", "_b"]).where((low <= F.col("level") + _snap(tolerance)) & (high >= F.col("level") - _snap(tolerance)))
+    pairs = pairs.where(F.col("_b") == F.floor(F.col("level") / _cell(F.col("_level"))))
+    return _cut(pairs, {w: F.col(f"{w}{axis}") - F.col("level") for w in "abc"}, _snap(tolerance), ["plane_id", "mesh_id", "face_id"])
+
+
+def _snap(tolerance: float) -> Column:
+    return tolerance * F.greatest(F.abs("level"), F.lit(1.0))
+
+
+def with_frame(planes: DataFrame) -> DataFrame:
+    """Finite planes as plane_id, ..., p0, ex, ey, n: both directions of length 1, the normal ex x ey; planes without are left out.
+
+    ``planes``: p0 (the corner at u = v = 0), ex and ey (directions of u and v) as arrays of three, width, height. ey needn't be
+    at right angles to ex.
+    """
+    ex, ey = (unit([F.get(c, F.lit(i)).cast("double") for i in range(3)]) for c in ("ex", "ey"))
+    out = planes.withColumns({"ex": F.array(*ex), "ey": F.array(*ey)})
+    n = unit(cross([F.get("ex", F.lit(i)) for i in range(3)], [F.get("ey", F.lit(i)) for i in range(3)]), 1e-9)
+    out = out.withColumn("n", F.array(*n))
+    known = reduce(lambda a, b: a & b, [F.get(c, F.lit(i)).isNotNull() & ~F.isnan(F.get(c, F.lit(i))) for c in ("p0", "ex", "ey", "n") for i in range(3)])
+    return out.where(known & (F.col("width") > 0) & (F.col("height") > 0))
+
+
+def _patch_cells(planes: DataFrame, levels: list[int]) -> DataFrame:
+    """Framed planes once for each cell, of each level, that their rectangle meets.
+
+    Along the axis nearest to the normal the rectangle is a height over the other two axes, with slopes of at most 1: one
+    column of cells for each cell below it, at most four cells high.
+    """
+    g = lambda c, i: F.get(c, i)
+    size = [F.abs(F.get("n", F.lit(i))) for i in range(3)]
+    m = F.when((size[0] >= size[1]) & (size[0] >= size[2]), 0).when(size[1] >= size[2], 1).otherwise(2)
+    out = planes.withColumn("_level", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>"))).withColumn("_m", m)
+    out = out.withColumns({"_a": (F.col("_m") + 1) % 3, "_k": (F.col("_m") + 2) % 3, "_s": _cell(F.col("_level"))})
+    for name, axis in (("a", F.col("_a")), ("k", F.col("_k")), ("m", F.col("_m"))):
+        u, v = F.col("width") * g("ex", axis), F.col("height") * g("ey", axis)
+        out = out.withColumns({f"_l{name}": g("p0", axis) + F.least(u, F.lit(0.0)) + F.least(v, F.lit(0.0)), f"_h{name}": g("p0", axis) + F.greatest(u, F.lit(0.0)) + F.greatest(v, F.lit(0.0))})
+        if name != "m":
+            out = out.withColumn(f"_c{name}", F.explode(_on_grid(F.col(f"_l{name}"), F.col(f"_h{name}"), F.col("_s"))))
+    slope = {x: g("n", F.col(f"_{x}")) / g("n", F.col("_m")) for x in "ak"}
+    at = g("p0", F.col("_m")) - sum((slope[x] * ((F.col(f"_c{x}") + 0.5) * F.col("_s") - g("p0", F.col(f"_{x}"))) for x in "ak"), F.lit(0.0))
+    half = (F.abs(slope["a"]) + F.abs(slope["k"])) * F.col("_s") / 2
+    low, high = F.greatest(at - half, F.col("_lm")), F.least(at + half, F.col("_hm"))
+    out = out.withColumn("_cm", F.explode(F.when(low <= high + F.col("_s") * 1e-6, _on_grid(low, F.greatest(low, high), F.col("_s")))))
+    which = lambda i: F.when(F.col("_m") == i, F.col("_cm")).when(F.col("_a") == i, F.col("_ca")).otherwise(F.col("_ck"))
+    return out.withColumns({f"_c{c}": which(i) for i, c in enumerate("xyz")}).drop("_m", "_a", "_k", "_s", "_la", "_ha", "_lk", "_hk", "_lm", "_hm", "_ca", "_ck", "_cm")
+
+
+def patch_segments(faces: DataFrame, planes: DataFrame, on: Sequence[str] = (), tolerance: float = 1e-10) -> DataFrame:
+    """The segments in which triangles meet finite planes of any direction, cut to the plane's rectangle.
+
+    ``faces``: mesh_id, face_id, corners ax ... cz. ``planes``: plane_id, p0, ex, ey (arrays), width, height; see with_frame.
+    ``on``: columns of both that must be equal, as the mesh that a plane is laid over. Result: the columns ``on``, plane_id,
+    mesh_id, face_id, p and q (the uncut segment in space), length (uncut), u0, v0, u1, v1 (cut to the rectangle, in the plane's coordinates). Corners
+    within ``tolerance`` times the larger of 1 and the meshes' box lie in the plane; see _cut. Null, infinite and missing numbers match nothing.
+
+    Triangles go to the cells of a grid as fine as themselves (but not finer than CELLS_ACROSS cells across the largest plane),
+    planes to the cells of all these grids that their rectangle passes; both meet by cell, and a pair that meets in several cells is
+    formed once: in the first of the triangle's cells that the plane passes, which the distinct keys of the few real hits decide.
+    """
+    framed = written(with_frame(planes.select("plane_id", *on, "p0", "ex", "ey", "width", "height")))
+    largest = framed.agg(F.max(F.greatest("width", "height"))).first()[0]
+    sound = _sound(faces)
+    level = _level(F.greatest(*[F.col(f"_h{c}") - F.col(f"_l{c}") for c in "xyz"]), (largest or 1.0) / CELLS_ACROSS)
+    box = sound.agg(*[f(f"_{x}{c}").alias(f"{x}{c}") for x, f in (("l", F.min), ("h", F.max)) for c in "xyz"]).first()
+    extent = math.dist([box[f"l{c}"] for c in "xyz"], [box[f"h{c}"] for c in "xyz"]) if box["lx"] is not None else 1.0
+    cells = _patch_cells(framed, _levels(sound, level))
+    keys = [*on, "_level", "_cx", "_cy", "_cz"]
+    pairs = _in_cells(sound, level).join(cells, keys)
+    n, p0 = ([F.get(c, F.lit(i)) for i in range(3)] for c in ("n", "p0"))
+    distance = {w: dot(sub(corner(None, w), p0), n) for w in "abc"}
+    ids = [*on, "plane_id", "mesh_id", "face_id"]
+    cut = _cut(pairs, distance, F.lit(tolerance * max(extent, 1.0)), [*ids, "p0", "ex", "ey", "width", "height"])
+    for k, point in ((0, "p"), (1, "q")):
+        away = [F.get(point, F.lit(i)) - F.get("p0", F.lit(i)) for i in range(3)]
+        cut = cut.withColumns({f"{c}{k}": dot(away, [F.get(e, F.lit(i)) for i in range(3)]) for c, e in (("u", "ex"), ("v", "ey"))})
+    inside = clip_to_rectangle(cut.drop("p0", "ex", "ey"), F.col("width"), F.col("height"))
+    return inside.dropDuplicates(ids).drop("width", "height")
 
 
 def clip_to_rectangle(df: DataFrame, width: Column, height: Column) -> DataFrame:
@@ -137,31 +272,71 @@ def surface_centroid(faces: DataFrame) -> DataFrame:
 
 
 def ray_hits(faces: DataFrame, rays: DataFrame, tolerance: float = 1e-12) -> DataFrame:
-    """Where axis-parallel rays (along x, both ways) meet triangles: ray_id, mesh_id, face_id, t (signed distance from the origin).
+    """Where lines through points meet triangles: ray_id, mesh_id, face_id, t (in lengths of the direction, negative behind the origin).
+
+    ``rays``: ray_id, ox, oy, oz and the direction dx, dy, dz, any but 0. The determinant test decides; hits within tolerance of an edge count.
 
-    ``rays``: ray_id, ox, oy, oz. A triangle joins the rays by the buckets of its extent in y; then the determinant
-    test decides (hits within tolerance of an edge count).
+    Triangles go to the cells of a grid as fine as themselves, and rays to the cells of all these grids that they pass inside the
+    meshes' box: slab by slab along the axis nearest to their direction. A pair that meets in several cells is formed once.
     """
-    span = rays.agg(F.min("oy").alias("_low"), F.max("oy").alias("_high"))
-    limits = F.broadcast(span.withColumn("_w", F.greatest((F.col("_high") - F.col("_low")) / BUCKETS, F.lit(1e-9))))
-    at = lambda x: F.floor((x - F.col("_low")) / F.col("_w")).cast("int")
-    low, high = (f("ay", "by", "cy") for f in (F.least, F.greatest))
-    near = faces.withColumn("_lo", low).withColumn("_hi", high).join(limits, (F.col("_hi") >= F.col("_low") - F.col("_w")) & (F.col("_lo") <= F.col("_high") + F.col("_w")))
-    near = near.withColumn("_b", F.explode(F.sequence(F.greatest(at(F.col("_lo")) - 1, F.lit(-1)), F.least(at(F.col("_hi")) + 1, F.lit(BUCKETS + 1))))).drop("_low", "_high", "_w")
-    by = rays.crossJoin(limits).select("ray_id", "ox", "oy", "oz", at(F.col("oy")).alias("_b"))
-    pairs = near.join(by, "_b")
+    sound = _sound(faces)
+    box = sound.agg(*[f(f"_{x}{c}").alias(f"{x}{c}") for x, f in (("l", F.min), ("h", F.max)) for c in "xyz"]).first()
+    low, high = ([float(box[f"{x}{c}"] or 0.0) for c in "xyz"] for x in "lh")
+    level = _level(F.greatest(*[F.col(f"_h{c}") - F.col(f"_l{c}") for c in "xyz"]), max(b - a for a, b in zip(low, high)) / (8 * CELLS_ACROSS) or None)
+    levels = F.array(*[F.lit(x) for x in _levels(sound, level)]).cast("array<int>")
+    size = [F.abs(F.col(f"d{c}")) for c in "xyz"]
+    lines = rays.where(F.greatest(*size) > 0).select("ray_id", F.array(*[F.col(f"o{c}").cast("double") for c in "xyz"]).alias("_o"), F.array(*[F.col(f"d{c}").cast("double") for c in "xyz"]).alias("_d"), F.explode(levels).alias("_level"))
+    d = [F.abs(F.get("_d", F.lit(i))) for i in range(3)]
+    m = F.when((d[0] >= d[1]) & (d[0] >= d[2]), 0).when(d[1] >= d[2], 1).otherwise(2)
+    lines = lines.withColumns({"_m": m, "_s": _cell(F.col("_level"))})
+    lows, highs = F.array(*map(F.lit, low)), F.array(*map(F.lit, high))
+    lines = lines.withColumn("_cm", F.explode(_on_grid(F.get(lows, F.col("_m")), F.get(highs, F.col("_m")), F.col("_s"))))
+    for name, axis in (("_ca", (F.col("_m") + 1) % 3), ("_ck", (F.col("_m") + 2) % 3)):
+        ends = [F.get("_o", axis) + F.get("_d", axis) * (((F.col("_cm") + k) * F.col("_s") - F.get("_o", F.col("_m"))) / F.get("_d", F.col("_m"))) for k in (0, 1)]
+        lo, hi = F.greatest(F.least(*ends), F.get(lows, axis)), F.least(F.greatest(*ends), F.get(highs, axis))
+        lines = lines.withColumn(name, F.explode(F.when(lo <= hi + F.col("_s") * 1e-6, _on_grid(lo, F.greatest(lo, hi), F.col("_s")))))
+    which = lambda i: F.when(F.col("_m") == i, F.col("_cm")).when((F.col("_m") + 1) % 3 == i, F.col("_ca")).otherwise(F.col("_ck"))
+    lines = lines.select("ray_id", "_o", "_d", "_level", *[which(i).alias(f"_c{c}") for i, c in enumerate("xyz")])
+    pairs = _in_cells(sound, level).join(lines, ["_level", "_cx", "_cy", "_cz"])
     a, b, c = (corner(None, w) for w in "abc")
-    direction = [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
+    direction = [F.get("_d", F.lit(i)) for i in range(3)]
     e1, e2 = sub(b, a), sub(c, a)
     h = cross(direction, e2)
     det = dot(e1, h)
     inv = 1 / F.when(F.abs(det) > tolerance, det)
-    s = sub([F.col("ox"), F.col("oy"), F.col("oz")], a)
+    s = sub([F.get("_o", F.lit(i)) for i in range(3)], a)
     u = dot(s, h) * inv
     q = cross(s, e1)
     v = dot(direction, q) * inv
     hits = pairs.withColumn("t", dot(e2, q) * inv).withColumn("_u", u).withColumn("_v", v)
-    return hits.where((F.col("_u") >= -tolerance) & (F.col("_v") >= -tolerance) & (F.col("_u") + F.col("_v") <= 1 + tolerance)).select("ray_id", "mesh_id", "face_id", "t")
+    inside = (F.col("_u") >= -tolerance) & (F.col("_v") >= -tolerance) & (F.col("_u") + F.col("_v") <= 1 + tolerance)
+    return hits.where(inside).select("ray_id", "mesh_id", "face_id", "t").dropDuplicates(["ray_id", "mesh_id", "face_id"])
+
+
+def facing_segments(segments: DataFrame, faces: DataFrame, planes: DataFrame, on: Sequence[str] = (), degrees: float = 60.0) -> DataFrame:
+    """The patch segments whose face looks towards the probe: the angle between its outward normal and -ey is at most ``degrees``; with score, its cosine.
+
+    Normals are turned outward per mesh (see outward_sign). Segments of faces without area are left out.
+    """
+    signs = outward_sign(faces).select("mesh_id", "sign")
+    normals = lookup_join(faces.select("mesh_id", "face_id", F.array(*face_normal()).alias("_n")), written(signs), ["mesh_id"], F.col("face_id"), "inner")
+    towards = with_frame(planes).select("plane_id", *on, F.col("ey").alias("_ey"))
+    both = segments.join(normals, ["mesh_id", "face_id"]).join(towards, ["plane_id", *on])
+    score = -F.col("sign") * dot([F.get("_n", F.lit(i)) for i in range(3)], [F.get("_ey", F.lit(i)) for i in range(3)])
+    return both.withColumn("score", score).where(F.col("score") >= math.cos(math.radians(degrees))).drop("_n", "_ey", "sign")
+
+
+def posed_planes(planes: DataFrame, poses: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Each plane as each pose of the mesh that it shares ``on`` with sees it: in the mesh's own coordinates, with pose_id.
+
+    ``poses``: pose_id, pose (16 numbers, mesh to plane coordinates) and ``on``. Moving the few planes back, not the many triangles
+    forth, leaves the mesh as it is, so that all poses of a generation share its cells.
+    """
+    both = planes.join(poses.select("pose_id", "pose", *on), list(on))
+    back = inverse(matrix(F.col("pose")))
+    point = transformed(back, [F.get("p0", F.lit(i)) for i in range(3)])
+    turned = {e: F.array(*[dot(back[4 * r : 4 * r + 3], [F.get(e, F.lit(i)) for i in range(3)]) for r in range(3)]) for e in ("ex", "ey")}
+    return both.withColumns({"p0": F.array(*point), **turned}).drop("pose")
 
 
 def distinct_within(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:

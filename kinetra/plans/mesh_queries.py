@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from kinetra.functions import linalg as la
 from kinetra.operators import geometry as geo
+from kinetra.operators import scoring
+from kinetra.operators.common import written
 from kinetra.plans.tables import table
 
 
@@ -68,7 +70,56 @@ def area_weighted_centroid(spark, d):
 
 def _rays(spark, d):
     n = F.col("n_nationkey")
-    return table(spark, d, "nation").select(n.alias("ray_id"), F.lit(0.0).alias("ox"), (0.01 * (n - 12)).alias("oy"), (0.007 * (12 - n)).alias("oz"))
+    return table(spark, d, "nation").select(n.alias("ray_id"), F.lit(0.0).alias("ox"), (0.01 * (n - 12)).alias("oy"), (0.007 * (12 - n)).alias("oz"), F.lit(1.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(0.0).alias("dz"))
+
+
+def ray_oblique(spark, d):
+    """Per ray in any direction: hits and the nearest ones on both sides."""
+    n = F.col("ray_id")
+    turned = {"dx": F.cos(0.7 * n), "dy": F.sin(0.7 * n) * 0.8, "dz": F.sin(0.7 * n) * 0.6}
+    hits = geo.ray_hits(_faces(spark, d), _rays(spark, d).withColumns(turned))
+    ahead, behind = F.min(F.when(F.col("t") >= 0, F.col("t"))), F.max(F.when(F.col("t") < 0, F.col("t")))
+    return hits.groupBy("ray_id").agg(F.count("*").alias("hits"), F.round(ahead, 6).alias("ahead"), F.round(behind, 6).alias("behind"))
+
+
+def _frame(a, b):
+    """Directions of a plane turned by a about z, then tilted by b."""
+    return F.array(F.cos(a), F.sin(a), F.lit(0.0)), F.array(-F.sin(a) * F.cos(b), F.cos(a) * F.cos(b), F.sin(b))
+
+
+def plane_mesh_oblique(spark, d):
+    """Per tilted plane: segments inside its rectangle, and their length there."""
+    n = F.col("n_nationkey")
+    ex, ey = _frame(0.25 * n, 0.4 * n)
+    p0 = F.array(0.005 * (n - 12) - 0.15 * F.cos(0.25 * n), -0.15 * F.sin(0.25 * n), 0.004 * (12 - n))
+    planes = table(spark, d, "nation").select(n.alias("plane_id"), p0.alias("p0"), ex.alias("ex"), ey.alias("ey"), F.lit(0.3).alias("width"), F.lit(0.2).alias("height"))
+    cut = geo.patch_segments(_faces(spark, d), planes)
+    inside = F.sqrt(F.pow(F.col("u1") - F.col("u0"), 2) + F.pow(F.col("v1") - F.col("v0"), 2))
+    return cut.groupBy("plane_id").agg(F.count("*").alias("segments"), F.round(F.sum(inside), 5).alias("length"))
+
+
+def pose_cost_of_mesh(spark, d):
+    """Per pose: the cost of the meshes laid over the packets' images: faces towards the probe, their pixels, and the grey values there."""
+    a = 0.1 * (F.col("packet_id") % 63)
+    ex, ey = _frame(a, F.acos(F.lit(0.6)))
+    packets = table(spark, d, "packets").where("session_id is not null and image is not null").dropDuplicates(["packet_id"])
+    images = packets.select(F.col("packet_id").alias("plane_id"), (F.col("session_id") % 10).cast("string").alias("mesh_id"), "packet_id", "width", "height", "image")
+    planes = images.select("plane_id", "mesh_id", F.array(-0.2 * F.cos(a), -0.2 * F.sin(a), F.lit(-0.1)).alias("p0"), ex.alias("ex"), ey.alias("ey"), F.lit(0.4).alias("width"), F.lit(0.3).alias("height"))
+    r, zero, one = F.col("r_regionkey"), F.lit(0.0), F.lit(1.0)
+    g = 0.05 * r
+    pose = F.array(F.cos(g), -F.sin(g), zero, 0.01 * r, F.sin(g), F.cos(g), zero, -0.01 * r, zero, zero, one, 0.005 * r, zero, zero, zero, one)
+    poses = table(spark, d, "region").select(r.alias("pose_id"), pose.alias("pose"), F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<string>")).alias("mesh_id"))
+    faces = _faces(spark, d)
+    views = written(geo.posed_planes(planes, poses, ["mesh_id"]))
+    view = views.withColumn("plane_id", F.struct("pose_id", "plane_id"))  # a plane as one pose sees it
+    seen = geo.facing_segments(geo.patch_segments(faces, view, ["mesh_id"]), faces, view, ["mesh_id"])
+    lit = geo.raster(seen.select("plane_id.*", "u0", "v0", "u1", "v1"), 4, 3, F.lit(0.4), F.lit(0.3)).select("pose_id", "plane_id", "row", "col")
+    got = written(scoring.hit_intensities(lit, images.select("plane_id", "width", "height", "image"), ["pose_id", "plane_id"], "plane_id"))
+    first = got.where("pose_id = 0").select("plane_id", F.col("n").alias("n_initial"))
+    all_views = views.select("pose_id", "plane_id").join(first, "plane_id", "left").fillna(0, ["n_initial"])
+    scores = scoring.plane_totals(all_views, got, ["pose_id", "plane_id"], 255.0, 2.0, 2.0)
+    cost = scoring.pose_cost(scores, 0.5, ["pose_id"])
+    return cost.select("pose_id", F.round("cost", 6).alias("cost"), F.round("mean_intensity", 4).alias("mean_intensity"), "n_active", "n_missing")
 
 
 def ray_triangle_hits(spark, d):
@@ -140,13 +191,16 @@ def marker_frames(spark, d):
 
 
 def joint_angles(spark, d):
-    """Flexion, abduction and rotation between two poses."""
+    """Flexion, abduction and rotation between two poses, of the right and of the left side."""
     a, b = la.matrix(F.col("ta")), la.matrix(F.col("tb"))
-    return _poses(spark, d).select("vec_id", *[F.round(x, 4).alias(n) for x, n in zip(la.grood_suntay(a, b, right=True), ("flexion", "abduction", "rotation"))])
+    names = ("flexion", "abduction", "rotation")
+    sides = [F.round(x, 4).alias(f"{n}_{side}") for side in ("right", "left") for x, n in zip(la.joint_angles(a, b, side == "right"), names)]
+    return _poses(spark, d).select("vec_id", *sides)
 
 
 _MODULE = (
     plane_mesh_intersections, segment_clip, segment_raster_pixels, face_normals_orientation, facing_filter, area_weighted_centroid, ray_triangle_hits, outermost_hits, crossing_parity,
+    plane_mesh_oblique, ray_oblique, pose_cost_of_mesh,
     tolerant_distinct_hits, exp_map_pose, log_map_roundtrip, pose_errors, rigid_transform_points, marker_frames, joint_angles,
 )
 QUERIES = {f.__name__: f for f in _MODULE}
@@ -181,6 +235,21 @@ _HITS = (
 )
 
 
+def _oblique(pairs: str) -> str:
+    """CTEs up to c: segments of triangles (corners) and planes (origin p, directions e and f, normal n, size w by h), cut to the rectangle."""
+    dist = ", ".join(f"({w}x - px) * n1 + ({w}y - py) * n2 + ({w}z - pz) * n3 AS d{w}" for w in "abc")
+    point = lambda u, v, q: f"{u}{q} + d{u} / (d{u} - d{v}) * ({v}{q} - {u}{q})"
+    on = lambda u, v, e: " + ".join(f"({point(u, v, q)} - p{q}) * {e}{i}" for i, q in enumerate("xyz", 1))
+    cuts = ", ".join(f"CASE WHEN d{u} * d{v} < 0 THEN [{on(u, v, 'e')}, {on(u, v, 'f')}] END" for u, v in ("ab", "bc", "ca"))
+    return (
+        f"pr AS ({pairs}), dd AS (SELECT *, {dist} FROM pr), ll AS (SELECT *, list_filter([{cuts}], lambda p: p IS NOT NULL) AS l FROM dd), "
+        "uu AS (SELECT pose_id, plane_id, face_id, w, h, l[1][1] AS u0, l[1][2] AS v0, l[2][1] - l[1][1] AS du, l[2][2] - l[1][2] AS dv FROM ll WHERE len(l) = 2), "
+        "tt AS (SELECT *, greatest(0, CASE WHEN du > 0 THEN -u0 / du WHEN du < 0 THEN (w - u0) / du ELSE 0 END, CASE WHEN dv > 0 THEN -v0 / dv WHEN dv < 0 THEN (h - v0) / dv ELSE 0 END) AS t0, "
+        "least(1, CASE WHEN du > 0 THEN (w - u0) / du WHEN du < 0 THEN -u0 / du ELSE 1 END, CASE WHEN dv > 0 THEN (h - v0) / dv WHEN dv < 0 THEN -v0 / dv ELSE 1 END) AS t1 FROM uu), "
+        "c AS (SELECT pose_id, plane_id, face_id, u0 + t0 * du AS u0, v0 + t0 * dv AS v0, u0 + t1 * du AS u1, v0 + t1 * dv AS v1 FROM tt WHERE t0 <= t1 AND NOT (du = 0 AND (u0 < 0 OR u0 > w)) AND NOT (dv = 0 AND (v0 < 0 OR v0 > h)))"
+    )
+
+
 def _exp(s: str, o: int) -> str:
     """Columns s0 ... s11 of the transform of the twist at place o of an embedding."""
     v, w = ([f"(embedding[{o + k + i}]::DOUBLE * 3)" for i in range(3)] for k in (1, 4))
@@ -221,9 +290,35 @@ SQL = {
     "marker_frames": f"WITH p AS (SELECT vec_id, [{', '.join(f'{c} - {a}' for a, c in zip(_E['a'], _E['c']))}] AS y, [{', '.join(f'{b} - {a}' for a, b in zip(_E['a'], _E['b']))}] AS s FROM embeddings), "
     "u AS (SELECT vec_id, list_transform(y, lambda v: v / sqrt(list_dot_product(y, y))) AS y, s FROM p), f AS (SELECT vec_id, [s[i] - y[i] * list_dot_product(s, y) for i in [1, 2, 3]] AS f FROM u) "
     "SELECT vec_id, sqrt(list_dot_product(f, f)) <= 1e-9 AS degenerate, " + ", ".join(f"round(f[{i}] / sqrt(list_dot_product(f, f)), 6) AS x{i}" for i in (1, 2, 3)) + " FROM f",
-    "joint_angles": _POSES + ", x AS (SELECT vec_id, [a0, a4, a8] AS fx, [a1, a5, a9] AS fy, [a2, a6, a10] AS fz, [b0, b4, b8] AS tx, [b1, b5, b9] AS ty, [b2, b6, b10] AS tz FROM p), "
-    "l AS (SELECT *, [ty[2] * fz[3] - ty[3] * fz[2], ty[3] * fz[1] - ty[1] * fz[3], ty[1] * fz[2] - ty[2] * fz[1]] AS l FROM x) "
-    "SELECT vec_id, round(degrees(atan2(list_dot_product(l, fy), list_dot_product(l, fx))), 4) AS flexion, round(degrees(acos(greatest(least(list_dot_product(fz, ty), 1), -1))) - 90, 4) AS abduction, round(degrees(atan2(list_dot_product(l, tz), list_dot_product(l, tx))), 4) AS rotation FROM l",
+    "joint_angles": _POSES + ", x AS (SELECT vec_id, " + ", ".join(f"a{i} * b{j} + a{i + 4} * b{j + 4} + a{i + 8} * b{j + 8} AS r{i + 1}{j + 1}" for i in range(3) for j in range(3)) + " FROM p) "
+    "SELECT vec_id, round(degrees(atan2(r23, r33)), 4) AS flexion_right, round(degrees(acos(greatest(least(r13, 1), -1)) - pi() / 2), 4) AS abduction_right, round(degrees(-atan2(r12, r11)), 4) AS rotation_right, "
+    "round(degrees(atan2(r23, r33)), 4) AS flexion_left, round(degrees(pi() / 2 - acos(greatest(least(r13, 1), -1))), 4) AS abduction_left, round(degrees(atan2(r12, r11)), 4) AS rotation_left FROM x",
+    "plane_mesh_oblique": f"WITH {_F}, n AS (SELECT n_nationkey AS plane_id, 0.25 * n_nationkey AS a, 0.4 * n_nationkey AS b, n_nationkey AS k FROM nation), "
+    "o AS (SELECT plane_id, 0.005 * (k - 12) - 0.15 * cos(a) AS px, -0.15 * sin(a) AS py, 0.004 * (12 - k) AS pz, cos(a) AS e1, sin(a) AS e2, 0 AS e3, -sin(a) * cos(b) AS f1, cos(a) * cos(b) AS f2, sin(b) AS f3, sin(a) * sin(b) AS n1, -cos(a) * sin(b) AS n2, cos(b) AS n3 FROM n), "
+    + _oblique("SELECT f.*, o.*, 0 AS pose_id, 0.3 AS w, 0.2 AS h FROM f, o")
+    + " SELECT plane_id, count(*) AS segments, round(sum(sqrt((u1 - u0) ** 2 + (v1 - v0) ** 2)), 5) AS length FROM c GROUP BY 1",
+    "ray_oblique": f"WITH {_F}, r AS (SELECT n_nationkey AS ray_id, 0.01 * (n_nationkey - 12) AS oy, 0.007 * (12 - n_nationkey) AS oz, cos(0.7 * n_nationkey) AS d1, sin(0.7 * n_nationkey) * 0.8 AS d2, sin(0.7 * n_nationkey) * 0.6 AS d3 FROM nation), "
+    "m AS (SELECT ray_id, d1, d2, d3, bx - ax AS ex, by - ay AS ey, bz - az AS ez, cx - ax AS gx, cy - ay AS gy, cz - az AS gz, 0 - ax AS sx, oy - ay AS sy, oz - az AS sz FROM f, r), "
+    "k AS (SELECT *, d2 * gz - d3 * gy AS h1, d3 * gx - d1 * gz AS h2, d1 * gy - d2 * gx AS h3, sy * ez - sz * ey AS q1, sz * ex - sx * ez AS q2, sx * ey - sy * ex AS q3 FROM m), "
+    "t AS (SELECT *, ex * h1 + ey * h2 + ez * h3 AS det FROM k), "
+    "x AS (SELECT ray_id, (sx * h1 + sy * h2 + sz * h3) / det AS u, (d1 * q1 + d2 * q2 + d3 * q3) / det AS v, (gx * q1 + gy * q2 + gz * q3) / det AS t FROM t WHERE abs(det) > 1e-12) "
+    "SELECT ray_id, count(*) AS hits, round(min(t) FILTER (t >= 0), 6) AS ahead, round(max(t) FILTER (t < 0), 6) AS behind FROM x WHERE u >= -1e-12 AND v >= -1e-12 AND u + v <= 1 + 1e-12 GROUP BY 1",
+    "pose_cost_of_mesh": f"WITH {_F}, m0 AS (SELECT mesh_id, avg((ax + bx + cx) / 3) AS mx, avg((ay + by + cy) / 3) AS my, avg((az + bz + cz) / 3) AS mz FROM f GROUP BY 1), "
+    f"v0 AS (SELECT mesh_id, {_AREA} AS area, {_N[0]} * ((ax + bx + cx) / 3 - mx) + {_N[1]} * ((ay + by + cy) / 3 - my) + {_N[2]} * ((az + bz + cz) / 3 - mz) AS side FROM f JOIN m0 USING (mesh_id)), "
+    "g0 AS (SELECT mesh_id, CASE WHEN coalesce(sum(area) FILTER (side < 0), 0) > coalesce(sum(area) FILTER (side > 0), 0) THEN -1 ELSE 1 END AS sign FROM v0 GROUP BY 1), "
+    f"q AS (SELECT f.*, sign, {_N[0]} / (2 * {_AREA}) AS w1, {_N[1]} / (2 * {_AREA}) AS w2, {_N[2]} / (2 * {_AREA}) AS w3 FROM f JOIN g0 USING (mesh_id)), "
+    "s0 AS (SELECT r_regionkey AS pose_id, cos(0.05 * r_regionkey) AS cg, sin(0.05 * r_regionkey) AS sg, r_regionkey AS r FROM region), "
+    "moved AS (SELECT mesh_id, face_id, pose_id, sign, "
+    + ", ".join(f"cg * {w}x - sg * {w}y + 0.01 * r AS {w}x, sg * {w}x + cg * {w}y - 0.01 * r AS {w}y, {w}z + 0.005 * r AS {w}z" for w in "abc")
+    + ", cg * w1 - sg * w2 AS w1, sg * w1 + cg * w2 AS w2, w3 FROM q, s0), "
+    "pk AS (SELECT DISTINCT ON (packet_id) packet_id AS plane_id, CAST(session_id % 10 AS TEXT) AS mesh_id, 0.1 * (packet_id % 63) AS a, width, height, image FROM packets WHERE session_id IS NOT NULL AND image IS NOT NULL ORDER BY packet_id), "
+    "o AS (SELECT *, -0.2 * cos(a) AS px, -0.2 * sin(a) AS py, -0.1 AS pz, cos(a) AS e1, sin(a) AS e2, 0 AS e3, -sin(a) * 0.6 AS f1, cos(a) * 0.6 AS f2, 0.8 AS f3, sin(a) * 0.8 AS n1, -cos(a) * 0.8 AS n2, 0.6 AS n3 FROM pk), "
+    + _oblique("SELECT moved.*, o.* EXCLUDE (mesh_id, width, height, image, a), 0.4 AS w, 0.3 AS h FROM moved JOIN o USING (mesh_id) WHERE -sign * (w1 * f1 + w2 * f2 + w3 * f3) >= 0.5")
+    + ", e AS (SELECT *, greatest(2, ceil(4 * greatest(abs(u1 - u0) / 0.1, abs(v1 - v0) / 0.1)) + 1) AS n FROM c), i AS (SELECT *, unnest(range(CAST(n AS BIGINT))) / (n - 1) AS t FROM e), "
+    "px AS (SELECT DISTINCT pose_id, plane_id, CAST(greatest(least(floor((v0 + t * (v1 - v0)) / 0.1) + 1, 3), 1) AS INT) AS row, CAST(greatest(least(floor((u0 + t * (u1 - u0)) / 0.1) + 1, 4), 1) AS INT) AS col FROM i), "
+    "hit AS (SELECT pose_id, plane_id, count(*) AS n, sum(CAST('0x' || substr(hex(image), ((row - 1) * width + col - 1) * 2 + 1, 2) AS INT)) AS total FROM px JOIN pk USING (plane_id) WHERE octet_length(image) = width * height GROUP BY 1, 2), "
+    "z AS (SELECT s0.pose_id, pk.plane_id, coalesce(h0.n, 0) AS n0, coalesce(h1.n, 0) AS n, coalesce(h1.total / h1.n, 0) AS mean FROM pk CROSS JOIN s0 LEFT JOIN hit h0 ON h0.plane_id = pk.plane_id AND h0.pose_id = 0 LEFT JOIN hit h1 ON h1.plane_id = pk.plane_id AND h1.pose_id = s0.pose_id) "
+    "SELECT pose_id, round(-avg(mean / 255 * least(1, n / greatest(n0, 2))) FILTER (n0 >= 2) + 0.5 * avg(CAST(n < 2 AS INT)) FILTER (n0 >= 2), 6) AS cost, round(sum(mean * n) / sum(n), 4) AS mean_intensity, count(*) FILTER (n0 >= 2) AS n_active, count(*) FILTER (n0 >= 2 AND n < 2) AS n_missing FROM z GROUP BY 1",
 }
 #: BY is a word of SQL, so corners are b_x, b_y and b_z there.
 SQL = {name: re.sub(r"\bb([xyz])\b", r"b_\1", text) for name, text in SQL.items()}

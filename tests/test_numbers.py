@@ -116,14 +116,68 @@ def test_mesh_and_planes(spark):
     assert faces.count() == 4
     planes = spark.createDataFrame([(1, 2.0), (2, 10.0), (3, 0.0), (4, 99.0), (5, None)], "plane_id int, level double")
     got = rows(geometry.plane_segments(faces, planes).select("plane_id", "face_id", F.round("length", 6)))
-    # through the middle three sides; at the top only a corner; at the bottom the sides of three faces, not the face that lies in it
-    assert got == [(1, 2, 8.0), (1, 3, round(math.sqrt(128), 6)), (1, 4, 8.0), (3, 2, 10.0), (3, 3, round(math.sqrt(200), 6)), (3, 4, 10.0)]
+    # through the middle three sides; at the top only a corner; at the bottom the sides of three faces, and the longest of the face that lies in it
+    assert got == [(1, 2, 8.0), (1, 3, round(math.sqrt(128), 6)), (1, 4, 8.0), (3, 1, round(math.sqrt(200), 6)), (3, 2, 10.0), (3, 3, round(math.sqrt(200), 6)), (3, 4, 10.0)]
     assert geometry.surface_centroid(faces).first().area == pytest.approx(150 + math.sqrt(3) / 4 * 200)
     assert geometry.plane_segments(faces.limit(0), planes).count() == 0
-    rays = spark.createDataFrame([("in", 1.0, 1.0, 1.0), ("out", -1.0, 1.0, 1.0), ("past", 1.0, 50.0, 1.0)], "ray_id string, ox double, oy double, oz double")
+    rays = spark.createDataFrame([("in", 1.0, 1.0, 1.0), ("out", -1.0, 1.0, 1.0), ("past", 1.0, 50.0, 1.0)], "ray_id string, ox double, oy double, oz double").selectExpr("*", "1.0d dx", "0.0d dy", "0.0d dz")
     assert rows(geometry.ray_hits(faces, rays).select("ray_id", "face_id", F.round("t", 6))) == [("in", 3, 7.0), ("in", 4, -1.0), ("out", 3, 9.0), ("out", 4, 1.0)]
 
 
+def test_patches_and_rays_of_any_direction(spark):
+    """Against all pairs in numpy; triangles from tiny to huge, also far from the planes; nulls and planes without area match nothing."""
+    r = np.random.default_rng(11)
+    tris = [r.normal(size=3) * 3 + r.normal(size=(3, 3)) * s for s in np.repeat([1e-3, 0.05, 0.4, 3.0, 40.0], 80)]
+    faces = spark.createDataFrame([("m", i, *t.ravel().tolist()) for i, t in enumerate(tris)] + [("m", 900, *[None] * 9), ("m", 901, *[float("nan")] * 9)], "mesh_id string, face_id int, " + ", ".join(f"{w}{c} double" for w in "abc" for c in "xyz"))
+    planes, want = [], set()
+    for k in range(25):
+        ex, ey = r.normal(size=3), r.normal(size=3)
+        ex /= np.linalg.norm(ex)
+        ey -= ex * (ex @ ey)
+        ey /= np.linalg.norm(ey)
+        p0, n, w, h = r.normal(size=3) * 2, np.cross(ex, ey), float(r.uniform(0.5, 6)), float(r.uniform(0.5, 6))
+        planes.append((k, p0.tolist(), (ex * 2).tolist(), ey.tolist(), w, h))
+        for i, t in enumerate(tris):
+            d = (t - p0) @ n
+            cut = [t[a] + d[a] / (d[a] - d[b]) * (t[b] - t[a]) for a, b in ((0, 1), (1, 2), (2, 0)) if d[a] * d[b] < 0]
+            if len(cut) == 2:
+                uv = [np.array([(c - p0) @ ex, (c - p0) @ ey]) for c in cut]
+                lo, hi = 0.0, 1.0
+                for o, v, m in zip(uv[0], uv[1] - uv[0], (w, h)):
+                    ts = sorted((-o / v, (m - o) / v))
+                    lo, hi = max(lo, ts[0]), min(hi, ts[1])
+                if lo <= hi:
+                    want.add((k, i, round((hi - lo) * float(np.linalg.norm(uv[1] - uv[0])), 6)))
+    planes += [(100, [0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [2.0, 0.0, 0.0], 1.0, 1.0), (101, None, [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], 1.0, 1.0), (102, [0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], None, 1.0)]
+    df = spark.createDataFrame(planes, "plane_id int, p0 array<double>, ex array<double>, ey array<double>, width double, height double")
+    got = geometry.patch_segments(faces, df).withColumn("inside", F.round(F.hypot(F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0")), 6))
+    assert len(want) > 100 and {(x.plane_id, x.face_id, x.inside) for x in got.collect()} == want
+    assert geometry.patch_segments(faces.limit(0), df).count() == geometry.patch_segments(faces, df.limit(0)).count() == 0
+    rays, hits = [], set()
+    for k in range(25):
+        o, v = r.normal(size=3) * 2, r.normal(size=3) * (r.random(3) > 0.3)
+        rays.append((k, *o.tolist(), *v.tolist()))
+        for i, t in enumerate(tris):
+            m = np.array([-v, t[1] - t[0], t[2] - t[0]]).T
+            if abs(np.linalg.det(m)) > 1e-12:
+                at, a, b = np.linalg.solve(m, o - t[0])
+                if a >= 0 and b >= 0 and a + b <= 1:
+                    hits.add((k, i, round(float(at), 5)))
+    got = geometry.ray_hits(faces, spark.createDataFrame(rays, "ray_id int, ox double, oy double, oz double, dx double, dy double, dz double"))
+    assert len(hits) > 30 and {(x.ray_id, x.face_id, round(x.t, 5)) for x in got.collect()} == hits
+
+
+def test_joint_angles(spark):
+    """The tibia turned by 30 degrees about each of the femur's axes, on both sides."""
+    c, s = math.cos(math.pi / 6), math.sin(math.pi / 6)
+    turns = {"x": [1, 0, 0, 0, 0, c, -s, 0, 0, s, c, 0], "y": [c, 0, s, 0, 0, 1, 0, 0, -s, 0, c, 0], "z": [c, -s, 0, 0, s, c, 0, 0, 0, 0, 1, 0]}
+    df = spark.createDataFrame([(k, [float(x) for x in [*m, 0, 0, 0, 1]]) for k, m in turns.items()], "axis string, m array<double>")
+    eye = [F.lit(float(i % 5 == 0)) for i in range(16)]
+    for right, want in ((True, {"x": (-30, 0, 0), "y": (0, -30, 0), "z": (0, 0, 30)}), (False, {"x": (-30, 0, 0), "y": (0, 30, 0), "z": (0, 0, -30)})):
+        got = {r[0]: tuple(r)[1:] for r in df.select("axis", *la.joint_angles(eye, la.matrix(F.col("m")), right)).collect()}
+        assert all(got[k] == pytest.approx(v, abs=1e-9) for k, v in want.items())
+
+
 def test_clip_and_raster(spark):
     r = random.Random(5)
     data = [(i, *[r.uniform(-1, 3) for _ in range(4)]) for i in range(60)] + [(100, 0.5, -1.0, 0.5, 3.0), (101, -1.0, 0.5, -0.5, 0.5), (102, 0.0, 0.0, 2.0, 0.0)]

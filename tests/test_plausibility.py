@@ -108,7 +108,7 @@ def test_ends_are_seen_from_one_side(spark):
     assert found(spark, data) == {(i, "x", "spike") for i in (0, 398, 399)}
     moves = []
     for i in range(40):
-        moves.append([i, "a", i, [1.0, 0, 0, 10 + i + 0.1 * (i % 3), 0, 1, 0, 20, 0, 0, 1, 30, 0, 0, 0, 1], 3000.0, 1000.0 * i if i % 4 else None])
+        moves.append([i, "a", i, list(map(float, [1, 0, 0, 10 + i + 0.1 * (i % 3), *EYE[4:]])), 3000.0, 1000.0 * i if i % 4 else None])
     moves[0][3][3] += 90
     moves[39][3][7] += 90
     for i in range(20, 39):
