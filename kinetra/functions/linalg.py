@@ -93,6 +93,11 @@ def apply(a: Mat, p: Vec) -> list[Column]:
     return [dot(a[4 * r : 4 * r + 3], p) + a[4 * r + 3] for r in range(3)]
 
 
+def _cosine(x: Column) -> Column:
+    """x between -1 and 1; null stays null."""
+    return F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(1.0)), F.lit(-1.0)))
+
+
 def translation_error(a: Mat, b: Mat) -> Column:
     return norm([a[i] - b[i] for i in (3, 7, 11)])
 
@@ -100,7 +105,7 @@ def translation_error(a: Mat, b: Mat) -> Column:
 def rotation_error_deg(a: Mat, b: Mat) -> Column:
     """The angle between two rotations in degrees."""
     trace = sum((a[4 * i + j] * b[4 * i + j] for i in range(3) for j in range(3)), F.lit(0.0))
-    return F.degrees(F.acos(F.greatest(F.least((trace - 1) / 2, F.lit(1.0)), F.lit(-1.0))))
+    return F.degrees(F.acos(_cosine((trace - 1) / 2)))
 
 
 def exp_map(state: Sequence[Column]) -> list[Column]:
@@ -124,7 +129,7 @@ def exp_map(state: Sequence[Column]) -> list[Column]:
 
 def log_map(t: Mat) -> list[Column]:
     """The twist (v, w) of a transform; near a half turn the axis comes from the diagonal, its largest part positive."""
-    cos = F.greatest(F.least((t[0] + t[5] + t[10] - 1) / 2, F.lit(1.0)), F.lit(-1.0))
+    cos = _cosine((t[0] + t[5] + t[10] - 1) / 2)
     skew = [(t[9] - t[6]) / 2, (t[2] - t[8]) / 2, (t[4] - t[1]) / 2]
     sin = norm(skew)
     a = F.atan2(sin, cos)
@@ -166,7 +171,7 @@ def joint_angles(femur: Mat, tibia: Mat, right: bool) -> list[Column]:
     """
     r = lambda i, j: sum((femur[4 * k + i - 1] * tibia[4 * k + j - 1] for k in range(3)), F.lit(0.0))
     side = 1.0 if right else -1.0
-    lean = F.degrees(F.acos(F.greatest(F.least(r(1, 3), F.lit(1.0)), F.lit(-1.0)))) - 90
+    lean = F.degrees(F.acos(_cosine(r(1, 3)))) - 90
     return [F.degrees(F.atan2(r(2, 3), r(3, 3))), side * lean, -side * F.degrees(F.atan2(r(1, 2), r(1, 1)))]
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Parts into which a key's range is cut.
-RANGES = 1_024
+from kinetra.operators.common import lookup_join, written
+
+#: How far, as a share of a key's rows, the cuts lie from a wanted quantile.
+NEAR = 0.002
 
 
 def hazen(values: Column, p: float) -> Column:
@@ -23,30 +26,33 @@ def hazen(values: Column, p: float) -> Column:
 def hazen_quantiles(df: DataFrame, keys: Sequence[str], value: Column, quantiles: dict[str, float]) -> DataFrame:
     """Exact midpoint quantiles of each key's values, and their number n; null, NaN and infinite values are left out.
 
-    Equal values are counted before the shuffle. A key's range is cut into RANGES parts of equal width, each ordered in a
-    task of its own; the parts' counts give the ranks at which they begin. So a hot key is many tasks, unless most of its
-    distinct values lie in a thousandth of its range.
+    A sketch per key gives cuts a little below and above each wanted quantile. Counts between the cuts tell exactly which parts hold
+    the wanted ranks; only the rows of those parts, some NEAR of a key each way, are shuffled and ranked. So a hot key shuffles
+    little, however its values are spread. Keys may be null.
     """
     keys = list(keys)
     v = value.cast("double")
-    counted = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).groupBy(*keys, v.alias("_v")).count()
-    limits = counted.groupBy(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)]).agg(F.sum("count").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    same = [F.col(k).eqNullSafe(F.col(f"_l{i}")) for i, k in enumerate(keys)]
-    width = F.when(F.col("_high") > F.col("_low"), (F.col("_high") - F.col("_low")) / RANGES)
-    cut = counted.join(limits, same).withColumn("_part", F.coalesce(F.floor((F.col("_v") - F.col("_low")) / width), F.lit(0))).select(*keys, "_v", "count", "_n", "_part")
-    parts = cut.groupBy(*keys, "_part").agg(F.sum("count").alias("_c"))
-    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.select(*[F.col(k).alias(f"_l{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_from"))
-    inside = Window.partitionBy(*keys, "_part").orderBy("_v")
-    ranked = cut.withColumn("_in", F.sum("count").over(inside)).join(begins, [*same, F.col("_part") == F.col("_p")]).withColumn("_to", F.col("_from") + F.col("_in"))
-    first = F.col("_to") - F.col("count")
-    out = []
-    for name, p in quantiles.items():
-        h = F.greatest(F.least(F.col("_n") * F.lit(float(p)) + 0.5, F.col("_n").cast("double")), F.lit(1.0))
-        low, high = F.floor(h), F.ceil(h)
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0))
+    rows = written(df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))).select(key.alias("_k"), v.alias("_v")))
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in quantiles.values() for d in (-NEAR, NEAR)})
+    cuts = written(rows.groupBy("_k").agg(F.percentile_approx("_v", near, 10_000).alias("_cuts")))
+    part = sum(((F.col("_v") > F.get("_cuts", F.lit(i))).cast("int") for i in range(len(near))), F.lit(0))
+    cut = lookup_join(rows, cuts, ["_k"], F.col("_v"), "inner").select("_k", "_v", part.alias("_part"))
+    parts = cut.groupBy("_k", "_part").agg(F.count("*").alias("_c"))
+    along = Window.partitionBy("_k").orderBy("_part")
+    parts = parts.withColumns({"_to": F.sum("_c").over(along), "_n": F.sum("_c").over(Window.partitionBy("_k"))}).withColumn("_from", F.col("_to") - F.col("_c"))
+    rank = {name: F.greatest(F.least(F.col("_n") * F.lit(float(p)) + 0.5, F.col("_n").cast("double")), F.lit(1.0)) for name, p in quantiles.items()}
+    holds = reduce(lambda a, b: a | b, [(F.col("_from") < f(h)) & (F.col("_to") >= f(h)) for h in rank.values() for f in (F.floor, F.ceil)])
+    wanted = written(parts.where(holds).select("_k", "_part", "_from", "_n"))
+    counted = lookup_join(cut, wanted.select("_k", "_part"), ["_k", "_part"], F.col("_v"), "left_semi").groupBy("_k", "_part", "_v").count()
+    inside = Window.partitionBy("_k", "_part").orderBy("_v")
+    ranked = counted.withColumn("_in", F.sum("count").over(inside)).join(wanted, ["_k", "_part"]).withColumn("_to", F.col("_from") + F.col("_in"))
+    first, out = F.col("_to") - F.col("count"), []
+    for name, h in rank.items():
         at = lambda k: F.max(F.when((first < k) & (F.col("_to") >= k), F.col("_v")))
+        low, high = F.floor(h), F.ceil(h)
         out.append((at(low) + F.max(h - low) * (at(high) - at(low))).alias(name))
-    return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *out)
+    return ranked.groupBy("_k").agg(F.max("_n").alias("n"), *out).select(*[F.col("_k")[k].alias(k) for k in keys], "n", *quantiles)
 
 
 def moving_frame(window: WindowSpec, k: int) -> WindowSpec:

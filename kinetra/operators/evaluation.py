@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.functions.stats import hazen_quantiles
+from kinetra.operators.ordered_windows import indexed
+
+#: Parts in which a whole table is ranked.
+PARTS = 64
 
 
 def experiment_plan(lists: dict[str, DataFrame], seeds: DataFrame) -> DataFrame:
@@ -16,29 +20,32 @@ def experiment_plan(lists: dict[str, DataFrame], seeds: DataFrame) -> DataFrame:
     Result: combination_id, combination_number, run_number, one column per list, seed. The first list varies fastest. The lists
     are what an experiment states; their product is the result itself. Duplicates and nulls in a list are dropped.
     """
-    names = list(lists)
-    plan = None
+    def numbered(values: DataFrame, name: str) -> DataFrame:
+        """The list's values, their places from 0 and how many there are."""
+        sorted_ = values.toDF(name).dropna().agg(F.array_sort(F.collect_set(name)).alias("_l"))
+        return sorted_.select(F.size("_l").alias(f"_n_{name}"), F.posexplode("_l").alias(f"_i_{name}", name))
+
+    names, plan = list(lists), None
     for name in names:
-        values = lists[name].toDF(name).dropna().distinct()
-        plan = values if plan is None else plan.crossJoin(values)
-    order = Window.orderBy(*reversed(names))
-    n = F.row_number().over(order)
-    plan = plan.withColumn("combination_number", n).withColumn("combination_id", F.format_string("combination_%04d", n))
-    runs = plan.crossJoin(seeds.toDF("seed").dropna().distinct())
-    return runs.withColumn("run_number", F.row_number().over(Window.orderBy("combination_number", "seed")))
+        values = numbered(lists[name], name)
+        plan = values if plan is None else plan.crossJoin(F.broadcast(values))
+    runs = plan.crossJoin(F.broadcast(numbered(seeds, "seed")))
+    number = F.lit(0).cast("bigint")
+    for name in reversed(names):
+        number = number * F.col(f"_n_{name}") + F.col(f"_i_{name}")
+    runs = runs.withColumn("combination_number", number + 1).withColumn("run_number", number * F.col("_n_seed") + F.col("_i_seed") + 1)
+    return runs.select(*names, "combination_number", F.format_string("combination_%04d", "combination_number").alias("combination_id"), "seed", "run_number")
 
 
 def ranked(df: DataFrame, metric: str, tie: str, name: str = "rank") -> DataFrame:
     """The rows with their rank by ``metric``, ties by ``tie``; rows without a finite metric have none.
 
-    Ranks over the whole table come from the counts of range partitions, so that no task orders all rows.
+    Ranks over the whole table come from the counts of parts between PARTS quantiles (of a sketch), so that no task orders all rows,
+    however the metric is spread.
     """
-    from kinetra.operators.ordered_windows import indexed
-
     finite = F.col(metric).isNotNull() & ~F.isnan(F.col(metric).cast("double")) & (F.abs(F.col(metric)) < float("inf"))
-    low, high = df.where(finite).agg(F.min(metric), F.max(metric)).first()
-    width = (float(high) - float(low)) / 256 if high is not None and high > low else 1.0
-    part = F.floor((F.col(metric).cast("double") - float(low or 0)) / width)
+    cuts = df.where(finite).agg(F.percentile_approx(metric, [k / PARTS for k in range(1, PARTS)], 10_000)).first()[0] or []
+    part = sum(((F.col(metric) > F.lit(c)).cast("int") for c in sorted(set(cuts))), F.lit(0))
     placed = indexed(df.where(finite).withColumn("_all", F.lit(0)), ["_all"], [metric, tie], part)
     return placed.withColumn(name, (F.col("_at") + 1).cast("bigint")).drop("_at", "_all").unionByName(df.where(~finite).withColumn(name, F.lit(None).cast("bigint")))
 

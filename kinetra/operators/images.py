@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,20 +58,40 @@ def erode(mask: np.ndarray, r: int) -> np.ndarray:
 
 
 def components(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
-    """Labels of connected pixels, 0 outside; each label is one more than the smallest index of its pixels."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
-    steps = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1) if (y or x) and (diagonal or not (y and x))]
-    big = mask.size + 1
-    while True:
-        low = np.where(mask, label, big)
-        for y, x in steps:
-            low = np.minimum(low, np.where(mask, _shifted(np.where(mask, label, big), y, x, big), big))
-        low = np.where(mask, low, 0)
-        # each pixel then takes the label of the pixel that its label names
-        low = np.where(mask, low.ravel()[np.maximum(low - 1, 0)], 0)
-        if (low == label).all():
-            return label
-        label = low
+    """Labels of connected pixels, 0 outside; each label is one more than the smallest index of its pixels.
+
+    Runs of pixels are joined with the runs of the row above that they touch (union and find); pixels take their run's label.
+    """
+    h, w = mask.shape
+    padded = np.zeros((h, w + 2), np.int8)
+    padded[:, 1:-1] = mask
+    step = np.diff(padded.ravel(), prepend=0)
+    start, stop = np.flatnonzero(step == 1), np.flatnonzero(step == -1)  # of the padded rows, stop not in it
+    if not len(start):
+        return np.zeros(mask.shape, int)
+    reach = int(diagonal)
+    # runs of the row above that end after this run's begin and begin before its end
+    first = np.searchsorted(stop, start - (w + 2) - reach, "right")
+    last = np.searchsorted(start, stop - (w + 2) + reach, "left")
+    many = np.maximum(last - first, 0)
+    mine = np.repeat(np.arange(len(start)), many)
+    theirs = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(len(mine))
+    root = list(range(len(start)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in zip(mine.tolist(), theirs.tolist()):
+        x, y = find(i), find(j)
+        root[max(x, y)] = min(x, y)
+    roots = np.array([find(i) for i in range(len(root))])
+    place = start - 1 - 2 * (start // (w + 2))  # index in the mask
+    out = np.zeros(mask.size, int)
+    out[mask.ravel()] = np.repeat(place[roots] + 1, stop - start)
+    return out.reshape(mask.shape)
 
 
 def fill_holes(mask: np.ndarray) -> np.ndarray:
@@ -82,22 +102,23 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
 
 
 def perimeter(mask: np.ndarray) -> np.ndarray:
-    """Foreground pixels with a background pixel, or the outside, among their side neighbours."""
-    return mask & ~np.logical_and.reduce([_shifted(mask, y, x, False) for y, x in ((-1, 0), (1, 0), (0, -1), (0, 1))])
+    """Foreground pixels with a background pixel, or the outside, among their eight neighbours."""
+    return mask & ~np.logical_and.reduce([_shifted(mask, y, x, False) for y in (-1, 0, 1) for x in (-1, 0, 1) if y or x])
 
 
-def segment(image: np.ndarray, p: Segmentation) -> np.ndarray:
-    """Brightness and contrast, threshold, opening, closing, holes, small components, in this order."""
+def segment(image: np.ndarray, p: Segmentation) -> tuple[np.ndarray, int, int]:
+    """Brightness and contrast, threshold, opening, closing, holes, small components, in this order: the mask, its number of components, the threshold used."""
     grey = np.clip(np.floor((image.astype(float) - 127.5) * p.contrast + 127.5 + p.brightness + 0.5), 0, 255).astype(np.uint8)
-    mask = grey >= (otsu(grey) if p.threshold is None else p.threshold)
+    threshold = otsu(grey) if p.threshold is None else p.threshold
+    mask = grey >= threshold
     if p.open_radius:
         mask = dilate(erode(mask, p.open_radius), p.open_radius)
     if p.close_radius:
         mask = erode(dilate(mask, p.close_radius), p.close_radius)
-    mask = fill_holes(mask)
-    label = components(mask)
+    label = components(fill_holes(mask))
     sizes = np.bincount(label.ravel())
-    return mask & (sizes[label] >= p.min_area)
+    sizes[0] = 0
+    return sizes[label] >= max(p.min_area, 1), int((sizes >= max(p.min_area, 1)).sum()), threshold
 
 
 def _each(f: Callable[[np.ndarray], tuple], names: list[str], id_col: str) -> Callable:
@@ -119,10 +140,9 @@ def segmented(frames: DataFrame, id_col: str, parameters: Segmentation = Segment
     """
 
     def measure(image: np.ndarray) -> tuple:
-        mask = segment(image, parameters)
-        blobs = len(np.unique(components(mask))) - (0 if mask.all() else 1)
+        mask, blobs, threshold = segment(image, parameters)
         quality = "No blobs" if not blobs else "Good" if blobs == 1 else "Fair" if blobs <= 5 else "Bad"
-        return otsu(image) if parameters.threshold is None else parameters.threshold, int(mask.sum()), int(perimeter(mask).sum()), blobs, quality
+        return threshold, int(mask.sum()), int(perimeter(mask).sum()), blobs, quality
 
     names = ["threshold", "n_pixels", "n_edge", "n_blobs", "quality"]
     kind = dict(frames.dtypes)[id_col]
@@ -139,19 +159,20 @@ def best_path(confidence: np.ndarray, dx: float = 1.0, dy: float = 1.0, smoothne
     out = np.full(confidence.shape[1], -1)
     if not len(columns):
         return out
-    data = np.where(np.isnan(confidence), np.inf, -np.log(np.maximum(np.nan_to_num(confidence), 1e-6)))
-    rows = np.arange(confidence.shape[0])
-    cost, back = data[:, columns[0]], []
+    # only candidates are weighed against each other, so that a column costs the product of two columns' candidates
+    rows = np.flatnonzero(~np.isnan(confidence[:, columns[0]]))
+    cost, steps = -np.log(np.maximum(confidence[rows, columns[0]], 1e-6)), []
     for a, b in zip(columns, columns[1:]):
-        step = (b - a) * dx
-        turn = smoothness * ((rows[:, None] - rows[None, :]) * dy / step) ** 2 * step
-        through = cost[None, :] + turn
-        back.append(through.argmin(1))
-        cost = through.min(1) + data[:, b]
-    r = int(cost.argmin())
-    for c, b in zip(columns[::-1], [*back[::-1], None]):
-        out[c] = r
-        r = int(b[r]) if b is not None else r
+        step, here = (b - a) * dx, np.flatnonzero(~np.isnan(confidence[:, b]))
+        through = cost[None, :] + smoothness * ((here[:, None] - rows[None, :]) * dy / step) ** 2 * step
+        best = through.argmin(1)
+        steps.append((rows, best))
+        cost, rows = through[np.arange(len(here)), best] - np.log(np.maximum(confidence[here, b], 1e-6)), here
+    at = int(cost.argmin())
+    out[columns[-1]] = rows[at]
+    for c, (before, best) in zip(columns[-2::-1], steps[::-1]):
+        at = int(best[at])
+        out[c] = before[at]
     return out
 
 
@@ -212,7 +233,12 @@ def surfaces(frames: DataFrame, id_col: str, dx: float = 1.0, dy: float = 1.0, l
     return out.withColumn("n_columns", F.col("n_columns").cast("int"))
 
 
-def grey_levels(image: Column) -> Column:
-    """The bytes of an image as array<int>."""
-    digits = F.hex(image)
-    return F.when(F.length(image) > 0, F.transform(F.sequence(F.lit(0), F.length(image) - 1), lambda i: F.conv(digits.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).otherwise(F.when(image.isNotNull(), F.array().cast("array<int>")))
+def grey_sums(frames: DataFrame, id_col: str, least: int) -> DataFrame:
+    """Per frame: n and total of the grey values of at least ``least``, whatever the image's length; no row for a null image."""
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            grey = [np.frombuffer(bytes(x), np.uint8) for x in pdf["image"]]
+            yield pd.DataFrame({id_col: pdf[id_col], "n": [int((g >= least).sum()) for g in grey], "total": [int(g[g >= least].sum(dtype=np.int64)) for g in grey]})
+
+    return frames.where("image is not null").select(id_col, "image").mapInPandas(sums, f"{id_col} {dict(frames.dtypes)[id_col]}, n bigint, total bigint")

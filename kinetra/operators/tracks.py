@@ -7,16 +7,18 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinetra.functions import linalg as la
 from kinetra.functions.stats import hazen_quantiles, moving_frame, robust_unit
-from kinetra.operators.common import lookup_join
+from kinetra.operators.common import lookup_join, written
 from kinetra.operators.ordered_windows import indexed, own, running_sum, with_neighbours
 
 #: Milliseconds of a part of a source's time that is ordered in one task.
 PART_MS = 3_600_000
+#: The same in rows, for rows that are numbered anew.
+PART_ROWS = 65_536
 _FIELD = re.compile(r"^(.+)_([qt])([1-4])$")
 
 
@@ -195,31 +197,80 @@ def smoothed_spline(df: DataFrame, keys: Sequence[str], time_col: str, value: st
 def chained_poses(at: DataFrame, source: str, steps: Sequence[str], block: int = 8_192) -> DataFrame:
     """The indexed rows with ``pose``: the product of all step transforms (columns of 16 numbers: ``steps[0]``) up to the row.
 
-    Products of blocks are formed in parallel, chained per source (one row a block), and put before each block's own
-    products; a null step counts as no move.
+    A scan by levels: products of blocks, which are again rows that are multiplied by blocks, until a source has one block;
+    then down again, each block beginning with what comes before it. A null step counts as no move. No group is larger than a block.
     """
-    step = steps[0]
+    kind, step = dict(at.dtypes)[source], steps[0]
     eye = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
-    cut = at.withColumn("_b", F.floor(F.col("_at") / block)).withColumn("_m", F.coalesce(F.col(step), eye))
-    multiply = lambda a, b: F.array(*la.compose(la.matrix(a), la.matrix(b)))
-
-    def product(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
-        listed = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, "_m"))).alias("_l"))
-        return listed.select(*keys, F.aggregate("_l", eye, lambda acc, x: multiply(acc, x["_m"])).alias(out))
-
-    whole = product(cut.select(source, "_b", "_at", "_m"), [source, "_b"], "_at", "_m")
-    before = whole.groupBy(source).agg(F.array_sort(F.collect_list(F.struct("_b", "_m"))).alias("_l"))
-    prefix = F.aggregate("_l", F.struct(eye.alias("acc"), F.array().cast("array<array<double>>").alias("out")), lambda s, x: F.struct(multiply(s["acc"], x["_m"]).alias("acc"), F.concat(s["out"], F.array(s["acc"])).alias("out")))
-    starts = before.select(source, F.inline(F.arrays_zip(F.transform("_l", lambda x: x["_b"]).alias("_b"), prefix["out"].alias("_start"))))
+    rows = at.select(source, "_at", F.coalesce(F.col(step), eye).alias("_m")).where(F.col(source).isNotNull())
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Per row the product before it and with it."""
         pdf = pdf.sort_values("_at")
-        acc, out = np.array(pdf["_start"].iloc[0], float).reshape(4, 4), []
+        acc, before, out = np.array(pdf["_start"].iloc[0], float).reshape(4, 4), [], []
         for m in pdf["_m"]:
+            before.append(acc.ravel().tolist())
             acc = acc @ np.array(m, float).reshape(4, 4)
             out.append(acc.ravel().tolist())
-        return pd.DataFrame({source: pdf[source], "_at": pdf["_at"], "pose": out})
+        return pd.DataFrame({source: pdf[source], "_at": pdf["_at"], "_before": before, "pose": out})
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        acc = np.eye(4)
+        for m in pdf.sort_values("_at")["_m"]:
+            acc = acc @ np.array(m, float).reshape(4, 4)
+        return pd.DataFrame({source: pdf[source].iloc[:1], "_at": pdf["_b"].iloc[:1], "_m": [acc.ravel().tolist()]})
+
+    def scanned(level: DataFrame, n: int) -> DataFrame:
+        cut = level.withColumn("_b", F.floor(F.col("_at") / block))
+        if n <= block:
+            begun = cut.withColumn("_start", eye)
+        else:
+            whole = cut.groupBy(source, "_b").applyInPandas(products, f"{source} {kind}, _at bigint, _m array<double>")
+            starts = scanned(written(whole), -(-n // block)).select(source, F.col("_at").alias("_b"), F.col("_before").alias("_start"))
+            begun = cut.join(starts, [source, "_b"])
+        return begun.groupBy(source, "_b").applyInPandas(chain, f"{source} {kind}, _at bigint, _before array<double>, pose array<double>")
 
-    kind = dict(at.dtypes)[source]
-    poses = cut.select(source, "_b", "_at", "_m").join(starts, [source, "_b"]).groupBy(source, "_b").applyInPandas(chain, f"{source} {kind}, _at bigint, pose array<double>")
-    return at.join(poses, [source, "_at"])
+    longest = at.agg(F.max("_at")).first()[0]
+    return at.join(scanned(rows, (longest or 0) + 1).drop("_before"), [source, "_at"])
+
+
+def smoothed_poses(at: DataFrame, source: str, pose: str, k: int, name: str = "smooth") -> DataFrame:
+    """The indexed rows that have a ``pose`` (16 numbers), renumbered, with the smooth one: the moves from pose to pose, as twists, are
+    averaged over a centred window of k of them, shorter at the ends, and chained again from the first pose.
+    """
+    kept = at.where(F.col(pose).isNotNull()).withColumnRenamed("_at", "_t")
+    placed = indexed(kept, [source], ["_t"], F.floor(F.col("_t") / PART_ROWS)).drop("_t")
+    rows, w = with_neighbours(placed, [source], 1, 0)
+    move = la.log_map(la.compose(la.inverse(la.matrix(F.col("_prev"))), la.matrix(F.col(pose))))
+    rows = own(rows.withColumn("_prev", F.lag(pose).over(w))).withColumn("_twist", F.when(F.col("_prev").isNotNull(), F.array(*move))).drop("_prev")
+    rows, w = with_neighbours(rows, [source], k // 2, (k - 1) // 2)
+    rows = own(rows.withColumn("_mean", F.array(*[F.avg(F.get("_twist", F.lit(i))).over(moving_frame(w, k)) for i in range(6)])))
+    step = F.when(F.col("_at") == 0, F.col(pose)).otherwise(F.array(*la.exp_map([F.get("_mean", F.lit(i)) for i in range(6)])))
+    steps = written(rows.withColumn("_step", step).drop("_twist", "_mean"))
+    smooth = chained_poses(steps.select(source, "_at", "_step"), source, ["_step"]).select(source, "_at", F.col("pose").alias(name))
+    return steps.drop("_step").join(smooth, [source, "_at"])
+
+
+def resampled_path(at: DataFrame, source: str, point: Sequence[str], spacing: float) -> DataFrame:
+    """Points along each source's way at equal distances from its start, and its end: source, place (from 0), path_mm and the point's columns.
+
+    Steps without length or with a null point are passed over. Every step makes its own points, so a long way is many tasks.
+    """
+    kept = at.dropna(subset=list(point)).withColumnRenamed("_at", "_t")
+    placed = path_length(indexed(kept, [source], ["_t"], F.floor(F.col("_t") / PART_ROWS)), source, point)
+    rows, w = with_neighbours(placed, [source], 0, 1)
+    ahead = own(rows.withColumns({"_p1": F.lead("path_mm").over(w), **{f"_n_{c}": F.lead(c).over(w) for c in point}}))
+    first, last = F.ceil(F.col("path_mm") / spacing).cast("bigint"), (F.ceil(F.col("_p1") / spacing) - 1).cast("bigint")
+    inner = ahead.where(F.col("_p1").isNotNull() & (last >= first)).withColumn("place", F.explode(F.sequence(first, last)))
+    share = (F.col("place") * spacing - F.col("path_mm")) / (F.col("_p1") - F.col("path_mm"))
+    inner = inner.select(source, "place", (F.col("place") * spacing).alias("path_mm"), *[(F.col(c) + share * (F.col(f"_n_{c}") - F.col(c))).alias(c) for c in point])
+    end = ahead.where("_p1 is null").select(source, F.ceil(F.col("path_mm") / spacing).cast("bigint").alias("place"), "path_mm", *point)
+    return inner.unionByName(end)
+
+
+def tangents(at: DataFrame, source: str, point: Sequence[str]) -> DataFrame:
+    """The indexed rows with tangent: the direction from the row before to the row after (from or to the row itself at the ends), null without length."""
+    rows, w = with_neighbours(at, [source], 1, 1)
+    along = la.unit([F.coalesce(F.lead(c).over(w), F.col(c)) - F.coalesce(F.lag(c).over(w), F.col(c)) for c in point])
+    rows = own(rows.withColumn("tangent", F.array(*along)))
+    return rows.withColumn("tangent", F.when(F.forall("tangent", lambda x: x.isNotNull()), F.col("tangent")))

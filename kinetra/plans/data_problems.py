@@ -41,6 +41,12 @@ def _implausible(spark: SparkSession, d: str) -> DataFrame:
     return found.unionByName(jumps.select("record_id", F.lit(status).alias("field_name"), "rule"))
 
 
+def p1_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """Per operation of the edit scripts (rename, move) and number of fields it changes in a file: how many files."""
+    per_file = schema_drift(table(spark, d, "qtm_raw")).script.groupBy("file_id", "op").agg(F.count("*").alias("fields"))
+    return per_file.groupBy("op", "fields").agg(F.count("*").alias("files"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Implausible values of two tracked fields and of the probe's transform, for their session."""
     return _implausible(spark, d).select("record_id", "field_name").distinct()
@@ -78,11 +84,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_frames(spark: SparkSession, d: str) -> DataFrame:
-    """The wide table of frames, matrices as their first and last translation numbers."""
+    """The wide table of frames, each matrix as 16 columns."""
     wide = frame_table(table(spark, d, "mha_fields"))
     for name, kind in HEADER_ATTRIBUTES.items():
         if kind == "matrix":
-            wide = wide.withColumn(f"{name}_x", F.element_at(name, 4)).withColumn(f"{name}_z", F.element_at(name, 12)).drop(name)
+            wide = wide.withColumns({f"{name}_{i + 1}": F.get(name, F.lit(i)) for i in range(16)}).drop(name)
     return wide
 
 
@@ -91,7 +97,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return frame_table(table(spark, d, "mha_fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p2_found, p2_rules, p3_found, p3_grid, p5_found, p5_frames, p5_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p1_scripts, p2_found, p2_rules, p3_found, p3_grid, p5_found, p5_frames, p5_table)}
 
 _GRID = """
 WITH steps AS (SELECT session_id, max(grid_ms) AS step FROM sessions WHERE session_id IS NOT NULL GROUP BY 1),
@@ -146,7 +152,7 @@ _WIDE = {
     "int": "max(whole) FILTER (attribute = '{0}') AS {0}",
     "flag": "bool_or(flag) FILTER (attribute = '{0}') AS {0}",
     "string": "max(note) FILTER (attribute = '{0}') AS {0}",
-    "matrix": "max(matrix[4]) FILTER (attribute = '{0}') AS {0}_x, max(matrix[12]) FILTER (attribute = '{0}') AS {0}_z",
+    "matrix": ", ".join(f"max(matrix[{i}]) FILTER (attribute = '{{0}}') AS {{0}}_{i}" for i in range(1, 17)),
 }
 SQL = {
     "p3_found": _GRID + "SELECT session_id, at_ms AS slot_ms FROM missing",

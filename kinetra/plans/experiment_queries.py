@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from kinetra.functions.stats import hazen_quantiles
 from kinetra.operators.evaluation import combination_summary, densified, experiment_plan, ranked, surface_rmse
-from kinetra.operators.scoring import plane_scores, pose_cost
+from kinetra.operators.images import grey_sums
+from kinetra.operators.scoring import plane_totals, pose_cost
 from kinetra.plans.tables import table
 
 
@@ -66,9 +67,8 @@ def _scores(spark, d):
     """Packets as planes, the pixels of their images above 40 as hits, the size of the image as initial count."""
     packets = table(spark, d, "packets").dropDuplicates(["packet_id"]).where("image is not null")
     planes = packets.select(F.col("packet_id").alias("plane_id"), (F.col("width") * F.col("height")).alias("n_initial"))
-    digits = F.hex("image")
-    pixels = packets.select(F.col("packet_id").alias("plane_id"), F.explode(F.transform(F.sequence(F.lit(0), F.length("image") - 1), lambda i: F.conv(digits.substr(i * 2 + 1, F.lit(2)), 16, 10).cast("int"))).alias("intensity")).where("intensity > 40")
-    return plane_scores(planes, pixels, 255.0, 8.0, 6.0)
+    got = grey_sums(packets.select(F.col("packet_id").alias("plane_id"), "image"), "plane_id", 41)
+    return plane_totals(planes, got, ["plane_id"], 255.0, 8.0, 6.0)
 
 
 def cost_terms(spark, d):

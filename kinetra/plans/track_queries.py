@@ -13,6 +13,7 @@ from kinetra.operators.plausibility import rigid_violation
 from kinetra.plans.tables import table
 
 BODIES = ("A_F_GTR", "A_F_MID", "A_F_MEP", "A_T_MEP", "B_N_REF", "B_N_PRB", "C_F_PRO", "C_T_DIS")
+_POINT = ["A_T_MEP_t1", "A_T_MEP_t2", "A_T_MEP_t3"]
 SEVEN = ("q1", "q2", "q3", "q4", "t1", "t2", "t3")
 
 
@@ -58,7 +59,7 @@ def relative_steps(spark, d):
     """Per session: steps of the probe, how far and how much it turned in all."""
     at = _at(spark, d, *[f"B_N_PRB_{p}" for p in SEVEN])
     steps = tracks.relative_steps(at, "session_id", "B_N_PRB")
-    return steps.groupBy("session_id").agg(F.count("step_mm").alias("steps"), F.round(F.sum("step_mm"), 3).alias("moved_mm"), F.round(F.max("step_mm"), 4).alias("largest_mm"))
+    return steps.groupBy("session_id").agg(F.count("step_mm").alias("steps"), F.round(F.sum("step_mm"), 3).alias("moved_mm"), F.round(F.max("step_mm"), 4).alias("largest_mm"), F.round(F.sum("turn_deg"), 3).alias("turned_deg"))
 
 
 def moving_mean(spark, d):
@@ -94,6 +95,34 @@ def arc_length(spark, d):
     return way.select("reading_id", F.round("path_mm", 3).alias("path_mm"))
 
 
+def _places(spark, d):
+    """A body's places in each session, those seen."""
+    have = table(spark, d, "tracking").select("reading_id", "session_id", "utc_epoch_ms", *_POINT).where(" and ".join(f"{c} is not null and not isnan({c})" for c in _POINT))
+    return tracks.timed(have, "session_id", "utc_epoch_ms", "reading_id")
+
+
+def resampled_path(spark, d):
+    """Points along a body's way in each session, every 20 mm, and its end."""
+    got = tracks.resampled_path(_places(spark, d), "session_id", _POINT, 20.0)
+    return got.select("session_id", "place", *[F.round(c, 3).alias(c) for c in ("path_mm", *_POINT)])
+
+
+def tangents(spark, d):
+    """The direction of a body's way at every reading that sees it."""
+    got = tracks.tangents(_places(spark, d), "session_id", _POINT)
+    return got.select("reading_id", *[F.round(F.get("tangent", F.lit(i)), 5).alias(f"d{i + 1}") for i in range(3)])
+
+
+def smoothed_poses(spark, d):
+    """Per session: the smooth last pose of a body, and how far smoothing moved its poses at most."""
+    q, t = tracks.pose_columns("B_N_REF")
+    rows = table(spark, d, "tracking").select("reading_id", "session_id", "utc_epoch_ms", F.array(*la.from_quaternion(q, t)).alias("pose_now")).where(F.forall("pose_now", lambda x: x.isNotNull()))
+    got = tracks.smoothed_poses(tracks.timed(rows, "session_id", "utc_epoch_ms", "reading_id"), "session_id", "pose_now", 5)
+    away = la.translation_error(la.matrix(F.col("pose_now")), la.matrix(F.col("smooth")))
+    last = got.groupBy("session_id").agg(F.count("*").alias("n"), F.max_by("smooth", "_at").alias("_p"), F.round(F.max(away), 3).alias("moved_mm"))
+    return last.select("session_id", "n", "moved_mm", *[F.round(F.get("_p", F.lit(i)), 3).alias(c) for i, c in ((3, "x"), (7, "y"), (11, "z"))])
+
+
 def drop_adjacent_duplicates(spark, d):
     """Per session: readings that remain where a move of a millimetre or less is none."""
     kept = tracks.moved(_seen_at(spark, d, "B_N_REF_t1"), "session_id", ["B_N_REF_t1"], 1.0)
@@ -229,7 +258,7 @@ def name_parsing(spark, d):
 
 
 _MODULE = (
-    unpivot_tracking, quaternion_to_rotation, probe_in_reference, relative_steps, moving_mean, moving_mean_even, roughness, gap_sessions, arc_length,
+    unpivot_tracking, quaternion_to_rotation, probe_in_reference, relative_steps, moving_mean, moving_mean_even, roughness, gap_sessions, arc_length, resampled_path, tangents, smoothed_poses,
     drop_adjacent_duplicates, trailing_window, shadow_weighted_window, preceding_argmax, every_kth, robust_normalize, quaternion_mean_moments, mean_rotation,
     gap_fill_spline, chained_poses, track_quantiles, rigid_violations, status_counts, exactly_one_match, setwise_match, zip_join_identity, semi_filter, anti_missing, name_parsing,
 )
@@ -275,6 +304,7 @@ _RIGID = " AND ".join(
     + ["abs(" + " + ".join(f"{_P[i]} * ({_P[4 + (i + 1) % 3]} * {_P[8 + (i + 2) % 3]} - {_P[4 + (i + 2) % 3]} * {_P[8 + (i + 1) % 3]})" for i in range(3)) + " - 1) < 5e-3"]
     + [f"abs({_P[12 + i]} - {x}) < 1e-6" for i, x in enumerate((0.0, 0.0, 0.0, 1.0))]
 )
+_TURN = " + ".join(f"r{i}{j} * lead(r{i}{j}) OVER w" for i in (1, 2, 3) for j in (1, 2, 3))
 _WEIGHTS = {k: f"exp(-0.5 * ({k} / 2.0) * ({k} / 2.0))" for k in (1, 2, 3, 4)}
 SQL = {
     "unpivot_tracking": f"WITH {_R} "
@@ -291,8 +321,8 @@ SQL = {
     + ", ".join(f"r1{i}r * (xp - xr) + r2{i}r * (yp - yr) + r3{i}r * (zp - zr) AS {c}" for i, c in ((1, "x"), (2, "y"), (3, "z")))
     + " FROM m WHERE r11p IS NOT NULL OR TRUE) SELECT reading_id, round(x, 4) AS x, round(y, 4) AS y, round(z, 4) AS z FROM d WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL",
     "relative_steps": f"WITH {_R}, m AS (SELECT reading_id, session_id, utc_epoch_ms, {_rotation('B_N_PRB')} FROM r), o AS (SELECT *, x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND r11 IS NOT NULL AS ok FROM m), "
-    f"n AS (SELECT session_id, CASE WHEN ok AND lead(ok) OVER w THEN sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2 + (lead(z) OVER w - z) ** 2) END AS step FROM o WHERE session_id IS NOT NULL {_W}) "
-    "SELECT session_id, count(step) AS steps, round(sum(step), 3) AS moved_mm, round(max(step), 4) AS largest_mm FROM n GROUP BY 1",
+    f"n AS (SELECT session_id, CASE WHEN ok AND lead(ok) OVER w THEN sqrt((lead(x) OVER w - x) ** 2 + (lead(y) OVER w - y) ** 2 + (lead(z) OVER w - z) ** 2) END AS step, CASE WHEN ok AND lead(ok) OVER w THEN degrees(acos(greatest(least(({_TURN} - 1) / 2, 1), -1))) END AS turn FROM o WHERE session_id IS NOT NULL {_W}) "
+    "SELECT session_id, count(step) AS steps, round(sum(step), 3) AS moved_mm, round(max(step), 4) AS largest_mm, round(sum(turn), 3) AS turned_deg FROM n GROUP BY 1",
     "moving_mean": f"WITH {_R} SELECT reading_id, round(avg({_n('A_F_MID_t1')}) OVER (PARTITION BY session_id ORDER BY utc_epoch_ms, reading_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 7) AS mean FROM r WHERE session_id IS NOT NULL",
     "moving_mean_even": f"WITH {_R} SELECT reading_id, round(avg({_n('A_F_MID_t2')}) OVER (PARTITION BY session_id ORDER BY utc_epoch_ms, reading_id ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 7) AS mean FROM r WHERE session_id IS NOT NULL",
     "roughness": f"WITH {_R}, v AS (SELECT * FROM r WHERE A_F_MID_t3 IS NOT NULL AND NOT isnan(A_F_MID_t3) AND session_id IS NOT NULL), b AS (SELECT session_id, lag(A_F_MID_t3) OVER w - 2 * A_F_MID_t3 + lead(A_F_MID_t3) OVER w AS bend FROM v {_W}) "
@@ -301,6 +331,14 @@ SQL = {
     f"i AS (SELECT session_id, sum(start) OVER w AS island FROM s {_W}), z AS (SELECT session_id, island, count(*) AS n FROM i GROUP BY 1, 2) SELECT session_id, count(*) AS stretches, max(n) AS longest FROM z GROUP BY 1",
     "arc_length": f"WITH {_R}, v AS (SELECT reading_id, session_id, utc_epoch_ms, A_T_MEP_t1 x, A_T_MEP_t2 y, A_T_MEP_t3 z FROM r WHERE session_id IS NOT NULL AND NOT isnan(A_T_MEP_t1) AND NOT isnan(A_T_MEP_t2) AND NOT isnan(A_T_MEP_t3)), "
     f"s AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2), 0) AS step FROM v {_W}) SELECT reading_id, round(sum(step) OVER w, 3) AS path_mm FROM s {_W}",
+    "resampled_path": f"WITH {_R}, v AS (SELECT reading_id, session_id, utc_epoch_ms, A_T_MEP_t1 x, A_T_MEP_t2 y, A_T_MEP_t3 z FROM r WHERE session_id IS NOT NULL AND NOT isnan(A_T_MEP_t1) AND NOT isnan(A_T_MEP_t2) AND NOT isnan(A_T_MEP_t3)), "
+    f"s AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2), 0) AS step FROM v {_W}), p AS (SELECT *, sum(step) OVER w AS p FROM s {_W}), "
+    f"n AS (SELECT *, lead(p) OVER w AS p1, lead(x) OVER w AS x1, lead(y) OVER w AS y1, lead(z) OVER w AS z1 FROM p {_W}), i AS (SELECT *, unnest(range(CAST(ceil(p / 20) AS BIGINT), CAST(ceil(p1 / 20) AS BIGINT))) AS place FROM n WHERE p1 IS NOT NULL), "
+    "a AS (SELECT session_id, place, place * 20.0::DOUBLE AS path, x + (place * 20 - p) / (p1 - p) * (x1 - x) AS x, y + (place * 20 - p) / (p1 - p) * (y1 - y) AS y, z + (place * 20 - p) / (p1 - p) * (z1 - z) AS z FROM i UNION ALL SELECT session_id, CAST(ceil(p / 20) AS BIGINT), p, x, y, z FROM n WHERE p1 IS NULL) "
+    "SELECT session_id, place, round(path, 3) AS path_mm, round(x, 3) AS A_T_MEP_t1, round(y, 3) AS A_T_MEP_t2, round(z, 3) AS A_T_MEP_t3 FROM a",
+    "tangents": f"WITH {_R}, v AS (SELECT reading_id, session_id, utc_epoch_ms, A_T_MEP_t1 x, A_T_MEP_t2 y, A_T_MEP_t3 z FROM r WHERE session_id IS NOT NULL AND NOT isnan(A_T_MEP_t1) AND NOT isnan(A_T_MEP_t2) AND NOT isnan(A_T_MEP_t3)), "
+    f"s AS (SELECT reading_id, " + ", ".join(f"coalesce(lead({c}) OVER w, {c}) - coalesce(lag({c}) OVER w, {c}) AS {c}" for c in "xyz") + f" FROM v {_W}), l AS (SELECT *, sqrt(x * x + y * y + z * z) AS l FROM s) "
+    "SELECT reading_id, " + ", ".join(f"CASE WHEN l > 0 THEN round({c} / l, 5) END AS d{i}" for i, c in enumerate("xyz", 1)) + " FROM l",
     "drop_adjacent_duplicates": f"WITH {_R}, s AS (SELECT session_id, abs(B_N_REF_t1 - lag(B_N_REF_t1) OVER w) AS d FROM r WHERE session_id IS NOT NULL AND B_N_REF_t1 IS NOT NULL AND NOT isnan(B_N_REF_t1) {_W}) SELECT session_id, count(*) AS kept FROM s WHERE d IS NULL OR d > 1 GROUP BY 1",
     "trailing_window": f"WITH {_R}, v AS (SELECT reading_id, session_id, utc_epoch_ms, {_n('B_N_PRB_t3')} AS v FROM r WHERE session_id IS NOT NULL) SELECT reading_id, round(avg(v) OVER w, 7) AS mean_last, min(v) OVER w AS low_last, max(v) OVER w AS high_last FROM v WINDOW w AS (PARTITION BY session_id ORDER BY utc_epoch_ms, reading_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)",
     "shadow_weighted_window": f"WITH {_R}, v AS (SELECT reading_id, session_id, utc_epoch_ms, {_n('A_F_MID_t1')} AS v FROM r WHERE session_id IS NOT NULL), s AS (SELECT reading_id, "

@@ -5,18 +5,23 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinetra.operators.common import lookup_join, written
 from kinetra.operators.tracks import bodies_of, long_tracks
 from kinetra.operators.wide_table import frame_table
 
 _FRAME_KEY = re.compile(r"^Seq_Frame(\d+)_(.+)$", re.I)
 _FIELDS = "path string, line_no int, entity string, attribute string, attr_value string"
-_IMAGES = "path string, frame_id int, image binary, image_bytes int, expected_bytes int"
+_IMAGES = "path string, frame_id int, image binary, image_bytes bigint, expected_bytes bigint, fault string"
+#: Frames of a file that are handed on together.
+FRAMES_AT_ONCE = 64
 
 
 def _binary(spark: SparkSession, path: str, pattern: str) -> DataFrame:
@@ -58,22 +63,30 @@ def read_sequence_fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sequence_images(spark: SparkSession, path: str) -> DataFrame:
-    """The images of all sequence files: path, frame_id (from 0), image (null where the payload is too short), image_bytes, expected_bytes.
+    """The images of all sequence files: path, frame_id (from 0), image (null where the payload is too short), image_bytes, expected_bytes, fault.
 
     One row per frame of the third number of DimSize; a payload longer than that leaves image_bytes above expected_bytes.
-    Files without DimSize of three numbers have no rows.
+    Only plain payloads of one byte a pixel (ElementType MET_UCHAR, CompressedData False; both may be absent) are images: others leave
+    null images and say so in ``fault``. Files without DimSize of three numbers have no rows. Frames leave a file some at a time;
+    the file itself is one value, so it must be below 2 GB.
     """
 
     def images(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"]):
                 lines, payload = split_sequence(bytes(content))
-                size = next((re.findall(r"\d+", line.partition("=")[2]) for line in lines if re.match(r"\s*DimSize\s*=", line, re.I)), [])
+                said = {k.strip().lower(): v.strip() for k, _, v in (line.partition("=") for line in lines)}
+                size = re.findall(r"\d+", said.get("dimsize", ""))
                 if len(size) != 3:
                     continue
                 w, h, n = map(int, size)
-                cut = [payload[k * w * h : (k + 1) * w * h] for k in range(n)]
-                yield pd.DataFrame({"path": file, "frame_id": range(n), "image": [c if len(c) == w * h else None for c in cut], "image_bytes": len(payload), "expected_bytes": w * h * n})
+                kind = said.get("elementtype", "MET_UCHAR")
+                fault = f"element type {kind}" if kind.upper() != "MET_UCHAR" else "compressed" if said.get("compresseddata", "").lower() == "true" else None
+                for first in range(0, n, FRAMES_AT_ONCE):
+                    frames = range(first, min(first + FRAMES_AT_ONCE, n))
+                    cut = [payload[k * w * h : (k + 1) * w * h] for k in frames]
+                    whole = [c if len(c) == w * h and not fault else None for c in cut]
+                    yield pd.DataFrame({"path": file, "frame_id": frames, "image": whole, "image_bytes": len(payload), "expected_bytes": w * h * n, "fault": fault})
 
     return _binary(spark, path, "*.mha").mapInPandas(images, _IMAGES)
 
@@ -88,31 +101,46 @@ def read_sequences(spark: SparkSession, path: str) -> DataFrame:
 def write_frames(frames: DataFrame, folder: str) -> None:
     """One sequence file of a single frame, numbered 0000, for each row (sequence_id, frame_id, width, height, probe_t, status, ts, image).
 
-    Tasks write their own rows; the names are those of sequence and frame, so a task that runs again writes the same files.
+    ``folder`` is a path or URI that all machines share. Tasks write their own rows; the names are those of sequence and frame,
+    so a task that runs again writes the same files. A null image leaves the file without; one that isn't of width times height bytes fails.
     """
+    uri = folder if "://" in folder else Path(folder).absolute().as_uri()
 
     def write(rows) -> None:
-        from pathlib import Path
-
-        Path(folder).mkdir(parents=True, exist_ok=True)
+        files, base = fs.FileSystem.from_uri(uri)
+        files.create_dir(base, recursive=True)
         for r in rows:
             numbers = " ".join(f"{x:g}" for x in r.probe_t or [])
             head = f"ObjectType = Image\nNDims = 3\nDimSize = {r.width} {r.height} 1\nElementType = MET_UCHAR\nCompressedData = False\n"
             head += f"Seq_Frame0000_ProbeToTrackerDeviceTransform = {numbers}\nSeq_Frame0000_ProbeToTrackerDeviceTransformStatus = {r.status or ''}\n"
             head += f"Seq_Frame0000_Timestamp = {'' if r.ts is None else repr(r.ts)}\nElementDataFile = LOCAL\n"
-            Path(folder, f"seq_{r.sequence_id}_frame_{r.frame_id:04d}.mha").write_bytes(head.encode() + bytes(r.image or b""))
+            image = bytes(r.image or b"")
+            if r.image is not None and len(image) != r.width * r.height:
+                raise ValueError(f"image of sequence {r.sequence_id}, frame {r.frame_id}: {len(image)} bytes")
+            with files.open_output_stream(f"{base}/seq_{r.sequence_id}_frame_{r.frame_id:04d}.mha") as out:
+                out.write(head.encode() + image)
 
     frames.select("sequence_id", "frame_id", "width", "height", "probe_t", "status", "ts", "image").foreachPartition(write)
 
 
 def read_tracker_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The readings of wide tracker logs (CSV with a header of utc_epoch_ms and <body>_q1 ... t3): path, utc_epoch_ms, body, q, t, seen."""
-    wide = spark.read.csv(path, header=True, inferSchema=False).withColumn("path", F.input_file_name())
-    if "utc_epoch_ms" not in wide.columns:
+    """The readings of wide tracker logs (CSV with a header of utc_epoch_ms and <body>_q1 ... t3): path, utc_epoch_ms, body, q, t, seen.
+
+    Every file is read by its own header, whatever the order and number of its columns; a body that a file lacks has no rows from it.
+    Files without a header line that names utc_epoch_ms have no rows; without any such file it is an error.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^\\ufeff|\\r$", "").alias("line"))
+    cells = F.transform(F.split("line", ","), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))
+    heads = written(files.where(F.array_contains(cells, "utc_epoch_ms")).groupBy("path").agg(F.min("line").alias("_head")))
+    names = sorted(r[0] for r in heads.select(F.explode(F.transform(F.split("_head", ","), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"))).alias("name")).distinct().collect())
+    if "utc_epoch_ms" not in names:
         raise ValueError("no column utc_epoch_ms")
-    numbers = [c for c in wide.columns if c not in ("path", "utc_epoch_ms")]
-    wide = wide.select("path", F.col("utc_epoch_ms").try_cast("bigint").alias("utc_epoch_ms"), *[F.col(c).try_cast("double").alias(c) for c in numbers])
-    return long_tracks(wide, ["path", "utc_epoch_ms"], bodies_of(numbers))
+    rows = lookup_join(files, heads, ["path"], F.col("line"), "inner").where("line <> _head and trim(line) <> ''")
+    place = {n: F.array_position(F.transform(F.split("_head", ","), lambda c: F.regexp_replace(F.trim(c), '^"(.*)"$', "$1")), n) for n in names}
+    cell = lambda n: F.when(place[n] > 0, F.get(cells, (place[n] - 1).cast("int")))
+    wide = rows.select("path", "_head", cell("utc_epoch_ms").try_cast("bigint").alias("utc_epoch_ms"), *[cell(n).try_cast("double").alias(n) for n in names if n != "utc_epoch_ms"])
+    bodies = bodies_of([n for n in names if n != "utc_epoch_ms"])
+    return long_tracks(wide, ["path", "_head", "utc_epoch_ms"], bodies).where(F.col("_head").contains(F.concat("body", F.lit("_q1")))).drop("_head")
 
 
 def one_reading(tracks: DataFrame) -> DataFrame:
@@ -175,5 +203,5 @@ def snapshot_pairs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_run(results: DataFrame, folder: str) -> None:
-    """Adds results to a table of runs, partitioned by combination_id and seed; runs written before stay."""
-    results.write.mode("append").partitionBy("combination_id", "seed").parquet(folder)
+    """Adds results to a table of runs, partitioned by combination_id and seed; other runs stay, a run that is repeated is replaced."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("combination_id", "seed").parquet(folder)

@@ -19,6 +19,10 @@ def test_sequences(spark, tmp_path):
     a, b = got["whole.mha", 0], got["whole.mha", 1]
     assert (a.Timestamp, a.ProbeToTrackerDeviceTransform[3], bytes(a.image), b.ProbeToTrackerDeviceTransform, b.ImageStatus) == (0.024, 5.0, bytes(range(12)), None, False)
     assert got["short.mha", 1].image is None and got["short.mha", 0].image_bytes == 20
+    (tmp_path / "none.mha").write_bytes(head.replace("DimSize", "ElementType = MET_SHORT\r\nDimSize").encode() + bytes(48))
+    (tmp_path / "short.mha").write_bytes(head.replace("DimSize", "CompressedData = True\r\nDimSize").encode() + bytes(24))
+    faults = {(r.path.rsplit("/")[-1], r.fault, r.image is None) for r in files.read_sequence_images(spark, str(tmp_path)).collect()}
+    assert faults == {("whole.mha", None, False), ("none.mha", "element type MET_SHORT", True), ("short.mha", "compressed", True)}
     kinds = [r.k for r in spark.createDataFrame([(x,) for x in ("True", "3 4", "1.5 2", "MET", "")], "v string").select(files.header_value(F.col("v")).kind.alias("k")).collect()]
     assert kinds == ["boolean", "integer", "number", "text", "text"]
 
@@ -42,6 +46,20 @@ def test_tracker_logs(spark, tmp_path):
     assert [r.readings for r in files.one_reading(t).collect()] == [2]
 
 
+def test_tracker_logs_of_other_headers(spark, tmp_path):
+    """Each file by its own header: other order, further bodies, quotes and a byte-order mark."""
+    parts = ("q1", "q2", "q3", "q4", "t1", "t2", "t3")
+    (tmp_path / "one.csv").write_text("\ufeffutc_epoch_ms," + ",".join(f"A_{p}" for p in parts) + "\n5,1,0,0,0,1,2,3\n")
+    (tmp_path / "two.csv").write_text(",".join(f'"A_{p}"' for p in parts[::-1]) + ',"utc_epoch_ms",' + ",".join(f"B_{p}" for p in parts) + "\r\n13,12,11,0,0,0,1,6,1,0,0,0,7,8,9\r\n")
+    got = {(r.path.rsplit("/")[-1], r.body): (r.utc_epoch_ms, r.q, r.t) for r in files.read_tracker_logs(spark, str(tmp_path)).collect()}
+    unit = [1.0, 0.0, 0.0, 0.0]
+    assert got == {("one.csv", "A"): (5, unit, [1.0, 2.0, 3.0]), ("two.csv", "A"): (6, unit, [11.0, 12.0, 13.0]), ("two.csv", "B"): (6, unit, [7.0, 8.0, 9.0])}
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        files.read_tracker_logs(spark, str(tmp_path / "bad"))
+
+
 def test_calibrations(spark, tmp_path):
     eye = "1 0 0 0 0 1 0 0 0 0 1 0 0 0 0 1"
     (tmp_path / "c.xml").write_text(
@@ -74,9 +92,10 @@ def test_snapshots(spark, tmp_path):
 
 def test_runs_append(spark, tmp_path):
     run = spark.createDataFrame([("c1", 7, 0.5)], "combination_id string, seed int, cost double")
-    for _ in range(2):
-        files.append_run(run, str(tmp_path / "runs"))
-    assert spark.read.parquet(str(tmp_path / "runs")).count() == 2
+    other = spark.createDataFrame([("c1", 8, 0.7)], "combination_id string, seed int, cost double")
+    for part in (run, other, run):
+        files.append_run(part, str(tmp_path / "runs"))
+    assert sorted(r.cost for r in spark.read.parquet(str(tmp_path / "runs")).collect()) == [0.5, 0.7]
 
 
 def test_evolution_finds_the_minimum(spark):

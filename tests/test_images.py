@@ -17,8 +17,34 @@ def test_parts():
     assert images.dilate(images.erode(mask, 1), 1).sum() < mask.sum()
     image = np.repeat(np.array([10, 200], np.uint8), 50).reshape(10, 10)
     assert 10 <= otsu(image) <= 200
-    assert segment(image, Segmentation(threshold=100)).sum() == 50
-    assert segment(image, Segmentation(threshold=100, min_area=51)).sum() == 0
+    assert segment(image, Segmentation(threshold=100))[0].sum() == 50
+    assert segment(image, Segmentation(threshold=100, min_area=51))[0].sum() == 0
+    bright = Segmentation(brightness=40, threshold=None)
+    assert segment(image, bright)[2] == otsu(np.clip(image.astype(int) + 40, 0, 255).astype(np.uint8)) != otsu(image)
+
+
+def test_edge_has_eight_neighbours():
+    mask = np.ones((5, 5), bool)
+    mask[0, 0] = False
+    edge = perimeter(mask)
+    assert edge[1, 1] and not edge[2, 2] and edge.sum() == 16
+
+
+def test_labels_against_flooding():
+    r = np.random.default_rng(9)
+    for k in range(120):
+        mask = r.random((r.integers(1, 12), r.integers(1, 12))) < r.uniform(0.2, 0.9)
+        for diagonal in (True, False):
+            want, h, w = np.zeros(mask.shape, int), *mask.shape
+            for y, x in np.argwhere(mask):
+                if not want[y, x]:
+                    todo = [(y, x)]
+                    while todo:
+                        a, b = todo.pop()
+                        if 0 <= a < h and 0 <= b < w and mask[a, b] and not want[a, b]:
+                            want[a, b] = y * w + x + 1
+                            todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1) if diagonal or not (i and j)]
+            assert (components(mask, diagonal) == want).all()
 
 
 def test_snake_is_one_component():
@@ -65,8 +91,8 @@ def test_frames(spark):
     assert all(got[i].n_pixels is None for i in (2, 3, 4, 5))
     way = {x.id: x for x in surfaces(df, "id").collect()}
     assert way[1].rows == [pytest.approx(3)] * 8 and way[1].n_columns == 8 and way[2].rows is None
-    levels = {x.id: x.l for x in df.select("id", images.grey_levels(df.image).alias("l")).collect()}
-    assert levels[1] == list(image) and levels[3] is None and levels[5] == []
+    sums = {x.id: (x.n, x.total) for x in images.grey_sums(df, "id", 41).collect()}
+    assert sums == {1: (8, 2000), 2: (8, 2000), 4: (8, 2000), 5: (0, 0)}
 
 
 def test_stretches_beside_a_gap_are_smoothed_each(spark):

@@ -85,6 +85,25 @@ def test_chain_of_poses(spark):
         assert np.abs(got[i] - acc).max() < 1e-9
 
 
+def test_smoothed_poses_chain_mean_twists(spark):
+    r = np.random.default_rng(8)
+    poses = [la_exp(np.array([5.0, 1, 2, 0.1, 0.2, 0.3]))]
+    for _ in range(30):
+        poses.append(poses[-1] @ la_exp(np.array([1.0, 0.5, 0, 0.02, 0, 0.05]) + r.normal(size=6) * 0.01))
+    data = [("s", i, m.ravel().tolist()) for i, m in enumerate(poses)]
+    data.insert(7, ("s", 99, None))
+    data = [(k, i, p) for i, (k, _, p) in enumerate(data)]
+    df = spark.createDataFrame(data, "s string, _at bigint, pose array<double>")
+    got = [np.array(x.smooth).reshape(4, 4) for x in tracks.smoothed_poses(df, "s", "pose", 3).orderBy("_at").collect()]
+    twist = lambda m: np.array(spark.createDataFrame([(m.ravel().tolist(),)], "m array<double>").select(*la.log_map(la.matrix(F.col("m")))).first())
+    moves = [np.linalg.inv(a) @ b for a, b in zip(poses, poses[1:])]
+    assert len(got) == 31 and np.abs(got[0] - poses[0]).max() < 1e-12
+    first = la_exp((twist(moves[0]) + twist(moves[1])) / 2)
+    assert np.abs(got[1] - poses[0] @ first).max() < 1e-9
+    third = la_exp((twist(moves[1]) + twist(moves[2]) + twist(moves[3])) / 3)
+    assert np.abs(got[3] - got[2] @ third).max() < 1e-9
+
+
 def la_exp(s):
     w, v = s[3:], s[:3]
     a = np.linalg.norm(w)

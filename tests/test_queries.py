@@ -9,7 +9,6 @@ from conftest import DATA
 from kinetra.plans import catalog
 
 SF = f"{DATA}/sf0.001"
-SLOW = {"median_places"}
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +32,7 @@ def comparable(columns, values):
     return sorted(tuple(one(row[i]) for i in order) for row in values)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query(spark, duck, name):
     found = catalog.queries()[name](spark, SF)
     values = [tuple(r) for r in found.collect()]
