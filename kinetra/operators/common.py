@@ -29,23 +29,27 @@ def row_bytes(value: Column, kind: T.DataType) -> Column:
     return F.lit(8).cast("bigint")
 
 
+def size_of_row(df: DataFrame) -> Column:
+    """About how many bytes a row of ``df`` takes in memory."""
+    return sum((row_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
     """Whether ``df`` has at most so many rows and so many bytes. Runs a job that stops once there are too many rows."""
-    size = sum((row_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(0).cast("bigint"))
-    n, total = df.select(size.alias("_size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    n, total = df.select(size_of_row(df).alias("_size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     return n <= rows and total <= bytes_
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Column, how: str = "left") -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Column, how: str = "left", fits: bool | None = None) -> DataFrame:
     """Join many rows with a lookup that has few rows a key.
 
     A lookup whose measured rows and bytes are within bounds is broadcast. A larger one is salted: each lookup row is
     copied SALTS times and the rows of a key spread over the copies by the hash of ``spread``, so that a hot key
     is no single task. ``how`` is "left", "inner", "left_semi" or "left_anti". Null keys match nothing. The lookup is
-    evaluated twice (measured, joined): pass one that is cheap or written.
+    evaluated twice (measured, joined): pass one that is cheap or written, or say whether it ``fits`` if it was measured before.
     """
     on = list(on)
-    if small(lookup):
+    if small(lookup) if fits is None else fits:
         return rows.join(F.broadcast(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
