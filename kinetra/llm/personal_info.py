@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import logging
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -11,16 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetra.operators.common import lookup_join, written
+from kinetra.operators.common import BROADCAST_BYTES, BROADCAST_ROWS, lookup_join, size_of_row, written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-#: Rounds of scoring; by how many a context must be sure of a kind; how often an item must lie in such contexts.
-ROUNDS, SEEN = 5, 2
-SHARE = {"number": 0.1, "address": 0.1, "name": 0.12}
+#: Scoring goes on until no item changes, at most so many rounds (then a warning is logged); how often an item must lie in sure contexts.
+MOST_ROUNDS, SEEN = 40, 2
+SHARE = {"number": 0.1, "address": 0.1, "name": 0.12, "email": 0.1}
 #: Last letters of a name by which others of its kind are known: how many letters, how many names, what share of all words with them.
 ENDING, ENDING_NAMES, ENDING_SHARE = 5, 3, 0.5
 #: How sure a context must be. A number is up to four candidates (with and without letters around), and few formats are seeds.
-SURE = {"number": 0.12, "address": 0.3, "name": 0.5}
+SURE = {"number": 0.12, "address": 0.3, "name": 0.5, "email": 0.3}
 #: From here a context alone makes an instance.
 ALONE_SURE, ALONE_SEEN = 0.75, 5
 
@@ -32,17 +33,21 @@ _U, _L = "A-ZÀ-ÖØ-ÞА-ЯЁ", "a-zß-öø-ÿа-яё'’̀-ͯ"
 _CAP = rf"[{_U}][{_L}{_U}]+"
 _TAIL = rf"(?:, (?:\d{{5}} )?{_CAP}(?:-{_CAP})?(?: (?i:del|de la|an der|am|sur) {_CAP})?(?: [A-Z]{{1,2}}\d{{1,2}} \d[A-Z]{{2}})?)?"
 _NUM = r"\d{1,4}(?:[a-zа-я]|[A-Z](?![A-Za-z]))?"
+#: Forms of street addresses. What stands in ``key`` (any word) decides whether one is an address: words are learnt, few are seeds.
 ADDRESSES = {
-    "en": rf"(?:(?i:Flat|Apt|Apartment|Unit|Suite) \d+[a-z]?, )?{_NUM} (?:(?:[NSEW]\.|(?i:North|South|East|West)) )?{_CAP}(?: {_CAP})? (?P<key>(?i:Street|St|Lane|Rd|Road|Avenue|Ave|Drive|Close|Court|Way))(?![{_U}{_L}])\.?(?:, (?i:Apt|Flat|Unit) \d+[a-z]?)?{_TAIL}",
-    "de": rf"(?:(?i:Am|Im|An der) )?[{_U}][{_L}{_U}]*?(?P<key>(?i:straße|strasse|str\.|weg|gasse|allee|platz)) {_NUM}{_TAIL}",
-    "de_old": rf"(?P<key>(?i:Zum|Zur|An der|Am|Im)) (?i:Alten?|Neuen?|Hohen?|Langen?) {_CAP} {_NUM}{_TAIL}",
-    "fr": rf"{_NUM}(?: (?i:bis|ter))?,? (?P<key>(?i:rue|impasse|avenue|av\.|boulevard|bd|allée|place|chemin|quai)) (?:(?i:du|de la|des|de) |(?i:de l'|d'))?{_CAP}{_TAIL}",
-    "es": rf"(?P<key>(?i:Calle|C/|Avenida|Avda\.|Plaza|Paseo)) (?:(?i:del|de la|de los|de) )?{_CAP}(?: {_CAP})?,? (?:(?i:n)\.º )?{_NUM}(?:, \d+\.º [A-Z])?{_TAIL}",
-    "ru": rf"(?:(?i:г)\. {_CAP}(?:-{_CAP})?, )?(?P<key>(?i:ул\.|улица|пер\.|переулок|просп\.|пр\.|пл\.)) {_CAP}(?: {_CAP})?, (?:(?i:д\.|дом) )?{_NUM}(?:, (?i:кв)\. \d+)?",
-    "ja": r"(?:[一-鿿々]{1,4}[県都府道])?[一-鿿々]{1,5}?(?P<key>[市区町村])[一-鿿々]{0,6}(?:\d+丁目\d+番\d+号|\d+-\d+-\d+)",
+    "en": rf"(?:(?i:Flat|Apt|Apartment|Unit|Suite) \d+[a-z]?, )?{_NUM} {_CAP} (?P<key>{_CAP})(?![{_U}{_L}])\.?(?:, (?i:Apt|Flat|Unit) \d+[a-z]?)?{_TAIL}",
+    "en_long": rf"(?:(?i:Flat|Apt|Apartment|Unit|Suite) \d+[a-z]?, )?{_NUM} (?:[{_U}]\.|{_CAP}) {_CAP} (?P<key>{_CAP})(?![{_U}{_L}])\.?(?:, (?i:Apt|Flat|Unit) \d+[a-z]?)?{_TAIL}",
+    "end": rf"(?:(?i:Am|Im|An der) )?(?P<end>{_CAP}\.?) {_NUM}{_TAIL}",
+    "fr": rf"{_NUM}(?: (?i:bis|ter))?,? (?P<key>(?:[{_L}]{{2,}}|[{_U}]{{2,}}(?![{_L}]))\.?) (?:(?i:du|de la|des|de) |(?i:de l'|d'))?{_CAP}{_TAIL}",
+    "first": rf"(?P<key>(?i:An der)|[{_U}]/|{_CAP}\.?) (?:(?i:del|de la|de los|de) )?{_CAP}(?: {_CAP})?,? (?:(?i:n)\.º )?{_NUM}(?:, \d+\.º [A-Z])?{_TAIL}",
+    "ru": rf"(?:(?i:г)\. {_CAP}(?:-{_CAP})?, )?(?P<key>[А-Яа-яЁё]+\.?) {_CAP}(?: {_CAP})?, (?:(?i:д\.|дом) )?{_NUM}(?:, (?i:кв)\. \d+)?",
+    "ja": r"(?:[一-鿿々]{1,4}[県都府道])?[一-鿿々]{1,5}?[市区町村][一-鿿々]{0,6}(?P<key>\d+丁目\d+番\d+号|\d+-\d+-\d+)",
 }
-_AT = r"(?: ?@ ?| ?[(\[]at[)\]] ?)"
+#: Lengths of the ends of a word by which it is known as a street's (one word in some languages).
+_ENDS = (3, 5)
+_AT = r"(?P<at> ?@ ?| ?[(\[]at[)\]] ?)"
 _DOT = r"(?:\.| ?[(\[]dot[)\]] ?)"
+_DOTS = re.compile(_DOT, re.I)
 EMAIL = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*{_AT}[A-Za-z0-9](?:[A-Za-z0-9-]*)(?:{_DOT}[A-Za-z][A-Za-z0-9-]*)+"
 _EDGE = r"(?<![A-Za-z0-9А-Яа-яЁё_])"
 _SEP = r"(?:[ ]{1,3}|[.\-/])"
@@ -59,7 +64,7 @@ NAMES = (
     rf"(?P<l>{_CAP}(?:-{_CAP})?),? (?P<i>[{_U}])\.(?: ?[{_U}]\.)?",
 )
 _HAN = "一-鿿々ノヶ"
-_KANJI = rf"(?<![{_HAN}])([{_HAN}]{{1,4}})( ?)([{_HAN}]{{1,4}})"
+_KANJI = rf"[{_HAN}]+(?: [{_HAN}]+)?"
 
 
 @functools.cache
@@ -97,23 +102,46 @@ def plain(text: str) -> str:
     return text if text.isascii() else "".join(map(_plain_char, text))
 
 
-def _contexts(text: str, start: int, stop: int) -> list[str]:
-    """Lexical patterns around a span: the word before, two words before, and the words on both sides."""
-    left, right = text[max(0, start - 40) : start], text[stop : stop + 24]
-    if any(ord(c) > 0x2E80 for c in left.rstrip()[-3:]):
-        left = left.rstrip()
-        after = right.lstrip()[:2]
-        one, two = left[-3:], left[-5:]
+_DIGITS, _MARKS, _ONLY_MARKS = re.compile(r"\d+"), re.compile(r"^\W+"), re.compile(r"[\W\d]+")
+_SENTENCE, _AFTER = re.compile(r"\w{4}[.!?]$"), re.compile(r"[\s,]*(\w+|[^\w\s])")
+
+
+def _before_span(text: str, start: int) -> tuple[str, str, bool] | None:
+    """The word before a place, the two words before it, and whether the script has no blanks; None where they say nothing."""
+    left = text[max(0, start - 40) : start]
+    bare = left.rstrip()
+    wide = any(ord(c) > 0x2E80 for c in bare[-3:])
+    if wide:
+        one, two = bare[-3:], bare[-5:]
     else:
-        words = [re.sub(r"^\W+", "", w) or w for w in left.lower().split()]
-        if not words or "\n" in left[len(left.rstrip()) :]:
-            return []
-        one, two = words[-1], " ".join(words[-2:])
-        after = (re.findall(r"^[\s,]*(\w+|[^\w\s])", right.lower()) or [""])[0]
-    if re.fullmatch(r"[\W\d]+", one) and one != ":" or re.search(r"\w{4}[.!?]$", one):
-        return []  # the end of a sentence or a mark of a list says nothing
-    fold = lambda s: re.sub(r"\d+", "0", s)
-    return list(dict.fromkeys([f"1 {fold(one)}", f"2 {fold(two)}", f"3 {fold(one)} _ {fold(after)}"]))
+        words = [_MARKS.sub("", w) or w for w in left.lower().split()[-2:]]
+        if not words or "\n" in left[len(bare) :]:
+            return None
+        one, two = words[-1], " ".join(words)
+    if _ONLY_MARKS.fullmatch(one) and one != ":" or _SENTENCE.search(one):
+        return None  # the end of a sentence or a mark of a list says nothing
+    return _DIGITS.sub("0", one), _DIGITS.sub("0", two), wide
+
+
+def _after_span(text: str, stop: int, wide: bool) -> str:
+    """The word or sign after a place."""
+    right = text[stop : stop + 24]
+    if wide:
+        return _DIGITS.sub("0", right.lstrip()[:2])
+    found = _AFTER.match(right.lower())
+    return _DIGITS.sub("0", found[1]) if found else ""
+
+
+def _contexts(text: str, start: int, stop: int, known: dict) -> list[str]:
+    """Lexical patterns around a span: the word before, two words before, and the words on both sides. ``known`` keeps what places say."""
+    if start not in known:
+        known[start] = _before_span(text, start)
+    if (before := known[start]) is None:
+        return []
+    one, two, wide = before
+    if (at := (stop, wide)) not in known:
+        known[at] = _after_span(text, stop, wide)
+    return [f"1 {one}", f"2 {two}", f"3 {one} _ {known[at]}"]
 
 
 def _form(s: str) -> str:
@@ -159,39 +187,58 @@ def _name_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
             tokens = (g["f"].split("-") if g.get("f") else []) + g["l"].split("-")
             yield "name", m.start(), m.end(), [unicodedata.normalize("NFC", t).lower() for t in tokens]
     for m in kanji.finditer(text):
-        if m[2]:
-            parts = {(len(m[1]), k) for k in range(1, len(m[3]) + 1)}
-            base = len(m[1]) + 1
-            for _, k in parts:
-                yield "name", m.start(), m.start() + base + k, [m[1], m[3][:k]]
-        else:
-            bare = re.match(rf"[{_HAN}]+", text[m.start() : m.start() + 8])[0]
-            for h in HONORIFICS:
-                bare = bare.split(h)[0] or bare
-            for i in (2, 3):
-                for j in (1, 2, 3):
-                    if i + j <= len(bare):
-                        yield "name", m.start(), m.start() + i + j, [bare[:i], bare[i : i + j]]
+        family, _, given = m[0].partition(" ")  # a part of a name is known by where it stands
+        at, marks = m.start(), {x + len(h) for h in HONORIFICS for x in range(len(family)) if family.startswith(h, x)}
+        if given:
+            for i in range(1, min(4, len(family)) + 1):
+                for k in range(1, min(4, len(given)) + 1):
+                    yield "name", at + len(family) - i, at + len(family) + 1 + k, [f"姓{family[-i:]}", f"名{given[:k]}"]
+        for run, begin in ((family, at), (given, at + len(family) + 1)):
+            for o in range(len(run) - 1):
+                for i in (1, 2, 3):
+                    for j in (1, 2, 3):
+                        if o + i + j <= len(run) and not any(o < x - 1 <= o + i + j for x in marks if run is family):
+                            yield "name", begin + o, begin + o + i + j, [f"姓{run[o : o + i]}", f"名{run[o + i : o + i + j]}"]
+
+
+def _address_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
+    for form, pattern in _compiled()[2].items():
+        for m in pattern.finditer(text):
+            if form == "end":  # the end of a word, long or short, may be a street's
+                end = m["end"].lower()
+                for n in _ENDS:
+                    if n <= len(end):
+                        yield "address", m.start(), m.end(), [f"end {end[-n:]}"]
+            else:
+                key = re.sub(r"\d+", "0", m["key"].lower())
+                yield "address", m.start(), m.end(), [f"{form.removesuffix('_long')} {key}"]
 
 
 def candidates(text: str) -> list[tuple[str, int, int, list[str], list[str]]]:
-    """(group, start, stop, items, contexts) of everything that may be personal information in a text; group is email, number, address or name."""
+    """(group, start, stop, items, contexts) of everything that may be personal information in a text.
+
+    Groups: email, number, address and name; and mail, the words of an email's local part, which has no contexts.
+    """
     text = plain(text)
-    email, _, addresses, *_ = _compiled()
-    out = []
-    emails = [m.span() for m in email.finditer(text)]
-    for a, b in emails:
-        local = re.split(r"@|[(\[]at", text[a:b])[0].split("+")[0]  # what follows a plus is a tag
-        out.append(("email", a, b, [w for w in re.split(r"[^a-z]+", local.lower()) if len(w) > 2], []))
-    free = [c for c in _number_candidates(text)]
-    for key, pattern in addresses.items():
-        free += [("address", m.start(), m.end(), [f"{key} {m['key'].lower()}"]) for m in pattern.finditer(text)]
+    email, known = _compiled()[0], {}
+    out, emails = [], []
+    for m in email.finditer(text) if "@" in text or "at" in text.lower() else ():
+        a, b = m.span()
+        emails.append((a, b))
+        local = text[a : m.start("at")].split("+")[0]  # what follows a plus is a tag
+        out.append(("mail", a, b, [w for w in re.split(r"[^a-z]+", local.lower()) if len(w) > 2], []))
+        dots = {f"dot {d.strip().lower()}" for d in _DOTS.findall(text[m.end("at") : b])}
+        out.append(("email", a, b, [f"at {m['at'].strip().lower()}", *sorted(dots)], _contexts(text, a, b, known)))
+    free = []
+    if any(map(str.isdigit, text)):
+        free += _number_candidates(text)
+        free += _address_candidates(text)
     free += _name_candidates(text)
     for group, a, b, items in free:
         if group == "address":  # a list may go on with an email
             b = min([b, *(len(text[:x].rstrip(", ")) for x, _ in emails if a < x < b)])
         if not any(x < b and a < y for x, y in emails):
-            out.append((group, a, b, items, _contexts(text, a, b)))
+            out.append((group, a, b, items, _contexts(text, a, b, known)))
     return out
 
 
@@ -211,34 +258,45 @@ def candidate_spans(text: Column) -> Column:
 SEEDS = {
     "phone": r"^plus$|^\(\+?0{2,4}\)|^000-000-0000( ext\.? ?0+)?\|[2-9]$|^000\.000\.0000\|[2-9]$|^0{5} 0{6}\|0$|^00 00 00 00 00\|0$|^00\.00\.00\.00\.00\|0$|^0\(000\)0{7}\|8$|^000-0000-0000\|0$",
     "id_number": r"^000-00-0000\|9$|^000 00 0000\|9$|^AA 00 00 00 A\|$|^0{8}-?A\|$|^A-0{7}-A\|$|^000-000-000 00\||^0 00 00 00 000 000 00\|",
-    "address": r"^(en (street|lane|road|rd|ave|avenue)|de (straße|str\.|weg)|fr (rue|av\.|impasse)|es (calle|c/|avda\.)|ru (ул\.|пер\.)|ja [市町])$",
+    "address": r"^(en (street|lane|road|rd|ave|avenue)|end (traße|tr\.|weg)|fr (rue|av\.|impasse)|first (calle|c/|avda\.)|ru (ул\.|пер\.)|ja 0-0-0)$",
+    "email": r"^at (@|\[at\]|\(at\))$|^dot (\.|\[dot\])$",
 }
 TITLE_CONTEXTS = ("1 dr.", "1 dr", "1 prof.", "1 mr.", "1 mrs.", "1 ms.", "1 herr", "1 frau", "1 mme", "1 sra.", "1 sr.")
-_GROUP = {"phone": "number", "id_number": "number", "address": "address", "name": "name"}
+_GROUP = {"phone": "number", "id_number": "number", "address": "address", "name": "name", "email": "email"}
+_log = logging.getLogger(__name__)
 
 
-def bootstrap(edges: DataFrame, seeds: DataFrame, occurrences: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+def bootstrap(edges: DataFrame, seeds: DataFrame, occurrences: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Items and contexts of each kind, from the graph of items and the contexts in which they occur.
 
     ``edges``: group, item, context, n; an occurrence has up to three. ``seeds``: group, item, kind. ``occurrences``: group,
     item, n, those without contexts too. A context is sure of a kind if that share of what
     stands in it are items of the kind; an item is of a kind if that share of its occurrences stand in contexts that are
-    sure of it, more than in those of another kind. Scores go back and forth for ``rounds`` rounds; seeds stay.
+    sure of it, more than in those of another kind. Scores go back and forth until no item changes; seeds stay.
     Result: items (group, item, kind), contexts (group, context, kind, sure, seen).
+
+    The edges are as many as different pairs, not as occurrences. Items and contexts are lookups (see lookup_join), so that a
+    common one is no single task.
     """
-    in_context = edges.groupBy("group", "context").agg(F.sum("n").alias("all"))
+    in_context = written(edges.groupBy("group", "context").agg(F.sum("n").alias("all")))
     of_item = occurrences.select("group", "item", (3 * F.col("n")).alias("all"))
-    items, contexts = seeds, None
+    items, contexts, before = written(seeds), None, None
     enough, share = (F.create_map(*[F.lit(x) for pair in d.items() for x in pair])[F.col("group")] for d in (SURE, SHARE))
-    for _ in range(rounds):
-        hits = edges.join(items, ["group", "item"]).groupBy("group", "context", "kind").agg(F.sum("n").alias("seen"))
-        contexts = hits.join(in_context, ["group", "context"]).withColumn("sure", F.col("seen") / F.col("all")).where((F.col("sure") >= enough) & (F.col("seen") >= SEEN)).drop("all")
+    for _ in range(most_rounds):
+        now = items.agg(F.count("*"), F.sum(F.xxhash64("group", "item", "kind").cast("decimal(20,0)")), F.sum(size_of_row(items))).first()
+        if now == before:
+            break
+        before, fits = now, now[0] <= BROADCAST_ROWS and (now[2] or 0) <= BROADCAST_BYTES
+        hits = lookup_join(edges, items, ["group", "item"], F.col("context"), "inner", fits).groupBy("group", "context", "kind").agg(F.sum("n").alias("seen"))
+        contexts = hits.where(F.col("seen") >= SEEN).join(in_context, ["group", "context"]).withColumn("sure", F.col("seen") / F.col("all")).where(F.col("sure") >= enough).drop("all")
         contexts = written(contexts)
-        in_sure = edges.join(contexts.drop("seen"), ["group", "context"]).groupBy("group", "item", "kind").agg(F.sum("n").alias("n"))
+        in_sure = lookup_join(edges, contexts.select("group", "context", "kind"), ["group", "context"], F.col("item"), "inner").groupBy("group", "item", "kind").agg(F.sum("n").alias("n"))
         best = Window.partitionBy("group", "item").orderBy(F.desc("n"), "kind")
-        found = in_sure.withColumn("_r", F.row_number().over(best)).where("_r = 1").join(of_item, ["group", "item"])
-        found = found.where((F.col("n") >= share * F.col("all")) & (F.col("n") >= SEEN)).select("group", "item", "kind")
+        found = in_sure.where(F.col("n") >= SEEN).withColumn("_r", F.row_number().over(best)).where("_r = 1").join(of_item, ["group", "item"])
+        found = found.where(F.col("n") >= share * F.col("all")).select("group", "item", "kind")
         items = written(found.join(seeds, ["group", "item"], "left_anti").unionByName(seeds))
+    else:
+        _log.warning("items still change after %d rounds", most_rounds)
     return items, contexts
 
 
@@ -271,48 +329,49 @@ def _best(spans: list) -> list[tuple[str, int, int]]:
     return sorted(taken, key=lambda s: s[1])
 
 
-def personal_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document that has any: ``id_col`` and spans, an array of (kind, start, stop) in code points from 0.
+def personal_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", seeds: dict[str, str] | None = None) -> DataFrame:
+    """One row per document that has any: ``id_col``, text_hash and spans, an array of (kind, start, stop) in code points from 0.
 
     Candidates of every document (shapes of numbers, streets and names) form a graph with their contexts over the whole
-    corpus. Email addresses and a few public formats are seeds: they show which contexts hold which kind, those show
+    corpus. Public forms of emails, a few public formats of numbers and street words (``seeds``, by default SEEDS) are seeds: they show which contexts hold which kind, those show
     further formats and names, and so on (see bootstrap). A span counts if its format, or all words of the name, are
-    of a kind, or if its context alone is sure enough. Emails count as they are, obfuscated ones too.
+    of a kind, or if its context alone is sure enough. Further forms of obfuscated emails are found like other formats.
 
-    Null and empty texts have no spans; ids must be unique; other columns are ignored. Spans don't overlap: emails go
+    Null and empty texts have no spans; other columns are ignored. Spans belong to an id and its text: documents that share an id,
+    or have none, but differ in text come out apart (text_hash tells them apart). Spans don't overlap: emails go
     first, then addresses, then the others from left to right, the longest first. A document's spans are collected, no
-    more than that; items and contexts are joined, by broadcast only within a counted bound.
+    more than that; items and contexts are joined, by broadcast only within a measured bound.
     """
-    found = documents.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.explode(candidate_spans(F.col(text_col))).alias("_c")).select("_id", "_c.*")
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    found = documents.where(F.col(text_col).isNotNull()).select(key.alias("_id"), F.explode(candidate_spans(F.col(text_col))).alias("_c")).select("_id", "_c.*")
     found = written(found)
-    emails = found.where("group = 'email'")
-    others = found.where("group <> 'email'")
+    others = found.where("group <> 'mail'")
     edges = written(others.select("group", F.explode("items").alias("item"), "contexts").select("group", "item", F.explode("contexts").alias("context")).groupBy("group", "item", "context").agg(F.count("*").alias("n")))
     occurrences = written(others.select("group", F.explode("items").alias("item")).groupBy("group", "item").agg(F.count("*").alias("n")))
     known = occurrences.select("group", "item")
     kind = F.when(F.lit(False), "")
-    for k, pattern in SEEDS.items():
+    for k, pattern in (SEEDS if seeds is None else seeds).items():
         kind = kind.when((F.col("group") == _GROUP[k]) & F.col("item").rlike(pattern), k)
-    words = emails.select(F.explode("items").alias("item")).distinct().withColumn("group", F.lit("name"))
-    seeds = known.withColumn("kind", kind).where("kind is not null").unionByName(known.join(words, ["group", "item"], "left_semi").withColumn("kind", F.lit("name")))
+    words = found.where("group = 'mail'").select(F.explode("items").alias("item")).distinct().withColumn("group", F.lit("name"))
+    first = known.withColumn("kind", kind).where("kind is not null").unionByName(known.join(words, ["group", "item"], "left_semi").withColumn("kind", F.lit("name")))
     titled = edges.where((F.col("group") == "name") & F.col("context").isin(*TITLE_CONTEXTS)).select("group", "item", F.lit("name").alias("kind"))
-    seeds = seeds.unionByName(titled).distinct()
-    items, contexts = bootstrap(edges, written(seeds), occurrences)
+    first = first.unionByName(titled).distinct()
+    items, contexts = bootstrap(edges, written(first), occurrences)
     items = written(items.unionByName(_by_ending(known, items)))
     # what each candidate's items and contexts say
     span = ["_id", "group", "start", "stop"]
-    by_item = lookup_join(others.select(*span, F.size("items").alias("_all"), F.explode("items").alias("item")), items, ["group", "item"], F.col("_id"), "inner")
-    whole = by_item.groupBy(*span, "kind").agg(F.count("*").alias("_n"), F.max("_all").alias("_all")).where("_n = _all").select(*span, "kind")
+    by_item = lookup_join(others.select(*span, F.size("items").alias("_all"), F.posexplode("items").alias("_nth", "item")), items, ["group", "item"], F.col("_id"), "inner")
+    whole = by_item.groupBy(*span, "kind").agg(F.bit_or(F.pow(F.lit(2), F.col("_nth")).cast("bigint")).alias("_n"), F.max("_all").alias("_all")).where("bit_count(_n) = _all").select(*span, "kind")
     alone = contexts.where((F.col("sure") >= ALONE_SURE) & (F.col("seen") >= ALONE_SEEN) & F.col("kind").isin("name", "id_number", "phone")).select("group", "context", "kind")
     by_context = lookup_join(others.select(*span, F.explode("contexts").alias("context")), alone, ["group", "context"], F.col("_id"), "inner").select(*span, "kind")
-    spans = whole.unionByName(by_context).unionByName(emails.select(*span, F.lit("email").alias("kind"))).distinct()
+    spans = whole.unionByName(by_context).distinct()
 
     @F.pandas_udf("array<struct<kind:string,start:int,stop:int>>")
     def best(lists: pd.Series) -> pd.Series:
         return pd.Series([[dict(zip(("kind", "start", "stop"), s)) for s in _best(list(spans))] for spans in lists], dtype=object)
 
     by_document = spans.groupBy("_id").agg(F.collect_list(F.struct("kind", "start", "stop")).alias("spans"))
-    return by_document.select(F.col("_id").alias(id_col), best("spans").alias("spans"))
+    return by_document.select(F.col("_id.id").alias(id_col), F.col("_id.hash").alias("text_hash"), best("spans").alias("spans"))
 
 
 def redacted(documents: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -328,4 +387,6 @@ def redacted(documents: DataFrame, spans: DataFrame, id_col: str = "doc_id", tex
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    return documents.select(id_col, text_col).join(spans, id_col, "left").select(id_col, replaced(text_col, "spans").alias(text_col))
+    mine = documents.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash")).alias("_key"), id_col, text_col)
+    theirs = spans.select(F.struct(F.col(id_col).alias("id"), F.col("text_hash").alias("hash")).alias("_key"), "spans")
+    return mine.join(theirs, "_key", "left").select(id_col, replaced(text_col, "spans").alias(text_col))

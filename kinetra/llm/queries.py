@@ -69,7 +69,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_texts(spark: SparkSession, d: str) -> DataFrame:
     """The texts with typed placeholders."""
-    return redacted(_texts(spark, d), personal_spans(_texts(spark, d)))
+    texts = _texts(spark, d)
+    return redacted(texts, personal_spans(texts))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_distance, p6_ids, p7_mix, p7_shares, p8_found, p8_texts)}

@@ -1,4 +1,3 @@
-import bisect
 import random
 
 import pytest
@@ -198,9 +197,37 @@ def test_personal_information(spark):
     assert personal_spans(df.limit(0)).count() == 0
 
 
+def test_street_words_and_email_forms_are_learnt(spark):
+    """Without any German or Russian street word among the seeds, their streets are found in the contexts of others; so are obfuscated emails."""
+    r, docs, want = random.Random(4), [], set()
+    forms = [lambda n: f"{n} Mill Street", lambda n: f"Quarrelgasse {n}", lambda n: f"пер. Тихий, д. {n}", lambda n: f"{n} rue des Tilleuls"]
+    mails = ["corva.belq{n}@scanhof.example", "corva.belq{n} [at] scanhof [dot] example", "corva.belq{n}(at)scanhof.example"]
+    for k in range(240):
+        street, mail = r.choice(forms)(r.randrange(1, 90)), r.choice(mails).format(n=r.randrange(9))
+        head = r.choice(["Collect the brace from ", "The patient now lives at "])
+        text = f"The arm jams at step {k}. {head}{street}. Send the file to {mail} by noon. Frame {k} of Version {k % 7} was lost."
+        docs.append((k, text))
+        want |= {(k, "address", text.index(street)), (k, "email", text.index(mail))}
+    spans = personal_spans(spark.createDataFrame(docs, "doc_id bigint, text string"), seeds={"address": r"^(en (street|lane|road|rd)|fr (rue|av\.)|first (calle|c/|avda\.))$", "email": r"^(at @|dot \.)$"})
+    assert {(x.doc_id, s.kind, s.start) for x in spans.collect() for s in x.spans} == want
+
+
+def test_names_of_han_signs_anywhere_in_a_run():
+    found = {(a, b) for g, a, b, *_ in candidates("担当山田太郎です。林太郎です") if g == "name"}
+    assert (2, 6) in found and (9, 12) in found
+
+
+def test_documents_that_share_an_id(spark):
+    docs = [(1, "write to a.b@scan.example"), (1, "or to long.name@scan.example"), (None, "c.d@scan.example"), (None, "nothing")]
+    spans = personal_spans(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    assert sorted(((x.doc_id or 0), x.spans[0].start) for x in spans.collect()) == [(0, 0), (1, 6), (1, 9)]
+    clean = redacted(spark.createDataFrame(docs, "doc_id bigint, text string"), spans)
+    assert sorted(x.text for x in clean.collect()) == ["[EMAIL]", "nothing", "or to [EMAIL]", "write to [EMAIL]"]
+
+
 def test_places_stay():
     odd = "Ａ　b – c‑d ﬁ 🦴 １２"
     assert len(plain(odd)) == len(odd)
     found = candidates("電話 ＋44 1632 960 448")
     assert ("number", 3, 19) in [c[:3] for c in found]
-    assert bisect.bisect([c[1] for c in found], 0) == 0
+    assert min(c[1] for c in found if c[0] == "number") == 3
