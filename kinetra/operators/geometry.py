@@ -252,10 +252,10 @@ def outward_sign(faces: DataFrame) -> DataFrame:
     The centre and the vote are two aggregations with partial sums; a mesh without area has share 1 and sign 1.
     """
     mean = [F.avg((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(f"c_{c}") for c in "xyz"]
-    centres = faces.groupBy("mesh_id").agg(*mean)
+    centres = written(faces.groupBy("mesh_id").agg(*mean))
     middle = [(F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3 - F.col(f"c_{c}") for c in "xyz"]
     side = dot(face_normal(), middle)
-    voted = faces.join(centres, "mesh_id").groupBy("mesh_id", "c_x", "c_y", "c_z").agg(
+    voted = lookup_join(faces, centres, ["mesh_id"], F.col("face_id"), "inner").groupBy("mesh_id", "c_x", "c_y", "c_z").agg(
         F.sum(F.when(side > 0, face_area()).otherwise(0.0)).alias("_out"), F.sum(F.when(side < 0, face_area()).otherwise(0.0)).alias("_in")
     )
     total = F.col("_out") + F.col("_in")

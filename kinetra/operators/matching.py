@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetra.operators.common import lookup_join, written
 from kinetra.operators.ordered_windows import indexed
 
 
@@ -15,9 +16,9 @@ def exactly_one(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFra
 
     The right side is counted per key before the join, so that many partners never multiply. Null keys match nothing.
     """
-    counts = right.groupBy(*on).agg(F.count("*").alias("matches"))
+    counts = written(right.groupBy(*on).agg(F.count("*").alias("matches")))
     n = F.coalesce("matches", F.lit(0))
-    return left.join(counts, list(on), "left").withColumn("matches", n).withColumn("status", F.when(n == 1, "matched").when(n == 0, "missing").otherwise("ambiguous"))
+    return lookup_join(left, counts, on, F.hash(*left.columns)).withColumn("matches", n).withColumn("status", F.when(n == 1, "matched").when(n == 0, "missing").otherwise("ambiguous"))
 
 
 def same_sets(left: DataFrame, right: DataFrame, group: Sequence[str], member: str) -> DataFrame:

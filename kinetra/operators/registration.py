@@ -19,8 +19,8 @@ def _moments(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> Data
     """n, means and products about them of the columns: two passes, each with partial sums."""
     columns = list(columns)
     known = df.dropna(subset=columns)
-    means = known.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns])
-    centred = known.join(means, list(keys))
+    means = written(known.groupBy(*keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns]))
+    centred = lookup_join(known, means, keys, F.hash(*columns), "inner")
     products = [F.sum((F.col(a) - F.col(f"m_{a}")) * (F.col(b) - F.col(f"m_{b}"))).alias(f"p_{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]]
     return centred.groupBy(*keys, "n", *[f"m_{c}" for c in columns]).agg(*products)
 

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 
 #: Slots of one block of a key's time; the unit that is sorted in one task.
 BLOCK_SLOTS = 16_384
-#: Most elements of an array that is exploded.
+#: Most elements of an array that is exploded, up to CHUNK ** 3 slots between two readings.
 CHUNK = 4_096
 
 
 def _slots_between(df: DataFrame, first, last, step) -> DataFrame:
     """Each row once for every ``_slot`` in first, first + step ... last; none where first > last. Arrays stay short."""
-    n = F.floor((last - first) / step)
-    df = df.withColumn("_n", n).where("_n >= 0").withColumn("_chunk", F.explode(F.expr(f"sequence(0L, _n div {CHUNK})")))
-    return df.withColumn("_i", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(_n, _chunk * {CHUNK} + {CHUNK - 1}))"))).withColumn("_slot", first + F.col("_i") * step).drop("_n", "_chunk", "_i")
+    df = df.withColumn("_n", F.floor((last - first) / step)).where("_n >= 0")
+    for name, size, above in (("_c2", CHUNK**2, None), ("_c1", CHUNK, "_c2"), ("_i", 1, "_c1")):
+        begin = f"{above} * {CHUNK}L" if above else "0L"
+        end = f"least(_n div {size}L, {above} * {CHUNK}L + {CHUNK - 1})" if above else f"_n div {size}L"
+        df = df.withColumn(name, F.explode(F.expr(f"sequence({begin}, {end})")))
+    return df.withColumn("_slot", first + F.col("_i") * step).drop("_n", "_c2", "_c1", "_i")
 
 
 def regular_grid(

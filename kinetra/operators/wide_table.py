@@ -107,6 +107,22 @@ def wide_table(
     return wide.select(*[F.col(x).alias(e) for x, e in zip(es, entity)], *attributes)
 
 
+def attribute_kinds(rows: DataFrame, attribute: Column, value: Column, share: float = 0.9) -> DataFrame:
+    """What attributes there are: attribute (folded), kind and n, its non-blank values. One aggregation; one row an attribute.
+
+    The kind is the first of int, double and matrix as which at least ``share`` of the values can be read, else string. What wide_table
+    is given can be taken from here, and what it isn't given is seen here.
+    """
+    v = value.cast("string")
+    said = rows.select(folded(attribute).alias("attribute"), v.alias("_v")).where(F.col("attribute").isNotNull() & (F.regexp_replace("_v", rf"{_BLANK}+", "") != ""))
+    kinds = ("int", "double", "matrix")
+    got = said.groupBy("attribute").agg(F.count("*").alias("n"), *[F.count_if(typed(F.col("_v"), k).isNotNull()).alias(f"_{k}") for k in kinds])
+    kind = F.lit("string")
+    for k in reversed(kinds):
+        kind = F.when(F.col(f"_{k}") >= share * F.col("n"), k).otherwise(kind)
+    return got.select("attribute", kind.alias("kind"), "n")
+
+
 def frame_table(fields: DataFrame, attributes: dict[str, str] = HEADER_ATTRIBUTES, block: int = BLOCK) -> DataFrame:
     """The wide table of the frames of recorded sequences, from (sequence_id, line_no, entity, attribute, attr_value).
 

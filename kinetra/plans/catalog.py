@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetra.plans import data_problems, experiment_queries, fit_queries, mesh_queries, track_queries
+from kinetra.plans import data_problems, experiment_queries, fit_queries, landmark_queries, mesh_queries, track_queries
 
-_MODULES = (data_problems, track_queries, experiment_queries, mesh_queries, fit_queries)
+_MODULES = (data_problems, track_queries, experiment_queries, mesh_queries, fit_queries, landmark_queries)
 FLAGSHIP = mesh_queries.plane_mesh_intersections
 
 

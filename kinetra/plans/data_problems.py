@@ -9,7 +9,7 @@ from kinetra.operators.common import lookup_join, written
 from kinetra.operators.plausibility import implausible_readings, implausible_transforms
 from kinetra.operators.regular_grid import regular_grid
 from kinetra.operators.schema_drift import consistent_readings, schema_drift
-from kinetra.operators.wide_table import HEADER_ATTRIBUTES, cells, frame_table
+from kinetra.operators.wide_table import HEADER_ATTRIBUTES, attribute_kinds, cells, folded, frame_table
 from kinetra.plans.tables import table
 
 
@@ -78,14 +78,29 @@ def p3_grid(spark: SparkSession, d: str) -> DataFrame:
     return _tibia_grid(spark, d).select("session_id", "slot_ms", F.round("value", 6).alias("value"), "state")
 
 
+def p3_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The slots outside the first and last finite A_T_MEP_t1 of a session, where the grid is extended to all its readings."""
+    readings = table(spark, d, "tracking").select("session_id", "utc_epoch_ms", "A_T_MEP_t1").where("session_id is not null and utc_epoch_ms is not null")
+    bounds = readings.groupBy("session_id").agg(F.min("utc_epoch_ms").alias("from_ms"), F.max("utc_epoch_ms").alias("to_ms"))
+    stepped = lookup_join(readings, _session_steps(spark, d), ["session_id"], F.col("utc_epoch_ms"), "inner")
+    grid = regular_grid(stepped, ["session_id"], "utc_epoch_ms", "A_T_MEP_t1", "grid_ms", bounds=bounds)
+    return grid.where("state = 'outside'").select("session_id", "slot_ms")
+
+
+def p5_attributes(spark: SparkSession, d: str) -> DataFrame:
+    """The attributes of frames, listed or not, with the type that fits their values."""
+    frames = table(spark, d, "mha_fields").where(folded(F.col("entity")).startswith("seqframe"))
+    return attribute_kinds(frames, F.col("attribute"), F.col("attr_value"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The non-null cells of the wide table of frames."""
     return cells(frame_table(table(spark, d, "mha_fields")), ["sequence_id", "frame_id"])
 
 
 def p5_frames(spark: SparkSession, d: str) -> DataFrame:
-    """The wide table of frames, each matrix as 16 columns."""
-    wide = frame_table(table(spark, d, "mha_fields"))
+    """The wide table of frames, each matrix as 16 columns; attributes in blocks of four."""
+    wide = frame_table(table(spark, d, "mha_fields"), block=4)
     for name, kind in HEADER_ATTRIBUTES.items():
         if kind == "matrix":
             wide = wide.withColumns({f"{name}_{i + 1}": F.get(name, F.lit(i)) for i in range(16)}).drop(name)
@@ -97,7 +112,7 @@ def p5_table(spark: SparkSession, d: str) -> DataFrame:
     return frame_table(table(spark, d, "mha_fields"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p1_scripts, p2_found, p2_rules, p3_found, p3_grid, p5_found, p5_frames, p5_table)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p1_scripts, p2_found, p2_rules, p3_found, p3_grid, p3_bounds, p5_attributes, p5_found, p5_frames, p5_table)}
 
 _GRID = """
 WITH steps AS (SELECT session_id, max(grid_ms) AS step FROM sessions WHERE session_id IS NOT NULL GROUP BY 1),
@@ -160,6 +175,13 @@ SQL = {
     + """SELECT session_id, slot AS slot_ms, round(v, 6) AS value, 'observed' AS state FROM slots UNION ALL
 SELECT session_id, at_ms, CASE WHEN (next_slot - slot) // step - 1 <= 5 THEN round(v + (next_v - v) * ((at_ms - slot) / (next_slot - slot)), 6) END,
   CASE WHEN (next_slot - slot) // step - 1 <= 5 THEN 'interpolated' ELSE 'gap' END FROM missing""",
+    "p3_bounds": "WITH steps AS (SELECT session_id, max(grid_ms) AS step FROM sessions WHERE session_id IS NOT NULL GROUP BY 1), l AS (SELECT t.session_id, step, min(utc_epoch_ms) // step * step AS a, max(utc_epoch_ms) // step * step AS d, "
+    "min(utc_epoch_ms) FILTER (isfinite(A_T_MEP_t1)) // step * step AS b, max(utc_epoch_ms) FILTER (isfinite(A_T_MEP_t1)) // step * step AS c FROM tracking t JOIN steps USING (session_id) GROUP BY 1, 2) "
+    "SELECT session_id, unnest(generate_series(a, b - step, step)) AS slot_ms FROM l WHERE a < b UNION ALL SELECT session_id, unnest(generate_series(c + step, d, step)) FROM l WHERE c < d",
+    "p5_attributes": rf"""WITH f AS (SELECT {_fold("entity")} AS e, {_fold("attribute")} AS attribute, {_bare("attr_value")} AS b FROM mha_fields WHERE attr_value IS NOT NULL AND regexp_replace(attr_value, '{_B}+', '', 'g') <> ''),
+k AS (SELECT attribute, count(*) AS n, count(*) FILTER (regexp_matches(b, '^[0-9]+$') AND try_cast(b AS INT) IS NOT NULL) AS ints, count(*) FILTER (regexp_matches(b, '{_NUM}') AND isfinite(try_cast(replace(b, ',', '.') AS DOUBLE))) AS doubles,
+  count(*) FILTER (len(regexp_split_to_array(b, '{_B}+')) = 16 AND len(list_filter(regexp_split_to_array(b, '{_B}+'), lambda x: NOT regexp_matches(x, '{_NUM}'))) = 0) AS matrices FROM f WHERE starts_with(e, 'seqframe') AND attribute IS NOT NULL GROUP BY 1)
+SELECT attribute, CASE WHEN ints >= 0.9 * n THEN 'int' WHEN doubles >= 0.9 * n THEN 'double' WHEN matrices >= 0.9 * n THEN 'matrix' ELSE 'string' END AS kind, n FROM k""",
     "p5_found": _CELLS + "SELECT sequence_id, frame_id, attribute FROM cells WHERE coalesce(CAST(num AS TEXT), CAST(whole AS TEXT), CAST(flag AS TEXT), note, CAST(matrix AS TEXT)) IS NOT NULL",
     "p5_frames": _CELLS + "SELECT sequence_id, frame_id, " + ", ".join(_WIDE[k].format(a) for a, k in HEADER_ATTRIBUTES.items()) + " FROM cells GROUP BY 1, 2",
     "p5_table": _CELLS + "SELECT sequence_id, frame_id, " + ", ".join((_WIDE | {"matrix": "max(matrix) FILTER (attribute = '{0}') AS {0}"})[k].format(a) for a, k in HEADER_ATTRIBUTES.items()) + " FROM cells GROUP BY 1, 2",

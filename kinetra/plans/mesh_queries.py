@@ -87,13 +87,16 @@ def _frame(a, b):
     return F.array(F.cos(a), F.sin(a), F.lit(0.0)), F.array(-F.sin(a) * F.cos(b), F.cos(a) * F.cos(b), F.sin(b))
 
 
-def plane_mesh_oblique(spark, d):
-    """Per tilted plane: segments inside its rectangle, and their length there."""
+def _tilted_planes(spark, d):
     n = F.col("n_nationkey")
     ex, ey = _frame(0.25 * n, 0.4 * n)
     p0 = F.array(0.005 * (n - 12) - 0.15 * F.cos(0.25 * n), -0.15 * F.sin(0.25 * n), 0.004 * (12 - n))
-    planes = table(spark, d, "nation").select(n.alias("plane_id"), p0.alias("p0"), ex.alias("ex"), ey.alias("ey"), F.lit(0.3).alias("width"), F.lit(0.2).alias("height"))
-    cut = geo.patch_segments(_faces(spark, d), planes)
+    return table(spark, d, "nation").select(n.alias("plane_id"), p0.alias("p0"), ex.alias("ex"), ey.alias("ey"), F.lit(0.3).alias("width"), F.lit(0.2).alias("height"))
+
+
+def plane_mesh_oblique(spark, d):
+    """Per tilted plane: segments inside its rectangle, and their length there."""
+    cut = geo.patch_segments(_faces(spark, d), _tilted_planes(spark, d))
     inside = F.sqrt(F.pow(F.col("u1") - F.col("u0"), 2) + F.pow(F.col("v1") - F.col("v0"), 2))
     return cut.groupBy("plane_id").agg(F.count("*").alias("segments"), F.round(F.sum(inside), 5).alias("length"))
 
@@ -264,6 +267,12 @@ def _exp(s: str, o: int) -> str:
     return ", ".join(out)
 
 
+#: Up to c: the segments of all triangles in the tilted planes.
+_CURVES = (
+    f"WITH {_F}, n AS (SELECT n_nationkey AS plane_id, 0.25 * n_nationkey AS a, 0.4 * n_nationkey AS b, n_nationkey AS k FROM nation), "
+    "o AS (SELECT plane_id, 0.005 * (k - 12) - 0.15 * cos(a) AS px, -0.15 * sin(a) AS py, 0.004 * (12 - k) AS pz, cos(a) AS e1, sin(a) AS e2, 0 AS e3, -sin(a) * cos(b) AS f1, cos(a) * cos(b) AS f2, sin(b) AS f3, sin(a) * sin(b) AS n1, -cos(a) * sin(b) AS n2, cos(b) AS n3 FROM n), "
+    + _oblique("SELECT f.*, o.*, 0 AS pose_id, 0.3 AS w, 0.2 AS h FROM f, o")
+)
 _POSES = f"WITH p AS (SELECT vec_id, embedding, {_exp('a', 0)}, {_exp('b', 6)} FROM embeddings)"
 _TRACE = " + ".join(f"a{4 * i + j} * b{4 * i + j}" for i in range(3) for j in range(3))
 _C = {f"c{4 * i + j}": " + ".join(f"a{4 * i + k} * b{4 * k + j}" for k in range(3)) + (f" + a{4 * i + 3}" if j == 3 else "") for i in range(3) for j in range(4)}
@@ -293,9 +302,7 @@ SQL = {
     "joint_angles": _POSES + ", x AS (SELECT vec_id, " + ", ".join(f"a{i} * b{j} + a{i + 4} * b{j + 4} + a{i + 8} * b{j + 8} AS r{i + 1}{j + 1}" for i in range(3) for j in range(3)) + " FROM p) "
     "SELECT vec_id, round(degrees(atan2(r23, r33)), 4) AS flexion_right, round(degrees(acos(greatest(least(r13, 1), -1)) - pi() / 2), 4) AS abduction_right, round(degrees(-atan2(r12, r11)), 4) AS rotation_right, "
     "round(degrees(atan2(r23, r33)), 4) AS flexion_left, round(degrees(pi() / 2 - acos(greatest(least(r13, 1), -1))), 4) AS abduction_left, round(degrees(atan2(r12, r11)), 4) AS rotation_left FROM x",
-    "plane_mesh_oblique": f"WITH {_F}, n AS (SELECT n_nationkey AS plane_id, 0.25 * n_nationkey AS a, 0.4 * n_nationkey AS b, n_nationkey AS k FROM nation), "
-    "o AS (SELECT plane_id, 0.005 * (k - 12) - 0.15 * cos(a) AS px, -0.15 * sin(a) AS py, 0.004 * (12 - k) AS pz, cos(a) AS e1, sin(a) AS e2, 0 AS e3, -sin(a) * cos(b) AS f1, cos(a) * cos(b) AS f2, sin(b) AS f3, sin(a) * sin(b) AS n1, -cos(a) * sin(b) AS n2, cos(b) AS n3 FROM n), "
-    + _oblique("SELECT f.*, o.*, 0 AS pose_id, 0.3 AS w, 0.2 AS h FROM f, o")
+    "plane_mesh_oblique": _CURVES
     + " SELECT plane_id, count(*) AS segments, round(sum(sqrt((u1 - u0) ** 2 + (v1 - v0) ** 2)), 5) AS length FROM c GROUP BY 1",
     "ray_oblique": f"WITH {_F}, r AS (SELECT n_nationkey AS ray_id, 0.01 * (n_nationkey - 12) AS oy, 0.007 * (12 - n_nationkey) AS oz, cos(0.7 * n_nationkey) AS d1, sin(0.7 * n_nationkey) * 0.8 AS d2, sin(0.7 * n_nationkey) * 0.6 AS d3 FROM nation), "
     "m AS (SELECT ray_id, d1, d2, d3, bx - ax AS ex, by - ay AS ey, bz - az AS ez, cx - ax AS gx, cy - ay AS gy, cz - az AS gz, 0 - ax AS sx, oy - ay AS sy, oz - az AS sz FROM f, r), "
@@ -322,3 +329,4 @@ SQL = {
 }
 #: BY is a word of SQL, so corners are b_x, b_y and b_z there.
 SQL = {name: re.sub(r"\bb([xyz])\b", r"b_\1", text) for name, text in SQL.items()}
+_CURVES = re.sub(r"\bb([xyz])\b", r"b_\1", _CURVES)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinetra.functions import linalg as la
 from kinetra.functions.stats import hazen_quantiles
 from kinetra.operators import tracks
+from kinetra.operators.common import lookup_join
 from kinetra.operators.matching import exactly_one, same_sets, zipped
 from kinetra.operators.plausibility import rigid_violation
 from kinetra.plans.tables import table
@@ -200,9 +201,9 @@ def track_quantiles(spark, d):
 def rigid_violations(spark, d):
     """Per station: packets, and those whose probe transform isn't rigid."""
     packets = table(spark, d, "packets").dropDuplicates(["packet_id"])
-    sessions = table(spark, d, "sessions").groupBy("session_id").agg(F.max("station").alias("station"))
+    sessions = table(spark, d, "sessions").where("session_id is not null").groupBy("session_id").agg(F.max("station").alias("station"))
     bad = rigid_violation(F.col("probe_t"), F.lit(None).cast("double"))
-    return packets.join(sessions, "session_id", "left").groupBy("station").agg(F.count("*").alias("packets"), F.count_if(bad).alias("violations"))
+    return lookup_join(packets, sessions, ["session_id"], F.col("packet_id")).groupBy("station").agg(F.count("*").alias("packets"), F.count_if(bad).alias("violations"))
 
 
 def status_counts(spark, d):
