@@ -122,7 +122,9 @@ def _spikes(pdf: pd.DataFrame) -> pd.DataFrame:
     off, _ = _off(x, series, beyond)
     off, end = _off(x, series, beyond | usable & (off > FIRST_FENCE * fence))
     spike = usable & (off > np.where(end, END_FENCE, FENCE) * fence) & ~beyond & ~stuck
-    spike &= _run_lengths(_joined(series, spike)) <= EXCURSION
+    change = series[1:] != series[:-1]
+    outermost = np.concatenate([[True], change]) | np.concatenate([change, [True]])
+    spike &= _run_lengths(_joined(series, spike)) <= np.where(end, outermost, EXCURSION)
     rules = [("beyond", beyond), ("stuck", stuck), ("spike", spike)]
     own = pdf._own.to_numpy(bool)
     return pd.concat([pd.DataFrame({"record_id": pdf._id.to_numpy()[flag & own], "field_name": pdf.field_name.to_numpy()[flag & own], "rule": rule}) for rule, flag in rules])
@@ -143,8 +145,8 @@ def implausible_readings(
     - ``beyond``: larger in size than plausible, or infinite
     - ``stuck``: one of eight or more readings in a row with exactly the same value
     - ``spike``: one of at most three readings in a row that lie outside what the five readings before and after do, by
-      more than FENCE interquartile ranges of the source's usual change (END_FENCE at its ends, which are seen from one side
-      only). That range comes from quantile sketches per source and hour of the day (the range between deciles where the
+      more than FENCE interquartile ranges of the source's usual change. The first or last reading, seen from one side
+      only, counts alone and beyond END_FENCE; two that agree there are a move that lasts. That range comes from quantile sketches per source and hour of the day (the range between deciles where the
       quartiles are equal). A source whose usual change is 0 even so has no spikes.
 
     A source's readings are taken in the order of time, then id; a reading delivered again (same time and id) counts once. Null and NaN values,

@@ -128,15 +128,15 @@ def _tail(tokens: list[str]) -> int:
     return n
 
 
-def _labels(names: list[str]) -> set[str]:
-    """The labels of parts in a header: those under two or more groups, or under a group with three or more."""
+def _labels(names: list[str]) -> tuple[set[str], list[set[str]]]:
+    """The labels of parts in a header, which are those under two or more groups, or under a group with three or more; and each group's labels."""
     under, of = defaultdict(set), defaultdict(set)
     for tokens in map(_tokens, names):
         if n := _tail(tokens):
             group, label = tuple(tokens[:-n]), "".join(tokens[-n:])
             under[label].add(group)
             of[group].add(label)
-    return {label for label, groups in under.items() if len(groups) >= 2 or any(len(of[g]) >= 3 for g in groups)}
+    return {label for label, groups in under.items() if len(groups) >= 2 or any(len(of[g]) >= 3 for g in groups)}, list(of.values())
 
 
 @dataclass
@@ -149,18 +149,20 @@ class Leaf:
     clock: bool
     body: tuple[str, ...] = ()
     role: str = ""
+    beside: frozenset[str] = frozenset()  # labels that stand beside its own in one group
 
     def __post_init__(self):
         self.plain = re.sub(r"[^0-9a-z]", "", self.name.lower())
         self.other = m[1] if (m := _OTHER.search(self.plain)) else ""
 
-    def grouped(self, labels: set[str]) -> Leaf:
-        """Sets body and role by the labels that both headers use; one word after the label, as a unit, doesn't hide it."""
+    def grouped(self, labels: set[str], beside: dict[str, set[str]]) -> Leaf:
+        """Sets body, role and beside by the labels that both headers use; one word after the label, as a unit, doesn't hide it."""
         tokens = _tokens(self.name)
         for cut in (tokens, tokens[:-1]):
             n = _tail(cut)
             if n and "".join(cut[-n:]) in labels:
                 self.body, self.role = tuple(cut[:-n]), "".join(cut[-n:])
+                self.beside = frozenset(beside.get(self.role, ()))
                 break
         return self
 
@@ -194,8 +196,8 @@ def _levels_agree(a: Leaf, b: Leaf) -> float | None:
 def _leaf_cost(a: Leaf, b: Leaf, same_body: bool | None) -> float:
     """Cost of renaming a into b; 2 * ALONE or more: cheaper to delete and add. same_body: what the rest of both bodies says."""
     never = 2 * ALONE + 1
-    if a.role and b.role and a.role != b.role or a.other != b.other:
-        return never
+    if b.role in a.beside or a.other != b.other:
+        return never  # another part of the same group
     if a.plain and a.plain == b.plain:
         return 0.1  # another spelling
     if a.clock or b.clock:
@@ -357,9 +359,13 @@ def edit_script(old: list[Leaf], new: list[Leaf], old_names: list[str] | None =
     its group costs MOVE more. Whether two groups can be the same is also seen from their parts' levels. A single field of a group of four or more
     that comes or goes as a whole is no rename.
     """
-    labels = _labels(old_names or [x.name for x in old]) & _labels(new_names or [x.name for x in new])
+    (before, groups), (after, more) = (_labels(names or [x.name for x in side]) for names, side in ((old_names, old), (new_names, new)))
+    labels, beside = before & after, defaultdict(set)
+    for group in groups + more:
+        for label in group & labels:
+            beside[label] |= group - {label}
     for leaf in [*old, *new]:
-        leaf.grouped(labels)
+        leaf.grouped(labels, beside)
     by_body: tuple[dict, dict] = (defaultdict(dict), defaultdict(dict))
     for side, leaves in zip(by_body, (old, new)):
         for leaf in leaves:
