@@ -18,6 +18,10 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: Scoring goes on until no item changes, at most so many rounds (then a warning is logged); how often an item must lie in sure contexts.
 MOST_ROUNDS, SEEN = 40, 2
 SHARE = {"number": 0.1, "address": 0.1, "name": 0.12, "email": 0.1}
+#: What share of the contexts in which a word stands as a street's must be sure: one of three is not enough.
+STREET_SHARE = 0.4
+#: How many given names a family name of one sign must be seen with; a sign of a fixed word has few.
+PARTNERS = 4
 #: Last letters of a name by which others of its kind are known: how many letters, how many names, what share of all words with them.
 ENDING, ENDING_NAMES, ENDING_SHARE = 5, 3, 0.5
 #: How sure a context must be. A number is up to four candidates (with and without letters around), and few formats are seeds.
@@ -45,6 +49,7 @@ ADDRESSES = {
 }
 #: Lengths of the ends of a word by which it is known as a street's (one word in some languages).
 _ENDS = (3, 5)
+_LONG = "\0"
 _AT = r"(?P<at> ?@ ?| ?[(\[]at[)\]] ?)"
 _DOT = r"(?:\.| ?[(\[]dot[)\]] ?)"
 _DOTS = re.compile(_DOT, re.I)
@@ -112,6 +117,8 @@ def _before_span(text: str, start: int) -> tuple[str, str, bool] | None:
     bare = left.rstrip()
     wide = any(ord(c) > 0x2E80 for c in bare[-3:])
     if wide:
+        if bare[-1] in "。！？":
+            return None
         one, two = bare[-3:], bare[-5:]
     else:
         words = [_MARKS.sub("", w) or w for w in left.lower().split()[-2:]]
@@ -172,6 +179,11 @@ def _number_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
                     yield "number", a, b, [_form(text[a:b])]
 
 
+def _title_at(run: str) -> int:
+    """Where a title begins in a run of Han signs, else its end."""
+    return min([len(run), *(x for h in HONORIFICS if (x := run.find(h)) >= 0)])
+
+
 def _name_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
     *_, names, starts, kanji = _compiled()
     for at in starts.finditer(text):
@@ -188,16 +200,17 @@ def _name_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
             yield "name", m.start(), m.end(), [unicodedata.normalize("NFC", t).lower() for t in tokens]
     for m in kanji.finditer(text):
         family, _, given = m[0].partition(" ")  # a part of a name is known by where it stands
-        at, marks = m.start(), {x + len(h) for h in HONORIFICS for x in range(len(family)) if family.startswith(h, x)}
+        at = m.start()
         if given:
             for i in range(1, min(4, len(family)) + 1):
-                for k in range(1, min(4, len(given)) + 1):
+                for k in range(1, min(4, _title_at(given)) + 1):
                     yield "name", at + len(family) - i, at + len(family) + 1 + k, [f"姓{family[-i:]}", f"名{given[:k]}"]
         for run, begin in ((family, at), (given, at + len(family) + 1)):
-            for o in range(len(run) - 1):
+            for o in (o for o in range(len(run) - 1) if not run.startswith(HONORIFICS, o)):
+                stop = o + 1 + _title_at(run[o + 1 :])
                 for i in (1, 2, 3):
                     for j in (1, 2, 3):
-                        if o + i + j <= len(run) and not any(o < x - 1 <= o + i + j for x in marks if run is family):
+                        if o + i + j <= stop:
                             yield "name", begin + o, begin + o + i + j, [f"姓{run[o : o + i]}", f"名{run[o + i : o + i + j]}"]
 
 
@@ -211,7 +224,7 @@ def _address_candidates(text: str) -> Iterator[tuple[str, int, int, list[str]]]:
                         yield "address", m.start(), m.end(), [f"end {end[-n:]}"]
             else:
                 key = re.sub(r"\d+", "0", m["key"].lower())
-                yield "address", m.start(), m.end(), [f"{form.removesuffix('_long')} {key}"]
+                yield "address", m.start(), m.end(), [f"en {key}{_LONG}" if form == "en_long" else f"{form} {key}"]
 
 
 def candidates(text: str) -> list[tuple[str, int, int, list[str], list[str]]]:
@@ -238,7 +251,8 @@ def candidates(text: str) -> list[tuple[str, int, int, list[str], list[str]]]:
         if group == "address":  # a list may go on with an email
             b = min([b, *(len(text[:x].rstrip(", ")) for x, _ in emails if a < x < b)])
         if not any(x < b and a < y for x, y in emails):
-            out.append((group, a, b, items, _contexts(text, a, b, known)))
+            # three words before a street's teach nothing: the last may be what follows an address
+            out.append((group, a, b, [x.removesuffix(_LONG) for x in items], [] if items[-1].endswith(_LONG) else _contexts(text, a, b, known)))
     return out
 
 
@@ -266,11 +280,11 @@ _GROUP = {"phone": "number", "id_number": "number", "address": "address", "name"
 _log = logging.getLogger(__name__)
 
 
-def bootstrap(edges: DataFrame, seeds: DataFrame, occurrences: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
+def bootstrap(edges: DataFrame, seeds: DataFrame, occurrences: DataFrame, never: DataFrame, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Items and contexts of each kind, from the graph of items and the contexts in which they occur.
 
     ``edges``: group, item, context, n; an occurrence has up to three. ``seeds``: group, item, kind. ``occurrences``: group,
-    item, n, those without contexts too. A context is sure of a kind if that share of what
+    item, n, those without contexts too. ``never``: group, item that become of no kind. A context is sure of a kind if that share of what
     stands in it are items of the kind; an item is of a kind if that share of its occurrences stand in contexts that are
     sure of it, more than in those of another kind. Scores go back and forth until no item changes; seeds stay.
     Result: items (group, item, kind), contexts (group, context, kind, sure, seen).
@@ -279,7 +293,8 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, occurrences: DataFrame, most_r
     common one is no single task.
     """
     in_context = written(edges.groupBy("group", "context").agg(F.sum("n").alias("all")))
-    of_item = occurrences.select("group", "item", (3 * F.col("n")).alias("all"))
+    placed = edges.groupBy("group", "item").agg(F.sum("n").alias("placed"))
+    of_item = written(occurrences.select("group", "item", (3 * F.col("n")).alias("all")).join(placed, ["group", "item"], "left"))
     items, contexts, before = written(seeds), None, None
     enough, share = (F.create_map(*[F.lit(x) for pair in d.items() for x in pair])[F.col("group")] for d in (SURE, SHARE))
     for _ in range(most_rounds):
@@ -293,7 +308,8 @@ def bootstrap(edges: DataFrame, seeds: DataFrame, occurrences: DataFrame, most_r
         in_sure = lookup_join(edges, contexts.select("group", "context", "kind"), ["group", "context"], F.col("item"), "inner").groupBy("group", "item", "kind").agg(F.sum("n").alias("n"))
         best = Window.partitionBy("group", "item").orderBy(F.desc("n"), "kind")
         found = in_sure.where(F.col("n") >= SEEN).withColumn("_r", F.row_number().over(best)).where("_r = 1").join(of_item, ["group", "item"])
-        found = found.where(F.col("n") >= share * F.col("all")).select("group", "item", "kind")
+        street = (F.col("group") != "address") | (F.col("n") >= STREET_SHARE * F.col("placed"))
+        found = found.where((F.col("n") >= share * F.col("all")) & street).select("group", "item", "kind").join(never, ["group", "item"], "left_anti")
         items = written(found.join(seeds, ["group", "item"], "left_anti").unionByName(seeds))
     else:
         _log.warning("items still change after %d rounds", most_rounds)
@@ -346,7 +362,10 @@ def personal_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     found = documents.where(F.col(text_col).isNotNull()).select(key.alias("_id"), F.explode(candidate_spans(F.col(text_col))).alias("_c")).select("_id", "_c.*")
     found = written(found)
     others = found.where("group <> 'mail'")
-    edges = written(others.select("group", F.explode("items").alias("item"), "contexts").select("group", "item", F.explode("contexts").alias("context")).groupBy("group", "item", "context").agg(F.count("*").alias("n")))
+    pairs = others.where("group = 'name' and size(items) = 2 and items[0] rlike '^姓.$'").select(F.get("items", F.lit(0)).alias("item"), F.get("items", F.lit(1)).alias("_given")).distinct()
+    fixed = written(pairs.groupBy("item").count().where(F.col("count") < PARTNERS).select(F.lit("name").alias("group"), "item"))
+    edges = others.select("group", F.explode("items").alias("item"), "contexts").select("group", "item", F.explode("contexts").alias("context")).groupBy("group", "item", "context").agg(F.count("*").alias("n"))
+    edges = written(edges)
     occurrences = written(others.select("group", F.explode("items").alias("item")).groupBy("group", "item").agg(F.count("*").alias("n")))
     known = occurrences.select("group", "item")
     kind = F.when(F.lit(False), "")
@@ -356,7 +375,7 @@ def personal_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     first = known.withColumn("kind", kind).where("kind is not null").unionByName(known.join(words, ["group", "item"], "left_semi").withColumn("kind", F.lit("name")))
     titled = edges.where((F.col("group") == "name") & F.col("context").isin(*TITLE_CONTEXTS)).select("group", "item", F.lit("name").alias("kind"))
     first = first.unionByName(titled).distinct()
-    items, contexts = bootstrap(edges, written(first), occurrences)
+    items, contexts = bootstrap(edges, written(first), occurrences, fixed)
     items = written(items.unionByName(_by_ending(known, items)))
     # what each candidate's items and contexts say
     span = ["_id", "group", "start", "stop"]
