@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Most rows and bytes of a side that is broadcast; the side is measured first.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: How much larger rows in memory may be than in the files of a written table.
+UNPACKED = 16
 #: Copies of a lookup row, over which the rows of a hot key spread.
 SALTS = 16
 
@@ -35,7 +37,13 @@ def size_of_row(df: DataFrame) -> Column:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` has at most so many rows and so many bytes. Runs a job that stops once there are too many rows."""
+    """Whether ``df`` has at most so many rows and so many bytes.
+
+    A table just written tells by its files: UNPACKED times their size is within ``bytes_``. Else a job measures, which stops
+    once there are too many rows.
+    """
+    if UNPACKED * getattr(df, "_file_bytes", bytes_) <= bytes_:
+        return True
     n, total = df.select(size_of_row(df).alias("_size")).limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum("_size"), F.lit(0))).first()
     return n <= rows and total <= bytes_
 
@@ -90,7 +98,11 @@ def written(df: DataFrame) -> DataFrame:
     """
     path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    out = spark.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out._file_bytes = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return out
 
 
 def shuffle_partitions(df: DataFrame) -> int:
