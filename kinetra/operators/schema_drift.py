@@ -317,24 +317,48 @@ def tree_edit(old: Node, new: Node, cost: np.ndarray) -> tuple[float, list[tuple
     known: dict[tuple[bool, int, int], tuple[float, list]] = {}
     gain = np.minimum(cost - 2 * ALONE, 0.0)
 
-    def best_leaf(a: list[int], b: list[int]) -> float:
-        return float(gain[np.ix_(a, b)].min()) if a and b else 0.0
+    held: dict[int, np.ndarray] = {}
+
+    words: dict[int, dict[str, Node]] = {}  # of each group and those in it, by their last word
+
+    def hold(node: Node) -> None:
+        held[id(node)] = np.array(node.all_leaves(), int)
+        for k in node.kids:
+            hold(k)
+        words[id(node)] = {w: x for k in node.kids for w, x in words[id(k)].items()} | ({node.words[-1]: node} if node.words else {})
+
+    hold(old)
+    hold(new)
+    least = lambda x: float(x.min()) if x.size else 0.0
 
     def forest(x: Node, y: Node) -> tuple[float, list[tuple[Node, Node]]]:
         if (key := (False, id(x), id(y))) not in known:
             n, m = len(x.leaves), len(y.leaves)
             g = np.zeros((n + len(x.kids), m + len(y.kids)))
+            within = gain[held[id(x)]]  # all fields in x against all new ones
             if n and m:
                 g[:n, :m] = gain[np.ix_(x.leaves, y.leaves)]
+            own, best = gain[x.leaves], within.min(0) if len(within) else np.zeros(gain.shape[1])
+            useful_y = []
             for j, k in enumerate(y.kids):
-                g[:n, m + j] = gain[np.ix_(x.leaves, k.all_leaves())].min(1) if n else 0
+                if n:
+                    g[:n, m + j] = own[:, held[id(k)]].min(1) if held[id(k)].size else 0
+                if least(best[held[id(k)]]) < 0 or (k.kids and x.kids):
+                    useful_y.append(k)
+            across = gain[:, held[id(y)]].min(1) if held[id(y)].size else np.zeros(len(gain))
+            useful_x = [k for k in x.kids if least(across[held[id(k)]]) < 0 or (k.kids and y.kids)]
             for i, k in enumerate(x.kids):
-                g[n + i, :m] = gain[np.ix_(k.all_leaves(), y.leaves)].min(0) if m else 0
+                nearest = gain[held[id(k)]].min(0) if held[id(k)].size else np.zeros(gain.shape[1])
+                if m:
+                    g[n + i, :m] = nearest[y.leaves]
                 for j, l in enumerate(y.kids):
-                    g[n + i, m + j] = tree(k, l)[0]
+                    if k.kids or l.kids or least(nearest[held[id(l)]]) < 0:
+                        g[n + i, m + j] = tree(k, l)[0]
+                    else:  # nothing but the groups themselves to map
+                        g[n + i, m + j] = -2 * GROUP if k.words[-1] == l.words[-1] else -GROUP
             pairs = cheapest_pairs(g + 2 * ALONE) if g.size else []
             options = [(sum(float(g[p]) for p in pairs), [q for i, j in pairs if i >= n and j >= m for q in tree(x.kids[i - n], y.kids[j - m])[1]])]
-            options += [forest(x, k) for k in y.kids] + [forest(k, y) for k in x.kids]
+            options += [forest(x, k) for k in useful_y] + [forest(k, y) for k in useful_x]
             known[key] = min(options, key=lambda o: o[0])
         return known[key]
 
@@ -342,8 +366,16 @@ def tree_edit(old: Node, new: Node, cost: np.ndarray) -> tuple[float, list[tuple
         if (key := (True, id(x), id(y))) not in known:
             saved, pairs = forest(x, y)
             same = x.words[-1:] == y.words[-1:]
-            options = [(saved - (2 * GROUP if same else GROUP), [(x, y), *pairs]), (best_leaf(x.all_leaves(), y.all_leaves()), [])]
-            options += [tree(x, k) for k in y.kids] + [tree(k, y) for k in x.kids]
+            alone = least(gain[np.ix_(held[id(x)], held[id(y)])])
+            options = [(saved - (2 * GROUP if same else GROUP), [(x, y), *pairs]), (alone, [])]
+            best = gain[held[id(x)]].min(0) if held[id(x)].size else np.zeros(gain.shape[1])
+            across = gain[:, held[id(y)]].min(1) if held[id(y)].size else np.zeros(len(gain))
+            for k in y.kids:  # a group without groups and without fields to rename can only be mapped itself
+                bare = not k.kids and least(best[held[id(k)]]) == 0
+                options.append(tree(x, k) if not bare else (-2 * GROUP, [(words[id(x)][k.words[-1]], k)]) if k.words[-1] in words[id(x)] else (-GROUP, [(x, k)]))
+            for k in x.kids:
+                bare = not k.kids and least(across[held[id(k)]]) == 0
+                options.append(tree(k, y) if not bare else (-2 * GROUP, [(k, words[id(y)][k.words[-1]])]) if k.words[-1] in words[id(y)] else (-GROUP, [(k, y)]))
             known[key] = min(options, key=lambda o: o[0])
         return known[key]
 
