@@ -119,7 +119,7 @@ def test_curves_are_put_in_order(spark):
 
 
 def test_planes_turns_and_calibrations(spark):
-    df = spark.createDataFrame([(2.0 * np.array([0, -1, 0, 5, 1, 0, 0, 6, 0, 0, 1, 7, 0, 0, 0, 0.5]),)], "m array<double>") if False else spark.createDataFrame([([0.0, -2.0, 0.0, 5.0, 2.0, 0.0, 0.0, 6.0, 0.0, 0.0, 2.0, 7.0, 0.0, 0.0, 0.0, 1.0],), ([1.0],), (None,)], "m array<double>")
+    df = spark.createDataFrame([([0.0, -2.0, 0.0, 5.0, 2.0, 0.0, 0.0, 6.0, 0.0, 0.0, 2.0, 7.0, 0.0, 0.0, 0.0, 1.0],), ([1.0],), (None,)], "m array<double>")
     got = [r.o for r in df.select(lm.orthonormalised(F.col("m")).alias("o")).collect()]
     assert np.allclose(got[0].pose, [0, -1, 0, 5, 1, 0, 0, 6, 0, 0, 1, 7, 0, 0, 0, 1]) and np.allclose(got[0].scale, 2) and got[1].pose is None and got[2].scale is None
     one = spark.range(1)
