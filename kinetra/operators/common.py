@@ -48,19 +48,30 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYT
     return n <= rows and total <= bytes_
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Column, how: str = "left", fits: bool | None = None) -> DataFrame:
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` so that a join with it sorts and merges: for a side of any size.
+
+    Else Spark broadcasts a side whose files are small, and repeated texts or copies of rows may take a hundred times as much in memory.
+    """
+    return df.hint("merge")
+
+
+def lookup_join(rows: DataFrame, lookup: DataFrame, on: Sequence[str], spread: Column, how: str = "left", fits: bool | None = None, hot: bool = True) -> DataFrame:
     """Join many rows with a lookup that has few rows a key.
 
-    A lookup whose measured rows and bytes are within bounds is broadcast. A larger one is salted: each lookup row is
+    A lookup whose measured rows and bytes are within bounds is broadcast. A larger one is salted and merged: each lookup row is
     copied SALTS times and the rows of a key spread over the copies by the hash of ``spread``, so that a hot key
     is no single task. ``how`` is "left", "inner", "left_semi" or "left_anti". Null keys match nothing. The lookup is
     evaluated twice (measured, joined): pass one that is cheap or written, or say whether it ``fits`` if it was measured before.
+    Not ``hot``: no key has many rows, so that copies aren't needed.
     """
     on = list(on)
     if small(lookup) if fits is None else fits:
         return rows.join(F.broadcast(lookup), on, how)
+    if not hot:
+        return rows.join(merged(lookup), on, how)
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(merged(salted), [*on, "_salt"], how).drop("_salt")
 
 
 def once_per_id(df: DataFrame, key: str) -> DataFrame:

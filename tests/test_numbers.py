@@ -9,6 +9,7 @@ from conftest import rows
 from kinetra.functions import linalg as la
 from kinetra.functions.stats import hazen, hazen_quantiles
 from kinetra.operators import evaluation, geometry, matching, registration, scoring, tracks
+from kinetra.operators.common import lookup_join, written
 from kinetra.operators.ordered_windows import indexed, own, running_sum, with_neighbours
 
 
@@ -279,3 +280,25 @@ def test_spikes_do_not_move_fits(spark):
     points = spark.createDataFrame([("s", *map(float, x)) for x in ball], "k string, x double, y double, z double")
     s = registration.robust_sphere_fit(points, ["k"]).collect()[0]
     assert (s.n, s.inliers) == (80, 77) and s.radius == pytest.approx(500) and s.centre == [pytest.approx(v, abs=1e-4) for v in (1, 2, 3)]
+
+
+def planned(df):
+    """The physical plan before it runs."""
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_a_lookup_that_is_too_large_is_not_broadcast_for_its_small_files(spark):
+    lookup = written(spark.range(1_000).select(F.col("id").alias("k"), F.lit("one text").alias("v")))
+    rows = spark.range(5_000).select((F.col("id") % 1_000).alias("k"), F.col("id").alias("i"))
+    joined = lookup_join(rows, lookup, ["k"], F.col("i"), "inner", fits=False)
+    assert "Broadcast" not in planned(joined) and joined.count() == 5_000
+
+
+def test_quantiles_of_many_keys_copy_no_cuts(spark, monkeypatch):
+    monkeypatch.setattr("kinetra.operators.common.small", lambda *_: False)
+    df = spark.range(600).select((F.col("id") % 200).alias("k"), F.col("id").cast("double").alias("v"))
+    for hot, copied in ((65_536, False), (2, True)):
+        monkeypatch.setattr("kinetra.functions.stats.HOT", hot)
+        q = hazen_quantiles(df, ["k"], F.col("v"), {"median": 0.5})
+        assert "Broadcast" not in planned(q) and ("_salt" in planned(q)) == copied
+        assert {(x.k, x.n, x["median"]) for x in q.collect()} == {(k, 3, k + 200.0) for k in range(200)}
