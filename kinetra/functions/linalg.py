@@ -129,6 +129,11 @@ def exp_map(state: Sequence[Column]) -> list[Column]:
 
 def log_map(t: Mat) -> list[Column]:
     """The twist (v, w) of a transform; near a half turn the axis comes from the diagonal, its largest part positive."""
+    return log_twist(t, log_turn(t))
+
+
+def log_turn(t: Mat) -> list[Column]:
+    """The turn w of a transform's twist and its angle."""
     cos = _cosine((t[0] + t[5] + t[10] - 1) / 2)
     skew = [(t[9] - t[6]) / 2, (t[2] - t[8]) / 2, (t[4] - t[1]) / 2]
     sin = norm(skew)
@@ -143,6 +148,12 @@ def log_map(t: Mat) -> list[Column]:
     sign = F.when(dot(axis, skew) < 0, -1.0).otherwise(1.0)
     factor = F.when(a < SMALL, 1 + a * a / 6).otherwise(a / F.when(sin > 0, sin))
     w = [F.when(half, axis[i] * sign * a).otherwise(skew[i] * factor) for i in range(3)]
+    return [*w, a]
+
+
+def log_twist(t: Mat, turn: Sequence[Column]) -> list[Column]:
+    """The twist (v, w) of a transform whose log_turn is known."""
+    w, a = list(turn[:3]), turn[3]
     # v = (I - K / 2 + e K^2) t
     a2 = a * a
     e = F.when(a < 1e-3, F.lit(1 / 12) + a2 / 720).otherwise(1 / a2 - F.sin(a) / (2 * a * (1 - F.cos(a))))

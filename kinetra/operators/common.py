@@ -48,6 +48,11 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes_: int = BROADCAST_BYT
     return n <= rows and total <= bytes_
 
 
+def made(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is evaluated here, once a row: what follows refers to its result and doesn't repeat its making."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def merged(df: DataFrame) -> DataFrame:
     """``df`` so that a join with it sorts and merges: for a side of any size.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinetra.functions import linalg as la
 from kinetra.functions.stats import hazen_quantiles, moving_frame, robust_unit
-from kinetra.operators.common import lookup_join, written
+from kinetra.operators.common import lookup_join, made, written
 from kinetra.operators.ordered_windows import indexed, own, running_sum, with_neighbours
 
 #: Milliseconds of a part of a source's time that is ordered in one task.
@@ -238,11 +238,15 @@ def smoothed_poses(at: DataFrame, source: str, pose: str, k: int, name: str = "s
     """The indexed rows that have a ``pose`` (16 numbers), renumbered, with the smooth one: the moves from pose to pose, as twists, are
     averaged over a centred window of k of them, shorter at the ends, and chained again from the first pose.
     """
-    kept = at.where(F.col(pose).isNotNull()).withColumnRenamed("_at", "_t")
+    kept = written(at.where(F.col(pose).isNotNull()).withColumnRenamed("_at", "_t"))
     placed = indexed(kept, [source], ["_t"], F.floor(F.col("_t") / PART_ROWS)).drop("_t")
     rows, w = with_neighbours(placed, [source], 1, 0)
-    move = la.log_map(la.compose(la.inverse(la.matrix(F.col("_prev"))), la.matrix(F.col(pose))))
-    rows = own(rows.withColumn("_prev", F.lag(pose).over(w))).withColumn("_twist", F.when(F.col("_prev").isNotNull(), F.array(*move))).drop("_prev")
+    # each step refers to the result of the one before: as one expression they take millions of nodes
+    move = la.compose(la.inverse(la.matrix(F.col("_prev"))), la.matrix(F.col(pose)))
+    rows = made(own(rows.withColumn("_prev", F.lag(pose).over(w))), "_move", F.when(F.col("_prev").isNotNull(), F.array(*move))).drop("_prev")
+    move = la.matrix(F.col("_move"))
+    rows = made(rows, "_turn", F.array(*la.log_turn(move)))
+    rows = made(rows, "_twist", F.array(*la.log_twist(move, la.matrix(F.col("_turn"))[:4]))).drop("_move", "_turn")
     rows, w = with_neighbours(rows, [source], k // 2, (k - 1) // 2)
     rows = own(rows.withColumn("_mean", F.array(*[F.avg(F.get("_twist", F.lit(i))).over(moving_frame(w, k)) for i in range(6)])))
     step = F.when(F.col("_at") == 0, F.col(pose)).otherwise(F.array(*la.exp_map([F.get("_mean", F.lit(i)) for i in range(6)])))

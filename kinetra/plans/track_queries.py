@@ -117,8 +117,10 @@ def tangents(spark, d):
 def smoothed_poses(spark, d):
     """Per session: the smooth last pose of a body, and how far smoothing moved its poses at most."""
     q, t = tracks.pose_columns("B_N_REF")
-    rows = table(spark, d, "tracking").select("reading_id", "session_id", "utc_epoch_ms", F.array(*la.from_quaternion(q, t)).alias("pose_now")).where(F.forall("pose_now", lambda x: x.isNotNull()))
-    got = tracks.smoothed_poses(tracks.timed(rows, "session_id", "utc_epoch_ms", "reading_id"), "session_id", "pose_now", 5)
+    pose = F.array(*la.from_quaternion(q, t))
+    rows = table(spark, d, "tracking").select("reading_id", "session_id", "utc_epoch_ms", *[f"B_N_REF_{p}" for p in SEVEN]).where(F.forall(pose, lambda x: x.isNotNull()))
+    at = tracks.timed(rows, "session_id", "utc_epoch_ms", "reading_id").select("session_id", "_at", pose.alias("pose_now"))
+    got = tracks.smoothed_poses(at, "session_id", "pose_now", 5)
     away = la.translation_error(la.matrix(F.col("pose_now")), la.matrix(F.col("smooth")))
     last = got.groupBy("session_id").agg(F.count("*").alias("n"), F.max_by("smooth", "_at").alias("_p"), F.round(F.max(away), 3).alias("moved_mm"))
     return last.select("session_id", "n", "moved_mm", *[F.round(F.get("_p", F.lit(i)), 3).alias(c) for i, c in ((3, "x"), (7, "y"), (11, "z"))])

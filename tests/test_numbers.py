@@ -302,3 +302,13 @@ def test_quantiles_of_many_keys_copy_no_cuts(spark, monkeypatch):
         q = hazen_quantiles(df, ["k"], F.col("v"), {"median": 0.5})
         assert "Broadcast" not in planned(q) and ("_salt" in planned(q)) == copied
         assert {(x.k, x.n, x["median"]) for x in q.collect()} == {(k, 3, k + 200.0) for k in range(200)}
+
+
+def test_smoothed_poses_stay_a_small_plan(spark, monkeypatch):
+    sizes = []
+    wrote = tracks.written
+    monkeypatch.setattr(tracks, "written", lambda df: sizes.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or wrote(df))
+    pose = F.array(*[F.lit(1.0 if i % 5 == 0 else 0.0) for i in range(16)])
+    df = spark.range(10).select(F.lit("s").alias("s"), F.col("id").alias("_at"), pose.alias("pose"))
+    assert tracks.smoothed_poses(df, "s", "pose", 3).count() == 10
+    assert max(sizes) < 200_000
