@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from kinetra.functions.linalg import Vec, add, cross, dot, inverse, matrix, norm, scale, sub, unit
 from kinetra.functions.linalg import apply as transformed
-from kinetra.operators.common import lookup_join, written
+from kinetra.operators.common import lookup_join, made, shuffle_partitions, written
 from kinetra.operators.ordered_windows import indexed, own, with_neighbours
 
 #: The finest cells are this part of what is laid over the mesh (a plane's patch, the mesh's box for rays).
@@ -152,9 +152,9 @@ def with_frame(planes: DataFrame) -> DataFrame:
     at right angles to ex.
     """
     ex, ey = (unit([F.get(c, F.lit(i)).cast("double") for i in range(3)]) for c in ("ex", "ey"))
-    out = planes.withColumns({"ex": F.array(*ex), "ey": F.array(*ey)})
+    out = made(made(planes, "ex", F.array(*ex)), "ey", F.array(*ey))
     n = unit(cross([F.get("ex", F.lit(i)) for i in range(3)], [F.get("ey", F.lit(i)) for i in range(3)]), 1e-9)
-    out = out.withColumn("n", F.array(*n))
+    out = made(out, "n", F.array(*n))
     known = reduce(lambda a, b: a & b, [F.get(c, F.lit(i)).isNotNull() & ~F.isnan(F.get(c, F.lit(i))) for c in ("p0", "ex", "ey", "n") for i in range(3)])
     return out.where(known & (F.col("width") > 0) & (F.col("height") > 0))
 
@@ -204,7 +204,8 @@ def patch_segments(faces: DataFrame, planes: DataFrame, on: Sequence[str] = (),
     extent = math.dist([box[f"l{c}"] for c in "xyz"], [box[f"h{c}"] for c in "xyz"]) if box["lx"] is not None else 1.0
     cells = _patch_cells(framed, _levels(sound, level))
     keys = [*on, "_level", "_cx", "_cy", "_cz"]
-    pairs = _in_cells(sound, level).join(cells, keys)
+    spread = _in_cells(sound, level).repartition(shuffle_partitions(faces), "face_id")  # by number: a small mesh is one file
+    pairs = lookup_join(spread, cells, keys, F.col("face_id"), "inner")
     n, p0 = ([F.get(c, F.lit(i)) for i in range(3)] for c in ("n", "p0"))
     distance = {w: dot(sub(corner(None, w), p0), n) for w in "abc"}
     ids = [*on, "plane_id", "mesh_id", "face_id"]
@@ -339,6 +340,16 @@ def posed_planes(planes: DataFrame, poses: DataFrame, on: Sequence[str]) -> Data
     return both.withColumns({"p0": F.array(*point), **turned}).drop("pose")
 
 
+def distinct_planes(planes: DataFrame, on: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The finite planes that differ in place, direction, size or ``on``, under the least of their plane_ids; and plane_id with ``shape``, that of its like.
+
+    Planes that repeat, as those of a probe that is held or guided, are laid over a mesh once. ``planes``: written, or cheap.
+    """
+    same = [*on, "p0", "ex", "ey", "width", "height"]
+    shapes = written(planes.groupBy(*same).agg(F.min("plane_id").alias("plane_id")))
+    return shapes, planes.join(shapes.withColumnRenamed("plane_id", "shape"), same).select("plane_id", "shape")
+
+
 def distinct_within(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """Values of each key that are more than ``tolerance`` above the value before; nulls are left out.
 

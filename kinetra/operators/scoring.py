@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 WORST = 1e6
 
 
-def hit_intensities(pixels: DataFrame, images: DataFrame, keys: Sequence[str], image_key: str) -> DataFrame:
+def hit_intensities(pixels: DataFrame, images: DataFrame, keys: Sequence[str], image_key: str, keep: Sequence[str] = ()) -> DataFrame:
     """Per group of ``keys`` (which hold image_key): n and total of the grey values under its pixels (row, col from 1).
 
     ``images``: image_key, width, height, image (a byte a pixel, row by row). A group's pixels are a list, at most as long as an image has
-    pixels, and meet their image once; pixels of a null or short image don't count.
+    pixels, and meet their image once; pixels of a null or short image don't count. Several images may have one key: they are told apart by the
+    columns ``keep``, which come with the result.
     """
     at = F.collect_set((F.col("row") - 1) * F.lit(1 << 20) + F.col("col"))
     lists = pixels.groupBy(*keys).agg(at.alias("_at"))
-    joined = lists.join(images.select(image_key, "width", "height", "image"), image_key).where(F.octet_length("image") == F.col("width") * F.col("height"))
+    joined = lists.join(images.select(image_key, *keep, "width", "height", "image"), image_key).where(F.octet_length("image") == F.col("width") * F.col("height"))
     place = lambda x: (F.floor(x / F.lit(1 << 20)) * F.col("width") + x % F.lit(1 << 20)).cast("int")
     grey = lambda x: F.conv(F.hex(F.substring("image", place(x), F.lit(1))), 16, 10).cast("bigint")
     total = F.aggregate("_at", F.lit(0).cast("bigint"), lambda s, x: s + grey(x))
-    return joined.select(*keys, F.size("_at").cast("bigint").alias("n"), total.alias("total"))
+    return joined.select(*keys, *keep, F.size("_at").cast("bigint").alias("n"), total.alias("total"))
 
 
 def plane_scores(planes: DataFrame, hits: DataFrame, intensity_max: float, min_reference: float, min_pixels: float) -> DataFrame:

@@ -106,20 +106,22 @@ def pose_cost_of_mesh(spark, d):
     a = 0.1 * (F.col("packet_id") % 63)
     ex, ey = _frame(a, F.acos(F.lit(0.6)))
     packets = table(spark, d, "packets").where("session_id is not null and image is not null").dropDuplicates(["packet_id"])
-    images = packets.select(F.col("packet_id").alias("plane_id"), (F.col("session_id") % 10).cast("string").alias("mesh_id"), "packet_id", "width", "height", "image")
+    images = written(packets.select(F.col("packet_id").alias("plane_id"), (F.col("session_id") % 10).cast("string").alias("mesh_id"), "packet_id", "width", "height", "image"))
     planes = images.select("plane_id", "mesh_id", F.array(-0.2 * F.cos(a), -0.2 * F.sin(a), F.lit(-0.1)).alias("p0"), ex.alias("ex"), ey.alias("ey"), F.lit(0.4).alias("width"), F.lit(0.3).alias("height"))
+    shapes, likes = geo.distinct_planes(written(planes), ["mesh_id"])
     r, zero, one = F.col("r_regionkey"), F.lit(0.0), F.lit(1.0)
     g = 0.05 * r
     pose = F.array(F.cos(g), -F.sin(g), zero, 0.01 * r, F.sin(g), F.cos(g), zero, -0.01 * r, zero, zero, one, 0.005 * r, zero, zero, zero, one)
     poses = table(spark, d, "region").select(r.alias("pose_id"), pose.alias("pose"), F.explode(F.sequence(F.lit(0), F.lit(9)).cast("array<string>")).alias("mesh_id"))
     faces = _faces(spark, d)
-    views = written(geo.posed_planes(planes, poses, ["mesh_id"]))
+    views = written(geo.posed_planes(shapes, poses, ["mesh_id"]))
     view = views.withColumn("plane_id", F.struct("pose_id", "plane_id"))  # a plane as one pose sees it
     seen = geo.facing_segments(geo.patch_segments(faces, view, ["mesh_id"]), faces, view, ["mesh_id"])
-    lit = geo.raster(seen.select("plane_id.*", "u0", "v0", "u1", "v1"), 4, 3, F.lit(0.4), F.lit(0.3)).select("pose_id", "plane_id", "row", "col")
-    got = written(scoring.hit_intensities(lit, images.select("plane_id", "width", "height", "image"), ["pose_id", "plane_id"], "plane_id"))
+    lit = geo.raster(seen.select("plane_id.*", "u0", "v0", "u1", "v1"), 4, 3, F.lit(0.4), F.lit(0.3)).select("pose_id", F.col("plane_id").alias("shape"), "row", "col")
+    got = scoring.hit_intensities(lit, images.join(likes, "plane_id"), ["pose_id", "shape"], "shape", ["plane_id"])
+    got = written(got.drop("shape"))
     first = got.where("pose_id = 0").select("plane_id", F.col("n").alias("n_initial"))
-    all_views = views.select("pose_id", "plane_id").join(first, "plane_id", "left").fillna(0, ["n_initial"])
+    all_views = images.select("plane_id", "mesh_id").join(poses.select("pose_id", "mesh_id"), "mesh_id").select("pose_id", "plane_id").join(first, "plane_id", "left").fillna(0, ["n_initial"])
     scores = scoring.plane_totals(all_views, got, ["pose_id", "plane_id"], 255.0, 2.0, 2.0)
     cost = scoring.pose_cost(scores, 0.5, ["pose_id"])
     return cost.select("pose_id", F.round("cost", 6).alias("cost"), F.round("mean_intensity", 4).alias("mean_intensity"), "n_active", "n_missing")

@@ -5,12 +5,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import rows
+from conftest import DATA, rows
 from kinetra.functions import linalg as la
 from kinetra.functions.stats import hazen, hazen_quantiles
 from kinetra.operators import evaluation, geometry, matching, registration, scoring, tracks
 from kinetra.operators.common import lookup_join, written
 from kinetra.operators.ordered_windows import indexed, own, running_sum, with_neighbours
+from kinetra.plans import mesh_queries
 
 
 def midpoint(values, p):
@@ -312,3 +313,17 @@ def test_smoothed_poses_stay_a_small_plan(spark, monkeypatch):
     df = spark.range(10).select(F.lit("s").alias("s"), F.col("id").alias("_at"), pose.alias("pose"))
     assert tracks.smoothed_poses(df, "s", "pose", 3).count() == 10
     assert max(sizes) < 200_000
+
+
+def test_planes_that_repeat_are_laid_over_a_mesh_once(spark, monkeypatch):
+    laid, cut = [], geometry.patch_segments
+    monkeypatch.setattr(geometry, "patch_segments", lambda faces, planes, *a: laid.append(planes) or cut(faces, planes, *a))
+    assert mesh_queries.pose_cost_of_mesh(spark, f"{DATA}/sf0.001").count() == 5
+    places = laid[0].select("plane_id.pose_id", "mesh_id", "p0", "ex", "ey", "width", "height")
+    assert 0 < places.count() == places.distinct().count()
+
+
+def test_images_of_one_key_are_summed_apart(spark):
+    pixels = spark.createDataFrame([("s", 1, 1), ("s", 1, 2), ("s", 1, 2), ("t", 1, 1)], "shape string, row int, col int")
+    images = spark.createDataFrame([("s", 1, 2, 1, bytearray([3, 4])), ("s", 2, 2, 1, bytearray([5, 6])), ("t", 3, 2, 1, bytearray([9]))], "shape string, id int, width int, height int, image binary")
+    assert rows(scoring.hit_intensities(pixels, images, ["shape"], "shape", ["id"])) == [("s", 1, 2, 7), ("s", 2, 2, 11)]
