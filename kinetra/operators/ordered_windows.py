@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from kinetra.operators.common import merged
+
 #: Rows of a block of a key's order.
 BLOCK = 65_536
 
@@ -81,5 +83,5 @@ def carried(df: DataFrame, keys: Sequence[str], place: str, values: dict[str, Co
     # a block's rows take what it begins with as a row ahead of the first one's
     within = cut.withColumns({f"_i_{n}": F.last(f"_v_{n}", ignorenulls=True).over(inside) for n in values})
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
-    out = within.join(begins, same).withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values})
+    out = within.join(merged(begins), same).withColumns({n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in values})
     return out.drop("_b", "_kb", *[f"_k{i}" for i in range(len(keys))], *[f"_{p}_{n}" for n in values for p in "vic"])

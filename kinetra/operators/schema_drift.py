@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinetra.operators.common import lookup_join, shuffle_partitions, written
+from kinetra.operators.common import lookup_join, merged, shuffle_partitions, written
 from kinetra.operators.ordered_windows import carried, indexed, own, with_neighbours
 
 #: How far the level of a quantity moves between two files: of a rotation's number, of any larger number.
@@ -70,7 +70,7 @@ def headers(lines: DataFrame) -> DataFrame:
     placed = own(placed.withColumn("_before", F.lag("file_id").over(w))).select("file_id", "_before", (F.col("_at") + 1).alias("place"))
     head = F.col("_first.text")
     often = [F.struct(F.length(F.regexp_replace(head, f"[^{d}]", "")).alias("n"), F.lit(-i).alias("i"), F.lit(s).alias("d")) for i, (d, s) in enumerate((("\\t", "\t"), (";", ";"), (",", ","), ("|", "|")))]
-    firsts = firsts.withColumn("_delimiter", F.greatest(*often)["d"]).join(placed, "file_id")
+    firsts = firsts.withColumn("_delimiter", F.greatest(*often)["d"]).join(merged(placed), "file_id")
     return firsts.select("file_id", "campaign_id", "place", "_before", F.col("_first.line_no").alias("_head"), "_delimiter", _cells(head, F.col("_delimiter")).alias("_names"))
 
 
@@ -106,7 +106,7 @@ def profiles(lines: DataFrame, heads: DataFrame) -> DataFrame:
     kind = reduce(lambda other, k: F.when(F.col(f"_{k}"), k).otherwise(other), ("datetime", "decimal", "integer"), F.when(F.col("_integer").isNotNull(), "text"))
     names = heads.select("file_id", "campaign_id", "place", "_before", F.posexplode("_names").alias("_pos", "field")).where("field <> ''")
     names = names.groupBy("file_id", "field").agg(*[F.first(c).alias(c) for c in ("campaign_id", "place", "_before")], F.min("_pos").alias("_pos"))
-    full = names.join(seen, ["file_id", "_pos"], "left")
+    full = names.join(merged(seen), ["file_id", "_pos"], "left")
     clock = (F.col("_datetime") | (F.col("_integer") & (F.col("level") > 1e11))).alias("clock")
     return full.select("file_id", "campaign_id", "place", "_before", "field", F.col("_pos").alias("pos"), kind.alias("kind"), "level", clock)
 
@@ -478,18 +478,18 @@ def schema_drift(lines: DataFrame) -> Drift:
     seen = F.struct(F.col("_kind").alias("kind"), F.col("_level").alias("level"), F.coalesce("_clock", F.lit(False)).alias("clock"))
     own_profile = F.struct("campaign_id", "place", "pos", "kind", "level", "clock", "_before")
     new = known.select("file_id", "field", F.lit(True).alias("_new"), seen.alias("_seen"), own_profile.alias("_own"))
-    old = known.join(after, "file_id").select(F.col("_after").alias("file_id"), "field", F.lit(False).alias("_new"), seen.alias("_seen"), F.lit(None).cast(new.schema["_own"].dataType).alias("_own"))
+    old = known.join(merged(after), "file_id").select(F.col("_after").alias("file_id"), "field", F.lit(False).alias("_new"), seen.alias("_seen"), F.lit(None).cast(new.schema["_own"].dataType).alias("_own"))
     here, there = F.col("_new"), ~F.col("_new")
     sides = written(new.unionByName(old).groupBy("file_id", "field").agg(*[F.max(F.when(which, F.col(c))).alias(n) for n, which, c in (("_old", there, "_seen"), ("_now", here, "_seen"), ("_own", here, "_own"))]))
     lone = sides.where("(_old is null) != (_now is null)").select("file_id", "field", F.col("_now").isNotNull().alias("is_new"), F.coalesce("_now", "_old").alias("_s"), F.col("_own._before").alias("_b"))
     alone = lone.where("not is_new or _b is not null").select("file_id", "field", "is_new", "_s.*")
     todo = alone.groupBy("file_id").agg(F.collect_list(F.struct("field", "is_new", "kind", "level", "clock")).alias("_fields"), F.max("is_new").alias("_any"), F.min("is_new").alias("_all")).where("_any and not _all")
     names = heads.select("file_id", "_before", F.col("_names").alias("_new_names"))
-    todo = todo.join(names, "file_id").join(heads.select(F.col("file_id").alias("_before"), F.col("_names").alias("_old_names")), "_before")
+    todo = todo.join(merged(names), "file_id").join(merged(heads.select(F.col("file_id").alias("_before"), F.col("_names").alias("_old_names"))), "_before")
     spread = todo.repartition(shuffle_partitions(lines), "file_id")  # by number: the rows are few, their work isn't
     renamed = written(spread.select("file_id", "_before", F.inline(_scripts(F.col("_fields"), F.col("_old_names"), F.col("_new_names")))))
-    removed = alone.where("not is_new").select("file_id", F.col("field").alias("old_field")).join(renamed, ["file_id", "old_field"], "left_anti")
-    added = alone.where("is_new").select("file_id", F.col("field").alias("new_field")).join(renamed, ["file_id", "new_field"], "left_anti")
+    removed = alone.where("not is_new").select("file_id", F.col("field").alias("old_field")).join(merged(renamed), ["file_id", "old_field"], "left_anti")
+    added = alone.where("is_new").select("file_id", F.col("field").alias("new_field")).join(merged(renamed), ["file_id", "new_field"], "left_anti")
 
     # a segment: a name in consecutive files of its campaign; renames link segments to lineages
     present = sides.where("_own is not null").select("file_id", "field", "_own.*", F.col("_old").isNull().alias("_begins"))
@@ -498,13 +498,13 @@ def schema_drift(lines: DataFrame) -> Drift:
     segments = present.withColumn("_segment", F.struct(campaign.alias("campaign"), "field", F.col("_from").alias("from_place")))
     at = segments.select("file_id", "field", "_segment")
     links = (
-        renamed.join(at.select("file_id", F.col("field").alias("new_field"), F.col("_segment").alias("_s")), ["file_id", "new_field"])
-        .join(at.select(F.col("file_id").alias("_before"), F.col("field").alias("old_field"), F.col("_segment").alias("_to")), ["_before", "old_field"])
+        merged(renamed).join(at.select("file_id", F.col("field").alias("new_field"), F.col("_segment").alias("_s")), ["file_id", "new_field"])
+        .join(merged(at.select(F.col("file_id").alias("_before"), F.col("field").alias("old_field"), F.col("_segment").alias("_to"))), ["_before", "old_field"])
         .select("_s", "_to")
     )
     links = written(links)
     while True:  # each round doubles the renames that a link spans
-        further = links.alias("a").join(links.alias("b"), F.col("a._to") == F.col("b._s"), "left").select("a._s", F.coalesce("b._to", "a._to").alias("_to"), F.col("b._to").isNotNull().alias("_moved"))
+        further = links.alias("a").join(merged(links).alias("b"), F.col("a._to") == F.col("b._s"), "left").select("a._s", F.coalesce("b._to", "a._to").alias("_to"), F.col("b._to").isNotNull().alias("_moved"))
         further = written(further)
         links = further.select("_s", "_to")
         if further.where("_moved").isEmpty():
@@ -513,7 +513,7 @@ def schema_drift(lines: DataFrame) -> Drift:
     fields = carried(lineage.select("file_id", "campaign_id", "place", "field", "pos", "kind", "level", "clock", "lineage"), ["lineage"], "place", {"last_kind": F.col("kind")}, before=True, block=BLOCK_FILES)
     fields = written(fields)
     retyped = fields.where("kind is not null and last_kind is not null and kind <> last_kind")
-    retyped = retyped.join(renamed.select("file_id", F.col("new_field").alias("field"), "old_field"), ["file_id", "field"], "left")
+    retyped = retyped.join(merged(renamed.select("file_id", F.col("new_field").alias("field"), "old_field")), ["file_id", "field"], "left")
     changes = (
         added.select("file_id", F.lit("added").alias("change_kind"), F.lit("").alias("old_field"), "new_field")
         .unionByName(removed.select("file_id", F.lit("removed").alias("change_kind"), "old_field", F.lit("").alias("new_field")))
@@ -554,7 +554,7 @@ def consistent_readings(lines: DataFrame, drift: Drift, columns: dict[str, str])
     types = votes.select("_name", F.when(F.col("_time"), "ms").when((F.col("_n") > 0) & (F.col("_n") >= F.col("_words")), "double").otherwise("string").alias("_type"))
     named = lookup_join(fields.select("file_id", "pos", "_name", per.alias("_per")), written(types), ["_name"], F.col("file_id"), "inner")
     scripts = named.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("pos", "_name", "_per", "_type"))).alias("_script"))
-    heads = written(drift.heads.join(scripts, "file_id").select("file_id", "campaign_id", "_head", "_delimiter", "_script"))
+    heads = written(drift.heads.join(merged(scripts), "file_id").select("file_id", "campaign_id", "_head", "_delimiter", "_script"))
     once = lines.groupBy("file_id", "line_no").agg(F.min("raw_line").alias("raw_line"))
     rows = _readings(once, heads, ["campaign_id", "_script"])
     cell = F.transform("_script", lambda s: F.struct(s["_name"].alias("k"), F.struct(F.get(F.col("_cells"), s["pos"]).alias("c"), s["_per"].alias("f"), s["_type"].alias("t")).alias("v")))

@@ -226,3 +226,10 @@ def test_blocks_of_files_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(drift_module, "BLOCK_FILES", 3)
     assert rows(schema_drift(df).changes) == whole
     assert sum(x[1] == "renamed" for x in whole) == 4 and sum(x[1] == "retyped" for x in whole) > 4
+
+
+def test_changes_join_nothing_that_is_broadcast_for_its_small_files(spark):
+    lines = [(f, 1, dt.datetime(2024, 1, f), n, t) for f in (1, 2, 3) for n, t in enumerate((";".join(f"{b}_{p}" for b in ("A", "B" if f < 3 else "C") for p in Q), *[";".join(str(v + i) for i in (0, 50) for v in Q.values())] * 3), 1)]
+    changes = schema_drift(spark.createDataFrame(lines, SCHEMA)).changes
+    assert "Broadcast" not in changes._jdf.queryExecution().sparkPlan().toString()
+    assert {(x.file_id, x.change_kind) for x in changes.collect()} == {(3, "renamed")}
